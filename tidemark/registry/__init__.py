@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from . import core
+from . import core, profiling
 from .base import Registry
 
 
 @lru_cache(maxsize=1)
 def registry() -> Registry:
     reg = Registry()
-    for part in (core,):
+    for part in (core, profiling):
         part.register(reg)
     return reg
