@@ -13,21 +13,23 @@ from pyspark.sql import functions as F
 from ..functions.dialect import count_where, day, days, days_between, seconds_between
 from ..params import Params
 from ..plans.joins import spread_lookup
-from ..sources.streams import EVENT_TYPES, Streams
+from ..plans.rollup import EVENT_TYPES
+from ..sources.streams import Streams
 
 
-def window_edge(events: DataFrame, which: str) -> Column:
-    """First (``min``) or last (``max``) event time of the log as a scalar."""
-    return events.agg(getattr(F, which)("event_ts")).scalar()
+def log_start(streams: Streams) -> Column:
+    return streams.bounds.select("lo").scalar()
 
 
-def observation_period(events: DataFrame, p: Params) -> DataFrame:
-    per_day = events.groupBy("client_id", day("event_ts").alias("d")).agg(
-        F.min("event_ts").alias("lo"), F.max("event_ts").alias("hi")
-    )
-    span = per_day.groupBy("client_id").agg(
-        F.min("lo").alias("first_event_ts"),
-        F.max("hi").alias("last_event_ts"),
+def log_end(streams: Streams) -> Column:
+    return streams.bounds.select("hi").scalar()
+
+
+def observation_period(streams: Streams, p: Params) -> DataFrame:
+    """First and last event, days between, active days; flags for a span cut off by the log."""
+    span = streams.days.groupBy("client_id").agg(
+        F.min("first_ts").alias("first_event_ts"),
+        F.max("last_ts").alias("last_event_ts"),
         F.count("d").alias("n_active_days"),
     )
     first = F.col("first_event_ts")
@@ -37,8 +39,8 @@ def observation_period(events: DataFrame, p: Params) -> DataFrame:
         "last_event_ts",
         days_between("first_event_ts", "last_event_ts").alias("observation_days"),
         "n_active_days",
-        (first < window_edge(events, "min") + days(p.left_censor_days)).alias("is_left_censor_candidate"),
-        (first >= window_edge(events, "max") - days(p.right_censor_days)).alias("is_right_censor_candidate"),
+        (first < log_start(streams) + days(p.left_censor_days)).alias("is_left_censor_candidate"),
+        (first >= log_end(streams) - days(p.right_censor_days)).alias("is_right_censor_candidate"),
     )
 
 
@@ -247,13 +249,17 @@ def cart_behavior(streams: Streams) -> DataFrame:
     )
 
 
-def daily_activity(events: DataFrame) -> DataFrame:
-    counts = [count_where(F.col("event_type") == t).alias(f"n_{t}") for t in EVENT_TYPES]
-    per_day = events.groupBy("client_id", day("event_ts").alias("activity_date")).agg(
-        *counts, F.count(F.lit(1)).alias("n_events_total")
+def daily_activity(streams: Streams) -> DataFrame:
+    """Events per client and day, by type and in all, and how many types occurred."""
+    counts = [f"n_{t}" for t in EVENT_TYPES]
+    kinds = sum((F.col(c) > 0).cast("bigint") for c in counts)
+    return streams.days.select(
+        "client_id",
+        F.col("d").alias("activity_date"),
+        *counts,
+        F.col("n_events").alias("n_events_total"),
+        kinds.alias("n_event_types_active"),
     )
-    kinds = sum((F.col(f"n_{t}") > 0).cast("bigint") for t in EVENT_TYPES)
-    return per_day.withColumn("n_event_types_active", kinds)
 
 
 def category_behavior(buy: DataFrame, products: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import count_where, day, days, days_between, epoch_second, midnight, week_start
+from ..functions.dialect import count_where, days, days_between, midnight, week_start
 from ..params import Params
 from ..plans.ranking import exact_quantiles
 from ..sources.streams import Streams
@@ -15,10 +15,9 @@ from .facts import (
     daily_activity,
     edge_occasions,
     gap_counts,
-    observation_period,
+    log_end,
+    log_start,
     occasion_days,
-    purchase_gap,
-    window_edge,
 )
 
 STAGES = (
@@ -47,42 +46,26 @@ SEGMENTS = (
 
 
 def client_rollup(streams: Streams) -> DataFrame:
-    """Per-client totals of all streams in one pass over the log.
+    """Per-client totals of all streams from the client-day rows.
 
-    Rows go through (client, day) first: distinct days become a count of rows, and the mean
-    gap between occasions follows from the first day, the last day and the occasion count.
+    Distinct days are a count of rows, and the mean gap between occasions follows from the
+    first day, the last day and the occasion count.
     """
-    ts, kind = F.col("event_ts"), F.col("event_type")
-    buy = kind == "product_buy"
-    per_day = streams.events.groupBy("client_id", day("event_ts").alias("d")).agg(
-        F.min(ts).alias("lo"),
-        F.max(ts).alias("hi"),
-        F.count_if(kind == "page_visit").alias("visits"),
-        F.count_if(kind == "search_query").alias("searches"),
-        F.count_if(kind == "add_to_cart").alias("adds"),
-        F.count_if(kind == "remove_from_cart").alias("removes"),
-        F.count_if(buy).alias("buys"),
-        F.count_distinct(F.when(buy, ts)).alias("occasions"),
-        F.min(F.when(buy, ts)).alias("first_buy"),
-        F.max(F.when(buy, ts)).alias("last_buy"),
-        F.min(F.when(kind == "page_visit", ts)).alias("first_visit"),
-        F.min(F.when(kind == "search_query", ts)).alias("first_search"),
-    )
-    return per_day.groupBy("client_id").agg(
-        F.min("lo").alias("first_event_ts"),
-        F.max("hi").alias("last_event_ts"),
+    return streams.days.groupBy("client_id").agg(
+        F.min("first_ts").alias("first_event_ts"),
+        F.max("last_ts").alias("last_event_ts"),
         F.count("d").alias("n_active_days"),
-        F.sum("visits").alias("n_page_visit"),
-        F.sum("searches").alias("n_search_query"),
-        F.sum("adds").alias("n_add_to_cart"),
-        F.sum("removes").alias("n_remove_from_cart"),
-        F.sum("buys").alias("n_purchases"),
-        count_where(F.col("occasions") > 0).alias("n_purchase_days"),
-        F.sum("occasions").alias("n_occasions"),
-        F.min("first_buy").alias("first_purchase_ts"),
-        F.max("last_buy").alias("last_purchase_ts"),
-        F.min("first_visit").alias("first_visit_ts"),
-        F.min("first_search").alias("first_search_ts"),
+        F.sum("n_page_visit").alias("n_page_visit"),
+        F.sum("n_search_query").alias("n_search_query"),
+        F.sum("n_add_to_cart").alias("n_add_to_cart"),
+        F.sum("n_remove_from_cart").alias("n_remove_from_cart"),
+        F.sum("n_product_buy").alias("n_purchases"),
+        count_where(F.col("n_occasions") > 0).alias("n_purchase_days"),
+        F.sum("n_occasions").alias("n_occasions"),
+        F.min("first_buy_ts").alias("first_purchase_ts"),
+        F.max("last_buy_ts").alias("last_purchase_ts"),
+        F.min("first_visit_ts").alias("first_visit_ts"),
+        F.min("first_search_ts").alias("first_search_ts"),
     )
 
 
@@ -96,8 +79,8 @@ def _customer_360(streams: Streams, p: Params) -> DataFrame:
         "last_event_ts",
         days_between("first_event_ts", "last_event_ts").alias("observation_days"),
         "n_active_days",
-        (first < window_edge(streams.events, "min") + days(p.left_censor_days)).alias("is_left_censor_candidate"),
-        (first >= window_edge(streams.events, "max") - days(p.right_censor_days)).alias("is_right_censor_candidate"),
+        (first < log_start(streams) + days(p.left_censor_days)).alias("is_left_censor_candidate"),
+        (first >= log_end(streams) - days(p.right_censor_days)).alias("is_right_censor_candidate"),
         "n_page_visit",
         "n_search_query",
         "n_add_to_cart",
@@ -121,7 +104,7 @@ def customer_360(streams: Streams, p: Params) -> DataFrame:
 
 
 def customer_daily(streams: Streams) -> DataFrame:
-    return daily_activity(streams.events)
+    return daily_activity(streams)
 
 
 def customer_weekly(daily: DataFrame) -> DataFrame:
@@ -138,8 +121,9 @@ def customer_weekly(daily: DataFrame) -> DataFrame:
     )
 
 
-def customer_cohort(buy: DataFrame) -> DataFrame:
-    return purchase_gap(buy).select(
+def customer_cohort(gaps: DataFrame) -> DataFrame:
+    """First-purchase week of each buyer, from the purchase-gap table."""
+    return gaps.select(
         "client_id",
         "first_purchase_ts",
         week_start("first_purchase_ts").alias("cohort_week"),
@@ -174,7 +158,7 @@ def customer_retention(streams: Streams, p: Params) -> DataFrame:
         F.avg("n_purchase_days").alias("avg_purchase_days"),
         F.avg("n_categories").alias("avg_category_diversity"),
     )
-    end = window_edge(streams.events, "max")
+    end = log_end(streams)
     return cohorts.select(
         "*",
         *[
@@ -201,14 +185,27 @@ def stage_of(p: Params) -> Column:
     )
 
 
-def _staged_customers(streams: Streams, p: Params) -> DataFrame:
-    last_two = edge_occasions(streams.buy, last=True).select(
-        "client_id", days_between("ts_2", "ts_1").alias("gap_before_last_purchase")
+def _last_gap(client_days: DataFrame) -> DataFrame:
+    """Days between a buyer's last two occasions, from its last two purchase days."""
+    rank = F.row_number().over(Window.partitionBy("client_id").orderBy(F.col("d").desc()))
+    last_two = (
+        client_days.filter((F.col("n_occasions") > 0) & F.col("d").isNotNull())
+        .select("client_id", "d", "n_occasions", rank.alias("rank"))
+        .filter(F.col("rank") <= 2)
+    )
+    several = F.max(F.when(F.col("rank") == 1, F.col("n_occasions"))) > 1
+    apart = F.datediff(F.max("d"), F.max(F.when(F.col("rank") == 2, F.col("d")))).cast("bigint")
+    return last_two.groupBy("client_id").agg(
+        F.when(several, F.lit(0).cast("bigint")).otherwise(apart).alias("gap_before_last_purchase")
     )
-    since = days_between("last_purchase_ts", window_edge(streams.events, "max"))
+
+
+def _staged_customers(streams: Streams, p: Params) -> DataFrame:
+    last_gap = _last_gap(streams.days)
+    since = days_between("last_purchase_ts", log_end(streams))
     return (
         _customer_360(streams, p)
-        .join(last_two, "client_id", "left")
+        .join(last_gap, "client_id", "left")
         .withColumn("days_since_last_purchase", since)
         .withColumn("lifecycle_stage", stage_of(p))
     )
@@ -236,7 +233,7 @@ def lifecycle_from_purchases(buy: DataFrame, p: Params) -> DataFrame:
             "client_id",
             F.lit(True).alias("is_buyer"),
             "n_purchase_days",
-            days_between("ts_1", window_edge(buy, "max")).alias("days_since_last_purchase"),
+            days_between("ts_1", buy.agg(F.max("event_ts")).scalar()).alias("days_since_last_purchase"),
             days_between("ts_2", "ts_1").alias("gap_before_last_purchase"),
             F.lit(False).alias("has_cart_activity"),
             none.alias("n_page_visit"),

@@ -15,35 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import day, days_between, index_range, midnight
+from ..functions.dialect import day, days_between, index_range
 from ..params import Params
 from ..plans.grid import Grid, snapshot_grid
 from ..plans.joins import spread_lookup
 from ..sources.streams import Streams
 
 
-def client_days(streams: Streams) -> DataFrame:
-    """Everything the panels need, per client and day."""
-    ts, kind = F.col("event_ts"), F.col("event_type")
-    buy_ts = F.when(kind == "product_buy", ts)
-    at_midnight = ts == midnight(day("event_ts"))
-    return (
-        streams.events.filter(ts.isNotNull())
-        .groupBy("client_id", day("event_ts").alias("d"))
-        .agg(
-            F.count_if(kind == "page_visit").alias("visits"),
-            F.count_if(kind == "search_query").alias("searches"),
-            F.count_if(kind == "add_to_cart").alias("adds"),
-            F.count_if(kind == "remove_from_cart").alias("removes"),
-            F.count_distinct(buy_ts).alias("occasions"),
-            F.max(F.when(at_midnight, buy_ts)).isNotNull().alias("midnight_buy"),
-            F.max(buy_ts).alias("last_buy_ts"),
-            F.min(F.when(kind == "page_visit", ts)).alias("first_visit_ts"),
-            F.min(F.when(kind == "search_query", ts)).alias("first_search_ts"),
-        )
-    )
-
-
 def category_starts(streams: Streams) -> DataFrame:
     """First and second purchase occasion of each client in each category."""
     buys = streams.buy.filter(F.col("event_ts").isNotNull())
@@ -106,7 +84,7 @@ def category_rates(starts: DataFrame, grid: Grid, p: Params) -> DataFrame:
 
 
 def category_repurchase_by_snapshot(streams: Streams, p: Params) -> DataFrame:
-    grid = snapshot_grid(streams.events, p)
+    grid = snapshot_grid(streams.bounds, p)
     return category_rates(category_starts(streams), grid, p).select(
         grid.date(F.col("idx")).alias("snapshot_date"),
         "category",
@@ -143,7 +121,7 @@ def client_category_rates(starts: DataFrame, grid: Grid, p: Params) -> DataFrame
 
 
 def category_repurchase_avg_by_snapshot(streams: Streams, p: Params) -> DataFrame:
-    grid = snapshot_grid(streams.events, p)
+    grid = snapshot_grid(streams.bounds, p)
     return client_category_rates(category_starts(streams), grid, p).select(
         grid.date(F.col("idx")).alias("snapshot_date"), "client_id", "avg_category_repurchase_rate"
     )
@@ -161,19 +139,20 @@ def _touched(grid: Grid, p: Params) -> Column:
 
 def panel(streams: Streams, p: Params) -> DataFrame:
     """One row per client and snapshot date after the client's first event, all features."""
-    grid = snapshot_grid(streams.events, p)
+    grid = snapshot_grid(streams.bounds, p)
     starts = category_starts(streams)
     new_categories = (
         starts.filter(F.col("category").isNotNull())
         .groupBy("client_id", day("first_ts").alias("d"))
         .agg(F.count(F.lit(1)).alias("new_categories"))
     )
-    per_day = client_days(streams).unionByName(new_categories, allowMissingColumns=True)
+    known = streams.days.filter(F.col("d").isNotNull())
+    per_day = known.unionByName(new_categories, allowMissingColumns=True)
     by_client = Window.partitionBy("client_id")
-    active = F.when(F.col("occasions").isNotNull(), F.col("d"))
+    active = F.when(F.col("n_occasions").isNotNull(), F.col("d"))
     per_day = grid.attach(per_day.repartition("client_id")).select(
         "*",
-        ((active == F.min(active).over(by_client)) & F.col("occasions").isNotNull()).alias("is_first_day"),
+        ((active == F.min(active).over(by_client)) & F.col("n_occasions").isNotNull()).alias("is_first_day"),
     )
     per_day = per_day.withColumn("is_first_day", F.coalesce("is_first_day", F.lit(False)))
     at = per_day.withColumn("idx", F.explode(_touched(grid, p))).withColumn("s", grid.date(F.col("idx")))
@@ -188,28 +167,28 @@ def panel(streams: Streams, p: Params) -> DataFrame:
         return F.sum(F.when((d < s) & (d >= F.date_sub(s, n)), x))
 
     def bought_within(n):
-        ordinary = (F.col("occasions") > F.col("midnight_buy").cast("int")) & (d >= s) & (d < F.date_add(s, n))
-        on_midnight = F.col("midnight_buy") & (d > s) & (d <= F.date_add(s, n))
+        ordinary = (F.col("n_occasions") > F.col("has_midnight_buy").cast("int")) & (d >= s) & (d < F.date_add(s, n))
+        on_midnight = F.col("has_midnight_buy") & (d > s) & (d <= F.date_add(s, n))
         return F.max(F.coalesce((ordinary | on_midnight).cast("int"), F.lit(0)))
 
     a = p.activity_days
     flows = at.groupBy("client_id", "idx").agg(
         F.first("_grid").alias("_grid"),
-        so_far(F.col("visits")).alias("visits"),
-        so_far(F.col("adds")).alias("adds"),
-        so_far(F.col("occasions")).alias("occasions"),
-        so_far((F.col("occasions") > 0).cast("bigint")).alias("purchase_days"),
+        so_far(F.col("n_page_visit")).alias("visits"),
+        so_far(F.col("n_add_to_cart")).alias("adds"),
+        so_far(F.col("n_occasions")).alias("occasions"),
+        so_far((F.col("n_occasions") > 0).cast("bigint")).alias("purchase_days"),
         so_far(F.col("new_categories")).alias("new_categories"),
         F.max(F.when(enters, F.col("last_buy_ts"))).alias("last_buy_ts"),
-        F.min(F.when(enters & (F.col("occasions") > 0), d)).alias("first_buy_day"),
+        F.min(F.when(enters & (F.col("n_occasions") > 0), d)).alias("first_buy_day"),
         F.min(F.when(enters, F.col("first_visit_ts"))).alias("first_visit_ts"),
         F.min(F.when(enters, F.col("first_search_ts"))).alias("first_search_ts"),
-        F.max(enters & F.col("occasions").isNotNull()).alias("active"),
-        *[before(F.col("occasions"), n).alias(f"n_purchases_{n}d") for n in p.purchase_windows],
-        before(F.col("visits"), a).alias(f"n_page_visit_{a}d"),
-        before(F.col("searches"), a).alias(f"n_search_query_{a}d"),
-        before(F.col("adds"), a).alias(f"n_add_to_cart_{a}d"),
-        before(F.col("removes"), a).alias(f"n_remove_from_cart_{a}d"),
+        F.max(enters & F.col("n_occasions").isNotNull()).alias("active"),
+        *[before(F.col("n_occasions"), n).alias(f"n_purchases_{n}d") for n in p.purchase_windows],
+        before(F.col("n_page_visit"), a).alias(f"n_page_visit_{a}d"),
+        before(F.col("n_search_query"), a).alias(f"n_search_query_{a}d"),
+        before(F.col("n_add_to_cart"), a).alias(f"n_add_to_cart_{a}d"),
+        before(F.col("n_remove_from_cart"), a).alias(f"n_remove_from_cart_{a}d"),
         *[bought_within(n).alias(f"label_purchase_{n}d") for n in p.label_days],
     )
     along = by_client.orderBy("idx")
@@ -247,7 +226,7 @@ def panel(streams: Streams, p: Params) -> DataFrame:
 
 
 def _with_category_rate(rows: DataFrame, streams: Streams, p: Params) -> DataFrame:
-    grid = snapshot_grid(streams.events, p)
+    grid = snapshot_grid(streams.bounds, p)
     rates = client_category_rates(category_starts(streams), grid, p).drop("_grid")
     return rows.join(rates, ["client_id", "idx"], "left")
 

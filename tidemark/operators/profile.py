@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.dialect import count_where, day, days, epoch_second, ratio, seconds_between
 from ..params import Params
 from ..plans.joins import spread_lookup
-from ..sources.streams import EVENT_TYPES, Streams
-from .facts import cart_pairs, daily_activity, observation_period, occasion_days, window_edge
+from ..plans.rollup import EVENT_TYPES
+from ..sources.streams import Streams
+from .facts import cart_pairs, daily_activity, log_end, log_start, observation_period, occasion_days
 from .staging import staged_flags
 
 TYPE_BIT = {name: 1 << n for n, name in enumerate(EVENT_TYPES)}
@@ -283,8 +284,8 @@ def burst_rate(streams: Streams, p: Params) -> DataFrame:
     )
 
 
-def observation_summary(events: DataFrame, p: Params) -> DataFrame:
-    obs = observation_period(events, p)
+def observation_summary(streams: Streams, p: Params) -> DataFrame:
+    obs = observation_period(streams, p)
     active = spread_of(obs, ["n_active_days"], [0.5])
     edges = obs.agg(
         F.min("first_event_ts").alias("first_ts_min"),
@@ -319,8 +320,8 @@ def daily_volume(events: DataFrame) -> DataFrame:
     )
 
 
-def observation_distribution(events: DataFrame, p: Params) -> DataFrame:
-    obs = observation_period(events, p)
+def observation_distribution(streams: Streams, p: Params) -> DataFrame:
+    obs = observation_period(streams, p)
     days_seen = spread_of(obs, ["observation_days"], [0.5, 0.9, 0.95]).select(
         F.col("n_rows").alias("n_clients"),
         F.col("min").alias("obs_days_min"),
@@ -348,7 +349,7 @@ def observation_distribution(events: DataFrame, p: Params) -> DataFrame:
 
 def buyer_censoring(streams: Streams, p: Params) -> DataFrame:
     """Buyers whose first purchase lies at the start, or last at the end, of the whole log."""
-    lo, hi = window_edge(streams.events, "min"), window_edge(streams.events, "max")
+    lo, hi = log_start(streams), log_end(streams)
     buyers = streams.buy.groupBy("client_id").agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"))
     out = buyers.select(
         (F.col("first") < lo + days(p.left_censor_days)).alias("early"),
@@ -412,7 +413,7 @@ def buyer_summary(buy: DataFrame, products: DataFrame) -> DataFrame:
 def recent_buyers(buy: DataFrame, p: Params) -> DataFrame:
     """Share of buyers with a purchase in the last N days before the last purchase of all."""
     last = buy.groupBy("client_id").agg(F.max("event_ts").alias("last"))
-    since = window_edge(buy, "max") - days(p.recent_buyer_days)
+    since = buy.agg(F.max("event_ts")).scalar() - days(p.recent_buyer_days)
     return (
         last.select((F.col("last") >= since).alias("recent"))
         .agg(F.count(F.lit(1)).alias("n_buyers"), F.count_if("recent").alias("n_recent_buyers"))
@@ -544,7 +545,7 @@ def pre_purchase_browsing(streams: Streams) -> DataFrame:
     Days before the first purchase count whole. On the day itself events are compared one
     by one, joined per (client, day).
     """
-    daily = daily_activity(streams.events).select("client_id", "activity_date", "n_page_visit", "n_search_query")
+    daily = daily_activity(streams).select("client_id", "activity_date", "n_page_visit", "n_search_query")
     firsts = streams.buy.groupBy("client_id").agg(F.min("event_ts").alias("first_buy"))
     earlier = (
         daily.join(firsts, "client_id")

@@ -11,7 +11,7 @@ from ..functions.dialect import count_where, days_between, ratio, seconds_betwee
 from ..params import Params
 from ..plans.joins import spread_lookup
 from ..sources.streams import Streams
-from .facts import cart_pairs, gap_counts, purchase_gap, window_edge
+from .facts import cart_pairs, gap_counts, log_end, purchase_gap
 from .marts import _customer_360, customer_360, customer_lifecycle, customer_segment
 from .panel import category_starts
 from .profile import as_metrics, quantiles_of
@@ -386,7 +386,7 @@ def cart_hold_summary(streams: Streams, p: Params) -> DataFrame:
         .agg(F.max("last_add_ts").alias("last_add"), F.count("sku").alias("n_items"))
     )
     rows = holders.join(carts, "client_id").select(
-        days_between("last_add", window_edge(streams.events, "max")).alias("days_left"), "n_items"
+        days_between("last_add", log_end(streams)).alias("days_left"), "n_items"
     )
     counted = rows.groupBy("days_left").agg(
         F.count(F.lit(1)).alias("n"), count_where(F.col("n_items") == 1).alias("single")

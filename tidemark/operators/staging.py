@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..params import Params
 from ..plans.timeslice import flag_repeat_within
-from ..sources.streams import EVENT_TYPES, Streams
+from ..plans.rollup import EVENT_TYPES
+from ..sources.streams import Streams
 
 # what has to repeat for an event to count as a burst; searches carry no item
 BURST_KEYS = {

@@ -45,10 +45,11 @@ class Grid:
         return F.date_add(self.start, (idx * self.step).cast("int"))
 
 
-def snapshot_grid(events: DataFrame, p: Params) -> Grid:
-    edges = events.agg(
-        F.date_add(day(F.min("event_ts")), p.grid_lead_days).alias("start"),
-        F.date_sub(day(F.max("event_ts")), p.grid_trail_days).alias("end"),
+def snapshot_grid(bounds: DataFrame, p: Params) -> Grid:
+    """Grid for a log whose first and last event times are ``bounds (lo, hi)``."""
+    edges = bounds.select(
+        F.date_add(day("lo"), p.grid_lead_days).alias("start"),
+        F.date_sub(day("hi"), p.grid_trail_days).alias("end"),
     )
     last = F.floor(F.datediff("end", "start") / F.lit(p.grid_step_days))
     return Grid(
@@ -57,9 +58,9 @@ def snapshot_grid(events: DataFrame, p: Params) -> Grid:
     )
 
 
-def snapshot_dates(events: DataFrame, p: Params) -> DataFrame:
+def snapshot_dates(bounds: DataFrame, p: Params) -> DataFrame:
     """One row per snapshot date; none when the log is shorter than lead + trail."""
-    g = snapshot_grid(events, p)
+    g = snapshot_grid(bounds, p)
     return (
         g.bounds.select(F.struct("start", "last").alias("_grid"))
         .select("_grid", F.explode(index_range(F.lit(0), F.col("_grid.last"))).alias("idx"))

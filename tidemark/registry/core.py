@@ -74,7 +74,7 @@ def register(reg: Registry) -> None:
     # --- per-customer facts --------------------------------------------------------
     reg.add(
         "i01_observation_period",
-        store(lambda s: facts.observation_period(s.events, P)),
+        store(lambda s: facts.observation_period(s, P)),
         store_sql(
             f"""SELECT client_id, {t('first_ts', 'first_event_ts')}, {t('last_ts', 'last_event_ts')},
                 obs_days AS observation_days, active_days AS n_active_days, left_c AS is_left_censor_candidate,
@@ -145,7 +145,7 @@ def register(reg: Registry) -> None:
     )
     daily_sql = f"""SELECT client_id, {d('activity_date')}, n_page_visit, n_search_query, n_add_to_cart,
         n_remove_from_cart, n_product_buy, n_events_total, n_event_types_active FROM daily"""
-    reg.add("i05_daily_activity", store(lambda s: facts.daily_activity(s.events)), store_sql(daily_sql))
+    reg.add("i05_daily_activity", store(lambda s: facts.daily_activity(s)), store_sql(daily_sql))
     cat_sql = f"""SELECT client_id, category, n_purchases, n_sku AS n_distinct_sku,
         {t('first_ts', 'first_purchase_ts')}, {t('last_ts', 'last_purchase_ts')} FROM cats"""
     reg.add(
@@ -158,7 +158,7 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "i07_snapshot_grid",
-        store(lambda s: snapshot_dates(s.events, P)),
+        store(lambda s: snapshot_dates(s.bounds, P)),
         store_sql(f"SELECT {d('s', 'snapshot_date')} FROM grid"),
     )
     reg.add(
@@ -206,8 +206,8 @@ def register(reg: Registry) -> None:
     )
     cohort_sql = f"""SELECT client_id, {t('first_ts', 'first_purchase_ts')}, {d('cohort_week')}, n_purchases,
         n_days AS n_purchase_days, {r('avg_gap', 'avg_purchase_gap_days')} FROM cohort"""
-    reg.add("m04_customer_cohort", store(lambda s: marts.customer_cohort(s.buy)), store_sql(cohort_sql))
-    reg.add("m04_customer_cohort_orders", orders(marts.customer_cohort), orders_sql(cohort_sql))
+    reg.add("m04_customer_cohort", store(lambda s: marts.customer_cohort(facts.purchase_gap(s.buy))), store_sql(cohort_sql))
+    reg.add("m04_customer_cohort_orders", orders(lambda b: marts.customer_cohort(facts.purchase_gap(b))), orders_sql(cohort_sql))
 
     def retention_sql(p):
         rates = ", ".join(r(f"avg(back_{n})", f"repurchase_{n}d_rate") for n in p.retention_days)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..operators import profile
-from ..sources.streams import EVENT_TYPES, from_event_table, products_from_parts, purchases_from_orders
+from ..plans.rollup import EVENT_TYPES
+from ..sources.streams import from_event_table, products_from_parts, purchases_from_orders
 from .base import Registry
 from .sql import ORDERS, STORE, d, i, orders_sql, r, store_sql, t
 
@@ -230,7 +231,7 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "q13_observation_summary",
-        store(lambda s: profile.observation_summary(s.events, P)),
+        store(lambda s: profile.observation_summary(s, P)),
         store_sql(
             f"""SELECT {t('min(first_ts)', 'first_ts_min')}, {t('max(first_ts)', 'first_ts_max')},
                 {t('min(last_ts)', 'last_ts_min')}, {t('max(last_ts)', 'last_ts_max')},
@@ -250,7 +251,7 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "q15_observation_distribution",
-        store(lambda s: profile.observation_distribution(s.events, P)),
+        store(lambda s: profile.observation_distribution(s, P)),
         store_sql(
             long_sql(
                 "obs",

@@ -198,7 +198,7 @@ def register(reg: Registry) -> None:
     # --- distributions ---------------------------------------------------------------
     reg.add(
         "f12_daily_event_volume",
-        store(lambda s: reports.daily_event_volume(facts.daily_activity(s.events))),
+        store(lambda s: reports.daily_event_volume(facts.daily_activity(s))),
         store_sql(
             f"""SELECT {d('event_ts', 'activity_date')}, """
             + ", ".join(

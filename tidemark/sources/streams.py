@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT_TYPES = ("page_visit", "search_query", "add_to_cart", "remove_from_cart", "product_buy")
+from ..plans.rollup import EVENT_TYPES, client_days
+
 ITEM_KEY = {
     "product_buy": "sku",
     "add_to_cart": "sku",
@@ -22,7 +23,8 @@ class Streams:
     """Typed event frames ``(client_id, event_ts, <item key>)`` and the product dimension.
 
     ``tagged`` may hold all events as one frame when they come from one table; otherwise
-    it is the union of the five.
+    it is the union of the five. ``day_table`` may hold the written client-day rollup; it is
+    worked out from the events where it is not given.
     """
 
     buy: DataFrame
@@ -32,6 +34,7 @@ class Streams:
     search: DataFrame
     products: DataFrame
     tagged: DataFrame | None = None
+    day_table: DataFrame | None = None
 
     def by_type(self) -> dict[str, DataFrame]:
         return {
@@ -54,6 +57,18 @@ class Streams:
             out = part if out is None else out.unionByName(part)
         return out
 
+    @property
+    def days(self) -> DataFrame:
+        """One row per client and day."""
+        return self.day_table if self.day_table is not None else client_days(self.events)
+
+    @property
+    def bounds(self) -> DataFrame:
+        """First and last event time of the log as one row ``(lo, hi)``."""
+        if self.day_table is not None:
+            return self.day_table.agg(F.min("first_ts").alias("lo"), F.max("last_ts").alias("hi"))
+        return self.events.agg(F.min("event_ts").alias("lo"), F.max("event_ts").alias("hi"))
+
 
 def typed_events(raw: DataFrame, key: str, client: str = "client_id", ts: str = "timestamp") -> DataFrame:
     """Text time to timestamp; an unreadable time becomes NULL and the row is kept."""
