@@ -4,9 +4,15 @@ applied to tables of a few rows (one per band, covariate or KPI)."""
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# the helpers travel with the query, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def normal_two_sided(z: float) -> float:
@@ -60,16 +66,16 @@ def _each(fn, *columns):
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _each(normal_two_sided, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series) -> pd.Series:
     return _each(chi2_one_df, x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(student_two_sided, t, df)
