@@ -340,7 +340,7 @@ def register(reg: Registry) -> None:
         buy(half_needed),
         sql(
             f"""SELECT label, split, method, rate, target,
-                coalesce(min(place) FILTER (hits >= target), any_value(n)) AS n_needed
+                CASE WHEN any_value(p) = 0 THEN any_value(n) ELSE min(place) FILTER (hits >= target) END AS n_needed
                 FROM (SELECT *, CAST(ceil(p * rate / 100.0) AS BIGINT) AS target
                       FROM buy_ranked, (SELECT unnest([10, 50, 90]) AS rate))
                 GROUP BY 1, 2, 3, 4, 5"""
@@ -368,7 +368,8 @@ def register(reg: Registry) -> None:
                 {r('(1 - n_selected / need) * 100', 'contact_reduction_pct')}
                 FROM (SELECT t.label, t.split, CAST(t.rate AS INT) AS contact_rate_pct, t.n AS n_total, t.k AS n_selected,
                              t.hit AS n_actual_captured, any_value(t.recall) AS recall,
-                             coalesce(min(x.place) FILTER (x.hits >= greatest(t.hit, 1)), any_value(t.n)) AS need
+                             CASE WHEN any_value(t.p) = 0 THEN any_value(t.n) WHEN t.hit = 0 THEN 1
+                                  ELSE min(x.place) FILTER (x.hits >= t.hit) END AS need
                       FROM buy_top t JOIN buy_ranked x ON t.label = x.label AND t.split = x.split
                       WHERE t.method = 'visit' AND x.method = 'recency' AND t.rate IN {RATES}
                       GROUP BY 1, 2, 3, 4, 5, 6)"""
