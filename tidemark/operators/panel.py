@@ -47,25 +47,20 @@ def category_rates(starts: DataFrame, grid: Grid, p: Params) -> DataFrame:
     Each (client, category) adds one to the index of its first and of its second
     occasion; a running sum per category over at most the grid's length gives the rest.
     """
-    g = grid.attach(starts)
-    first = F.struct(
-        grid.first_after(day("first_ts")).alias("idx"), F.lit(1).alias("customers"), F.lit(0).alias("repeaters")
-    )
-    second = F.struct(
-        grid.first_after(day("second_ts")).alias("idx"), F.lit(0).alias("customers"), F.lit(1).alias("repeaters")
-    )
+    def step(ts, customers, repeaters):
+        idx = grid.first_after(day(ts))
+        parts = F.struct(idx.alias("idx"), F.lit(customers).alias("customers"), F.lit(repeaters).alias("repeaters"))
+        return F.when(F.col(ts).isNotNull() & (idx <= grid.last), parts)
+
     steps = (
-        g.select("category", "_grid", F.explode(F.array(first, F.when(F.col("second_ts").isNotNull(), second))).alias("s"))
-        .filter(F.col("s.idx") <= grid.last)
+        grid.attach(starts)
+        .select("category", F.explode(F.array(step("first_ts", 1, 0), step("second_ts", 0, 1))).alias("s"))
+        .filter(F.col("s").isNotNull())
         .groupBy("category", F.col("s.idx").alias("idx"))
-        .agg(
-            F.sum("s.customers").alias("customers"),
-            F.sum("s.repeaters").alias("repeaters"),
-            F.first("_grid").alias("_grid"),
-        )
+        .agg(F.sum("s.customers").alias("customers"), F.sum("s.repeaters").alias("repeaters"))
     )
     along = Window.partitionBy("category").orderBy("idx")
-    runs = steps.select(
+    runs = grid.attach(steps).select(
         "category",
         "_grid",
         "idx",
@@ -111,18 +106,15 @@ def client_category_rates(starts: DataFrame, grid: Grid, p: Params) -> DataFrame
     )
     return (
         spread_lookup(bought, rates, ["category"], ["client_id"], how="left")
-        .select("client_id", "rates", "_grid", F.explode(index_range(F.col("from_idx"), grid.last)).alias("idx"))
+        .select("client_id", "rates", F.explode(index_range(F.col("from_idx"), grid.last)).alias("idx"))
         .groupBy("client_id", "idx")
-        .agg(
-            F.avg(F.try_element_at("rates", F.col("idx"))).alias("avg_category_repurchase_rate"),
-            F.first("_grid").alias("_grid"),
-        )
+        .agg(F.avg(F.try_element_at("rates", F.col("idx"))).alias("avg_category_repurchase_rate"))
     )
 
 
 def category_repurchase_avg_by_snapshot(streams: Streams, p: Params) -> DataFrame:
     grid = snapshot_grid(streams.bounds, p)
-    return client_category_rates(category_starts(streams), grid, p).select(
+    return grid.attach(client_category_rates(category_starts(streams), grid, p)).select(
         grid.date(F.col("idx")).alias("snapshot_date"), "client_id", "avg_category_repurchase_rate"
     )
 
@@ -142,9 +134,7 @@ def panel(streams: Streams, p: Params) -> DataFrame:
     grid = snapshot_grid(streams.bounds, p)
     starts = category_starts(streams)
     new_categories = (
-        starts.filter(F.col("category").isNotNull())
-        .groupBy("client_id", day("first_ts").alias("d"))
-        .agg(F.count(F.lit(1)).alias("new_categories"))
+        starts.groupBy("client_id", day("first_ts").alias("d")).agg(F.count("category").alias("new_categories"))
     )
     known = streams.days.filter(F.col("d").isNotNull())
     per_day = known.unionByName(new_categories, allowMissingColumns=True)
@@ -173,7 +163,6 @@ def panel(streams: Streams, p: Params) -> DataFrame:
 
     a = p.activity_days
     flows = at.groupBy("client_id", "idx").agg(
-        F.first("_grid").alias("_grid"),
         so_far(F.col("n_page_visit")).alias("visits"),
         so_far(F.col("n_add_to_cart")).alias("adds"),
         so_far(F.col("n_occasions")).alias("occasions"),
@@ -205,7 +194,7 @@ def panel(streams: Streams, p: Params) -> DataFrame:
     windows = [f"n_purchases_{n}d" for n in p.purchase_windows] + [
         f"n_{k}_{a}d" for k in ("page_visit", "search_query", "add_to_cart", "remove_from_cart")
     ]
-    return flows.select(
+    return grid.attach(flows).select(
         grid.date(idx).alias("snapshot_date"),
         "client_id",
         "idx",
@@ -227,7 +216,7 @@ def panel(streams: Streams, p: Params) -> DataFrame:
 
 def _with_category_rate(rows: DataFrame, streams: Streams, p: Params) -> DataFrame:
     grid = snapshot_grid(streams.bounds, p)
-    rates = client_category_rates(category_starts(streams), grid, p).drop("_grid")
+    rates = client_category_rates(category_starts(streams), grid, p)
     return rows.join(rates, ["client_id", "idx"], "left")
 
 

@@ -30,7 +30,7 @@ class Grid:
         return F.col("_grid.last")
 
     def first_after(self, d: Column) -> Column:
-        """Index of the first grid date later than day ``d``, at least 0."""
+        """Index of the first grid date later than day ``d``, at least 0; 0 for NULL too."""
         ahead = F.datediff(d, self.start) + 1
         return F.greatest(F.lit(0).cast("bigint"), F.ceil(ahead / F.lit(self.step)))
 
