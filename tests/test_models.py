@@ -51,9 +51,8 @@ def test_models_beat_rules(panel):
 
 def test_importance_finds_the_signal(panel, spark):
     spec = learn.propensity_spec(P)
-    frame, columns = learn.boosting_frame(panel, spec)
-    model = learn.fit_boosted(frame.cache(), "will_purchase_14d", B)
-    top = learn.feature_importance(model, columns, spark).first()
+    model = learn.fit_boosted(materialize(learn.model_frame(panel, spec, P)), "will_purchase_14d", B)
+    top = learn.feature_importance(model, learn.tree_inputs(spec), spark).first()
     assert top.feature == "n_add_to_cart_28d"
 
 
@@ -69,8 +68,9 @@ def test_targeting_rows_and_order(panel):
 
 def test_scores_are_reproducible(panel):
     spec = replace(learn.propensity_spec(P), labels=("will_purchase_14d",))
-    a = learn.label_scores(panel, spec, "will_purchase_14d", P, B)
-    b = learn.label_scores(panel.repartition(5), spec, "will_purchase_14d", P, B)
+    frame = learn.model_frame(panel, spec, P)
+    a = learn.label_scores(materialize(frame), spec, "will_purchase_14d", B)
+    b = learn.label_scores(materialize(frame.repartition(5)), spec, "will_purchase_14d", B)
     key = ["split", "method", "snapshot_date", "client_id"]
     joined = a.join(b.withColumnRenamed("score", "other").select(*key, "other"), key)
     rule_rows = joined.filter("method <> 'boosted' and method <> 'logistic'")

@@ -1,8 +1,8 @@
 """Churn and purchase models on the snapshot panels, and what is built on their scores.
 
 Training, scoring and evaluation stay in Spark; the driver only holds fitted models and
-the names of columns. Panels must be tagged by ``chronological_split`` and written or
-checkpointed, as training reads them many times.
+the names of columns. Panels must be tagged by ``chronological_split`` and written, as
+training reads them many times.
 """
 
 from __future__ import annotations
@@ -100,57 +100,54 @@ def propensity_spec(p: Params) -> ModelSpec:
     )
 
 
-def _with_vector(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
+def tree_inputs(spec: ModelSpec) -> list[str]:
+    """Names of the boosted trees' inputs, in order."""
+    return [*spec.features, *[f"{c}_missing" for c in (*spec.fill_with_flag, *spec.fill_only)]]
 
 
-def _positive(model, df: DataFrame, out: str) -> DataFrame:
-    kept = [c for c in df.columns if c != "_x"]
-    return model.transform(df).select(*kept, vector_to_array("probability")[1].alias(out))
+def model_frame(panel: DataFrame, spec: ModelSpec, p: Params) -> DataFrame:
+    """Labels, rule scores and the inputs of both models in one row per client and date.
 
-
-def logistic_frame(panel: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Imputed, flagged and standardised features as a vector ``_x``."""
-    filled = scores.imputed(panel, spec.fill_with_flag, spec.fill_only, spec.as_int)
+    ``_trees``: raw features; a missing value becomes -1 beside a flag, as the trees here
+    take no NULLs. ``_linear``: imputed, flagged and standardised features.
+    """
+    rows = spec.rules(panel).withColumn("random", scores.random_score(p.seed))
+    nullable = (*spec.fill_with_flag, *spec.fill_only)
+    raw = {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in spec.features}
+    raw |= {f"{c}_missing": F.col(c).isNull().cast("double") for c in nullable}
+    rows = rows.select("*", *[x.alias(f"_t_{c}") for c, x in raw.items()])
+    rows = VectorAssembler(inputCols=[f"_t_{c}" for c in raw], outputCol="_trees").transform(rows)
     columns = [*spec.features, *[f"{c}_missing" for c in spec.fill_with_flag]]
-    z = scores.standardised(filled, columns)
-    return _with_vector(z, columns, "_x").select("snapshot_date", "client_id", "split", *spec.labels, "_x")
+    rows = scores.standardised(scores.imputed(rows, spec.fill_with_flag, spec.fill_only, spec.as_int), columns)
+    rows = VectorAssembler(inputCols=columns, outputCol="_linear").transform(rows)
+    return rows.select(
+        "snapshot_date", "client_id", "split", *spec.labels, "random", *spec.rule_columns.values(), "_linear", "_trees"
+    )
+
+
+def with_score(model, df: DataFrame, out: str) -> DataFrame:
+    """Add the probability of the positive class."""
+    scored = model.transform(df).withColumn(out, vector_to_array(model.getProbabilityCol())[1])
+    return scored.drop(model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol())
 
 
 def fit_logistic(frame: DataFrame, label: str, max_iter: int = 1000):
     """L2 with unit strength on the summed loss, that is 1/n on Spark's mean loss."""
-    train = frame.filter("split = 'train'").select("_x", F.col(label).cast("double").alias("_y"))
+    train = frame.filter("split = 'train'").select("_linear", F.col(label).cast("double").alias("_y"))
     n = train.count()
     lr = LogisticRegression(
-        featuresCol="_x", labelCol="_y", regParam=1.0 / max(n, 1), standardization=False, maxIter=max_iter
+        featuresCol="_linear", labelCol="_y", regParam=1.0 / max(n, 1), standardization=False, maxIter=max_iter
     )
     return lr.fit(train)
 
 
-def boosting_frame(panel: DataFrame, spec: ModelSpec) -> tuple[DataFrame, list[str]]:
-    """Raw features; a missing value becomes -1 beside a flag, as trees here take no NULLs."""
-    nullable = (*spec.fill_with_flag, *spec.fill_only)
-    rows = panel.select(
-        "snapshot_date",
-        "client_id",
-        "split",
-        *spec.labels,
-        *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in spec.features],
-        *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in nullable],
-    )
-    columns = [*spec.features, *[f"{c}_missing" for c in nullable]]
-    return _with_vector(rows, columns, "_x").select(
-        "snapshot_date", "client_id", "split", *spec.labels, "_x"
-    ), columns
-
-
 def fit_boosted(frame: DataFrame, label: str, b: Boosting):
     """Trees on the training dates; rounds end when the validation dates stop gaining."""
     rows = frame.filter("split in ('train', 'val')").select(
-        "_x", F.col(label).cast("double").alias("_y"), (F.col("split") == "val").alias("_val")
+        "_trees", F.col(label).cast("double").alias("_y"), (F.col("split") == "val").alias("_val")
     )
     gbt = GBTClassifier(
-        featuresCol="_x",
+        featuresCol="_trees",
         labelCol="_y",
         validationIndicatorCol="_val",
         maxIter=b.rounds,
@@ -170,29 +167,27 @@ def feature_importance(model, columns: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
-def label_scores(panel: DataFrame, spec: ModelSpec, label: str, p: Params, b: Boosting) -> DataFrame:
-    """All methods' scores of the validation and test dates in long form, checkpointed."""
-    held_out = panel.filter("split in ('val', 'test')")
-    rules = spec.rules(held_out).withColumn("random", scores.random_score(p.seed))
-    rate = panel.filter("split = 'train'").agg(F.avg(F.col(label).cast("double"))).scalar()
-    rules = rules.withColumn("base_rate", rate)
-    lr_rows = logistic_frame(panel, spec).persist()
-    gbt_rows, _ = boosting_frame(panel, spec)
-    gbt_rows = gbt_rows.persist()
-    key = ["snapshot_date", "client_id"]
-    lr = _positive(fit_logistic(lr_rows, label), lr_rows.filter("split <> 'train'"), "logistic").select(*key, "logistic")
-    gbt = _positive(fit_boosted(gbt_rows, label, b), gbt_rows.filter("split <> 'train'"), "boosted").select(*key, "boosted")
-    wide = rules.join(lr, key).join(gbt, key)
-    methods = {"random": "random", "base_rate": "base_rate", **spec.rule_columns, "logistic": "logistic", "boosted": "boosted"}
-    out = materialize(scores.stacked(wide, methods, label))
-    lr_rows.unpersist()
-    gbt_rows.unpersist()
-    return out
+def label_scores(frame: DataFrame, spec: ModelSpec, label: str, b: Boosting, linear: bool = True) -> DataFrame:
+    """All methods' scores of the validation and test dates in long form.
+
+    ``frame`` is a written ``model_frame``. Models are applied one after the other to the
+    same rows, so nothing is joined.
+    """
+    rate = frame.filter("split = 'train'").agg(F.avg(F.col(label).cast("double"))).scalar()
+    rows = frame.filter("split in ('val', 'test')").withColumn("base_rate", rate)
+    methods = {"random": "random", "base_rate": "base_rate", **spec.rule_columns}
+    if linear:
+        rows = with_score(fit_logistic(frame, label), rows, "logistic")
+        methods["logistic"] = "logistic"
+    rows = with_score(fit_boosted(frame, label, b), rows, "boosted")
+    methods["boosted"] = "boosted"
+    return materialize(scores.stacked(rows, methods, label))
 
 
 def train_and_evaluate(panel: DataFrame, spec: ModelSpec, p: Params, b: Boosting) -> DataFrame:
     """One row of metrics per label, split and method."""
-    scored = [label_scores(panel, spec, label, p, b) for label in spec.labels]
+    frame = materialize(model_frame(panel, spec, p))
+    scored = [label_scores(frame, spec, label, b) for label in spec.labels]
     return metrics.full_evaluation(reduce(DataFrame.unionByName, scored), ["label", "split", "method"], p.metric_rates)
 
 
@@ -201,10 +196,11 @@ def targeting_simulation(panels: Sequence[tuple[ModelSpec, DataFrame]], p: Param
     tables = []
     for spec, panel in panels:
         keep = ["random", *spec.policies, "boosted"]
-        for label in spec.labels:
-            scored = label_scores(panel, spec, label, p, b).filter("split = 'test'").filter(F.col("method").isin(*keep))
-            table = metrics.targeting_table(scored, ["label"], p.contact_rates, "boosted", "recency")
-            tables.append(table.select(F.lit(spec.name).alias("model"), "*"))
+        frame = materialize(model_frame(panel, spec, p))
+        scored = [label_scores(frame, spec, label, b, linear=False) for label in spec.labels]
+        test = reduce(DataFrame.unionByName, scored).filter("split = 'test'").filter(F.col("method").isin(*keep))
+        table = metrics.targeting_table(test, ["label"], p.contact_rates, "boosted", "recency")
+        tables.append(table.select(F.lit(spec.name).alias("model"), "*"))
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -216,10 +212,9 @@ def experiment_assignment(panel: DataFrame, p: Params, b: Boosting) -> DataFrame
     """Clients of the latest snapshot in score bands and arms, with the covariates to check."""
     spec = propensity_spec(p)
     label = f"will_purchase_{min(p.label_days)}d"
-    rows, _ = boosting_frame(panel, spec)
-    rows = rows.persist()
-    model = fit_boosted(rows, label, b)
-    latest = _positive(model, latest_population(rows), "propensity_score").select("client_id", "propensity_score")
+    frame = materialize(model_frame(panel, spec, p))
+    model = fit_boosted(frame, label, b)
+    latest = with_score(model, latest_population(frame), "propensity_score").select("client_id", "propensity_score")
     a = p.activity_days
     covariates = latest_population(panel).select(
         "client_id",
@@ -229,8 +224,7 @@ def experiment_assignment(panel: DataFrame, p: Params, b: Boosting) -> DataFrame
         "n_purchase_occasions_so_far",
     )
     scored = materialize(latest.join(covariates, "client_id"))
-    rows.unpersist()
-    return materialize(experiment.assign(scored, "propensity_score", p))
+    return experiment.assign(scored, "propensity_score", p)
 
 
 def horizon_comparison(

@@ -48,10 +48,16 @@ SEGMENTS = (
 def client_rollup(streams: Streams) -> DataFrame:
     """Per-client totals of all streams from the client-day rows.
 
-    Distinct days are a count of rows, and the mean gap between occasions follows from the
-    first day, the last day and the occasion count.
+    Distinct days are a count of rows, the mean gap between occasions follows from the first
+    day, the last day and the occasion count, and the last gap from the last purchase day
+    and the one before it.
     """
-    return streams.days.groupBy("client_id").agg(
+    occasions = F.col("n_occasions")
+    bought_on = F.when(occasions > 0, F.col("d"))
+    earlier = Window.partitionBy("client_id").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    # days from the last occasion of a day to the one before it
+    gap = F.when(occasions > 1, F.lit(0)).otherwise(F.datediff("d", F.max(bought_on).over(earlier)))
+    return streams.days.withColumn("_gap", gap.cast("bigint")).groupBy("client_id").agg(
         F.min("first_ts").alias("first_event_ts"),
         F.max("last_ts").alias("last_event_ts"),
         F.count("d").alias("n_active_days"),
@@ -66,6 +72,7 @@ def client_rollup(streams: Streams) -> DataFrame:
         F.max("last_buy_ts").alias("last_purchase_ts"),
         F.min("first_visit_ts").alias("first_visit_ts"),
         F.min("first_search_ts").alias("first_search_ts"),
+        F.max_by("_gap", bought_on).alias("gap_before_last_purchase"),
     )
 
 
@@ -95,12 +102,13 @@ def _customer_360(streams: Streams, p: Params) -> DataFrame:
         (F.col("n_purchase_days") >= 2).alias("is_repeat_capable"),
         "first_visit_ts",
         "first_search_ts",
+        "gap_before_last_purchase",
     )
 
 
 def customer_360(streams: Streams, p: Params) -> DataFrame:
     """One row per client: counts, purchase summary and flags; removals alone count as cart use."""
-    return _customer_360(streams, p).drop("first_visit_ts", "first_search_ts")
+    return _customer_360(streams, p).drop("first_visit_ts", "first_search_ts", "gap_before_last_purchase")
 
 
 def customer_daily(streams: Streams) -> DataFrame:
@@ -185,27 +193,10 @@ def stage_of(p: Params) -> Column:
     )
 
 
-def _last_gap(client_days: DataFrame) -> DataFrame:
-    """Days between a buyer's last two occasions, from its last two purchase days."""
-    rank = F.row_number().over(Window.partitionBy("client_id").orderBy(F.col("d").desc()))
-    last_two = (
-        client_days.filter((F.col("n_occasions") > 0) & F.col("d").isNotNull())
-        .select("client_id", "d", "n_occasions", rank.alias("rank"))
-        .filter(F.col("rank") <= 2)
-    )
-    several = F.max(F.when(F.col("rank") == 1, F.col("n_occasions"))) > 1
-    apart = F.datediff(F.max("d"), F.max(F.when(F.col("rank") == 2, F.col("d")))).cast("bigint")
-    return last_two.groupBy("client_id").agg(
-        F.when(several, F.lit(0).cast("bigint")).otherwise(apart).alias("gap_before_last_purchase")
-    )
-
-
 def _staged_customers(streams: Streams, p: Params) -> DataFrame:
-    last_gap = _last_gap(streams.days)
     since = days_between("last_purchase_ts", log_end(streams))
     return (
         _customer_360(streams, p)
-        .join(last_gap, "client_id", "left")
         .withColumn("days_since_last_purchase", since)
         .withColumn("lifecycle_stage", stage_of(p))
     )

@@ -295,7 +295,7 @@ def register(reg: Registry) -> None:
     )
 
     def targeting(s):
-        return checks.targeting_rules(metrics.policy_table(materialize(buy_scored(s)), ["label", "split"], RATES), RATES)
+        return checks.targeting_rules(metrics.policy_table(buy_scored(s), ["label", "split"], RATES), RATES)
 
     reg.add(
         "c17_targeting_rules",

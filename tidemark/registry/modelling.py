@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..functions.dialect import parse_vector
 from ..operators import checks, clusters, experiment, learn, marts, panel, profile, reports, scores
-from ..plans.materialize import checkpoint_folder, materialize
+from ..plans.materialize import materialize, new_folder
 from ..sources import sinks
 from ..sources.streams import from_event_table
 from .base import Registry
-from .scoring import METRIC_CTES, buy_panel, buy_scored, churn_panel
-from .sql import STORE, d, i, r, store_sql
+from .scoring import METRIC_CTES, buy_panel, churn_panel
+from .sql import STORE, r, store_sql
 
 P = STORE
 # few rounds: the test labels are random, more trees would learn nothing
 B = learn.Boosting(rounds=4, depth=3, min_rows=20)
 SHORT = min(P.label_days)
+KEY = ("snapshot_date", "client_id")
 COVARIATES = ("days_since_last_purchase", f"n_page_visit_{P.activity_days}d", "n_purchase_occasions_so_far")
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder next to the checkpoints, which all executors can reach."""
-    return os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def register(reg: Registry) -> None:
     def store(fn):
         return lambda spark, sf: fn(from_event_table(spark, sf))
@@ -40,20 +34,19 @@ def register(reg: Registry) -> None:
     churn, buying = learn.churn_spec(P), learn.propensity_spec(P)
 
     def logistic(s):
-        frame = learn.logistic_frame(churn_panel(s), churn).persist()
+        frame = materialize(learn.model_frame(churn_panel(s), churn, P))
         model = learn.fit_logistic(frame, f"churn_{SHORT}d", max_iter=100)
-        return learn._positive(model, frame.filter("split = 'test'"), "score").select("snapshot_date", "client_id", "score")
+        return learn.with_score(model, frame.filter("split = 'test'"), "logistic").select(*KEY, "logistic")
 
     def boosted(s):
-        frame, _ = learn.boosting_frame(churn_panel(s), churn)
-        frame = frame.persist()
+        frame = materialize(learn.model_frame(churn_panel(s), churn, P))
         model = learn.fit_boosted(frame, f"churn_{SHORT}d", B)
-        return learn._positive(model, frame.filter("split = 'test'"), "score").select("snapshot_date", "client_id", "score")
+        return learn.with_score(model, frame.filter("split = 'test'"), "boosted").select(*KEY, "boosted")
 
     def importance(spark, sf):
-        frame, columns = learn.boosting_frame(buy_panel(from_event_table(spark, sf)), buying)
-        model = learn.fit_boosted(frame.persist(), f"will_purchase_{SHORT}d", B)
-        return learn.feature_importance(model, columns, spark)
+        frame = materialize(learn.model_frame(buy_panel(from_event_table(spark, sf)), buying, P))
+        model = learn.fit_boosted(frame, f"will_purchase_{SHORT}d", B)
+        return learn.feature_importance(model, learn.tree_inputs(buying), spark)
 
     reg.add("l12_logistic_regression", store(logistic))
     reg.add("l13_boosted_trees", store(boosted))
@@ -67,14 +60,20 @@ def register(reg: Registry) -> None:
         "l17_horizon_comparison",
         store(lambda s: learn.horizon_comparison(lambda q: panel.customer_snapshot(s, q), (3, 5, 7), horizons, B)),
     )
-
-    def simulation(s):
-        return learn.targeting_simulation([(churn, churn_panel(s)), (buying, buy_panel(s))], P, B)
-
-    reg.add("m11_targeting_simulation", store(simulation))
     reg.add(
-        "p05_policy_order",
-        store(lambda s: checks.policy_order(materialize(simulation(s)), "boosted", "random")),
+        "m11_targeting_simulation",
+        store(lambda s: learn.targeting_simulation([(churn, churn_panel(s)), (buying, buy_panel(s))], P, B)),
+    )
+    reg.add(
+        "p05_targeting_grid_churn", store(lambda s: learn.targeting_simulation([(churn, churn_panel(s))], P, B))
+    )
+    reg.add(
+        "c17_model_order",
+        store(
+            lambda s: checks.policy_order(
+                materialize(learn.targeting_simulation([(buying, buy_panel(s))], P, B)), "boosted", "random"
+            )
+        ),
     )
 
     # --- experiment ------------------------------------------------------------------
@@ -83,7 +82,7 @@ def register(reg: Registry) -> None:
         return materialize(learn.latest_population(rows))
 
     def assigned(s):
-        return materialize(experiment.assign(latest(s), "visit_propensity", P))
+        return experiment.assign(latest(s), "visit_propensity", P)
 
     bands = "CASE " + " ".join(
         f"WHEN pct >= {lo} AND pct < {hi} THEN '{name}'" for name, lo, hi in P.score_bands
@@ -341,12 +340,12 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "s04_build_layers",
-        lambda spark, sf: sinks.row_counts(sinks.build_layers(from_event_table(spark, sf), P, scratch(spark, "layers"))),
+        lambda spark, sf: sinks.row_counts(sinks.build_layers(from_event_table(spark, sf), P, new_folder(spark, "layers"))),
         store_sql(f"{counts}\nUNION ALL {marts_counts}"),
     )
 
     def exported(spark, sf):
-        path = scratch(spark, "csv")
+        path = new_folder(spark, "csv")
         rows = reports.distribution(marts.customer_segment(from_event_table(spark, sf), P), "segment")
         sinks.export_csv(rows, path)
         return spark.read.option("header", True).schema("segment string, n bigint, pct double").csv(path)

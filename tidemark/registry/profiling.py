@@ -10,7 +10,7 @@ from ..operators import profile
 from ..plans.rollup import EVENT_TYPES
 from ..sources.streams import from_event_table, products_from_parts, purchases_from_orders
 from .base import Registry
-from .sql import ORDERS, STORE, d, i, orders_sql, r, store_sql, t
+from .sql import ORDERS, STORE, d, orders_sql, r, store_sql, t
 
 TABLES = {
     "customer": "c_custkey",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators import facts, marts, metrics, panel, reports
-from ..plans.materialize import materialize
 from ..sources.streams import from_event_table, purchases_from_orders
 from .base import Registry
 from .profiling import long_sql
@@ -321,7 +320,7 @@ def register(reg: Registry) -> None:
         s = from_event_table(spark, sf)
         kpis = reports.overview_kpis(s, panel.purchase_propensity(s, P), P)
         segments = reports.with_segment_notes(reports.segment_profile(s, P))
-        scored = materialize(churn_scored(s).filter("split = 'test'").drop("split"))
+        scored = churn_scored(s).filter("split = 'test'").drop("split")
         return reports.report_facts(kpis, segments, metrics.policy_table(scored, ["label"], P.contact_rates))
 
     fact_rows = f"""

@@ -9,7 +9,7 @@ from ..operators import metrics, panel, scores
 from ..plans.materialize import materialize
 from ..sources.streams import Streams, from_event_table
 from .base import Registry
-from .sql import STORE, d, i, r, store_sql
+from .sql import STORE, d, r, store_sql
 
 P = STORE
 RATES = P.contact_rates
@@ -266,10 +266,10 @@ def register(reg: Registry) -> None:
 
     # --- metrics ---------------------------------------------------------------------
     def churn(fn):
-        return store(lambda s: fn(materialize(churn_scored(s))))
+        return store(lambda s: fn(churn_scored(s)))
 
     def buy(fn):
-        return store(lambda s: fn(materialize(buy_scored(s))))
+        return store(lambda s: fn(buy_scored(s)))
 
     reg.add(
         "e01_roc_auc",

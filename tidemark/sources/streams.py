@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.rollup import EVENT_TYPES, client_days
+from ..plans.rollup import client_days
 
 ITEM_KEY = {
     "product_buy": "sku",
