@@ -27,7 +27,7 @@ def log_end(streams: Streams) -> Column:
 
 def observation_period(streams: Streams, p: Params) -> DataFrame:
     """First and last event, days between, active days; flags for a span cut off by the log."""
-    span = streams.days.groupBy("client_id").agg(
+    span = streams.activity.groupBy("client_id").agg(
         F.min("first_ts").alias("first_event_ts"),
         F.max("last_ts").alias("last_event_ts"),
         F.count("d").alias("n_active_days"),
@@ -185,6 +185,8 @@ def cart_pairs(streams: Streams) -> DataFrame:
     the first add the removal has to be compared with the add itself; on later days the
     day's first removal is the candidate.
     """
+    if streams.cart_pair_table is not None:
+        return streams.cart_pair_table
     rows = streams.events.filter(F.col("event_type").isin("add_to_cart", "remove_from_cart", "product_buy"))
     ts = F.col("event_ts")
     add, remove, buy = (F.col("event_type") == t for t in ("add_to_cart", "remove_from_cart", "product_buy"))
@@ -219,17 +221,27 @@ def cart_pairs(streams: Streams) -> DataFrame:
     )
 
 
-def cart_behavior(streams: Streams) -> DataFrame:
-    """Cart use per client with an add or a removal.
+def removal_gap(streams: Streams) -> DataFrame:
+    """Median seconds from first add to the removal after it, for clients with such a pair.
 
     The median keeps one counter per distinct gap in whole seconds, so its state is bounded
     by the length of the log, not by the number of pairs.
     """
+    gap = seconds_between("first_add_ts", "remove_after_add_ts")
+    return (
+        cart_pairs(streams)
+        .filter(F.col("sku").isNotNull() & F.col("remove_after_add_ts").isNotNull())
+        .groupBy("client_id")
+        .agg(F.percentile(gap, 0.5).alias("median_seconds_add_to_remove"))
+    )
+
+
+def cart_behavior(streams: Streams) -> DataFrame:
+    """Cart use per client with an add or a removal."""
     pair = F.col("sku").isNotNull()
     converted = pair & (F.col("first_buy_ts") >= F.col("first_add_ts"))
     hours = seconds_between("first_add_ts", "first_buy_ts") / F.lit(3600.0)
-    removal = F.when(pair, seconds_between("first_add_ts", "remove_after_add_ts"))
-    return (
+    totals = (
         cart_pairs(streams)
         .groupBy("client_id")
         .agg(
@@ -243,17 +255,17 @@ def cart_behavior(streams: Streams) -> DataFrame:
             F.max("last_remove_ts").alias("last_remove_ts"),
             count_where(converted).alias("n_add_to_buy_pairs"),
             F.avg(F.when(converted, hours)).alias("avg_hours_add_to_buy"),
-            F.percentile(removal, 0.5).alias("median_seconds_add_to_remove"),
         )
         .filter((F.col("n_add") > 0) | (F.col("n_remove") > 0))
     )
+    return totals.join(removal_gap(streams), "client_id", "left")
 
 
 def daily_activity(streams: Streams) -> DataFrame:
     """Events per client and day, by type and in all, and how many types occurred."""
     counts = [f"n_{t}" for t in EVENT_TYPES]
     kinds = sum((F.col(c) > 0).cast("bigint") for c in counts)
-    return streams.days.select(
+    return streams.activity.select(
         "client_id",
         F.col("d").alias("activity_date"),
         *counts,

@@ -11,7 +11,7 @@ from ..plans.ranking import exact_quantiles
 from ..sources.streams import Streams
 from .facts import (
     category_behavior,
-    cart_behavior,
+    removal_gap,
     daily_activity,
     edge_occasions,
     gap_counts,
@@ -248,9 +248,13 @@ def lifecycle_thresholds(buy: DataFrame) -> DataFrame:
     )
 
 
-def customer_segment(streams: Streams, p: Params) -> DataFrame:
-    """Nine segments on top of the stages, and how carts were given up."""
-    carts = cart_behavior(streams).select("client_id", "median_seconds_add_to_remove")
+def customer_segment(streams: Streams, p: Params, carts: DataFrame | None = None) -> DataFrame:
+    """Nine segments on top of the stages, and how carts were given up.
+
+    ``carts`` may be the written cart-behaviour table.
+    """
+    carts = removal_gap(streams) if carts is None else carts
+    carts = carts.select("client_id", "median_seconds_add_to_remove")
     rows = _staged_customers(streams, p).join(carts, "client_id", "left")
     stage, gap = F.col("lifecycle_stage"), F.col("median_seconds_add_to_remove")
     subtype = (

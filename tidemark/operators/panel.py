@@ -24,6 +24,8 @@ from ..sources.streams import Streams
 
 def category_starts(streams: Streams) -> DataFrame:
     """First and second purchase occasion of each client in each category."""
+    if streams.category_start_table is not None:
+        return streams.category_start_table
     buys = streams.buy.filter(F.col("event_ts").isNotNull())
     per_sku = buys.select("client_id", "sku", "event_ts").distinct()
     known = spread_lookup(per_sku, streams.products.select("sku", "category"), ["sku"], ["client_id", "event_ts"])
@@ -197,7 +199,6 @@ def panel(streams: Streams, p: Params) -> DataFrame:
     return grid.attach(flows).select(
         grid.date(idx).alias("snapshot_date"),
         "client_id",
-        "idx",
         running(F.max, "active").alias("is_active"),
         last_buy.alias("last_purchase_ts"),
         days_between(last_buy, grid.date(idx)).alias("days_since_last_purchase"),
@@ -214,19 +215,38 @@ def panel(streams: Streams, p: Params) -> DataFrame:
     )
 
 
-def _with_category_rate(rows: DataFrame, streams: Streams, p: Params) -> DataFrame:
-    grid = snapshot_grid(streams.bounds, p)
-    rates = client_category_rates(category_starts(streams), grid, p)
-    return rows.join(rates, ["client_id", "idx"], "left")
+def population(streams: Streams, p: Params) -> DataFrame:
+    """Panel rows of active clients: past buyers, and those browsing with some intent.
+
+    A client is in once it has enough visits, has searched before its first visit, has put
+    something in a cart, or has bought. Both panels below are parts of it.
+    """
+    search_first = F.col("first_search_ts") < F.col("first_visit_ts")
+    has_history = F.col("n_purchase_occasions_so_far") > 0
+    browsing = F.col("is_active") & (
+        (F.col("cum_visits") >= p.high_intent_visits)
+        | F.coalesce(search_first, F.lit(False))
+        | (F.col("cum_adds") > 0)
+    )
+    return panel(streams, p).filter(has_history | browsing)
+
+
+KEY = ["snapshot_date", "client_id"]
 
 
-def customer_snapshot(streams: Streams, p: Params) -> DataFrame:
-    """Past buyers at each snapshot date with features and repurchase labels."""
-    rows = panel(streams, p).filter(F.col("n_purchase_occasions_so_far") > 0)
+def customer_snapshot(
+    streams: Streams, p: Params, rows: DataFrame | None = None, rates: DataFrame | None = None
+) -> DataFrame:
+    """Past buyers at each snapshot date with features and repurchase labels.
+
+    ``rows`` (the population) and ``rates`` (the category rates per client) may be given as
+    written tables.
+    """
+    rows = panel(streams, p) if rows is None else rows
+    rates = category_repurchase_avg_by_snapshot(streams, p) if rates is None else rates
     a = p.activity_days
-    return _with_category_rate(rows, streams, p).select(
-        "snapshot_date",
-        "client_id",
+    return rows.filter(F.col("n_purchase_occasions_so_far") > 0).join(rates, KEY, "left").select(
+        *KEY,
         "last_purchase_ts",
         "days_since_last_purchase",
         "n_purchase_occasions_so_far",
@@ -248,25 +268,16 @@ def churn_target(snapshot: DataFrame, p: Params) -> DataFrame:
     return snapshot.drop(*purchase).withColumnsRenamed(names)
 
 
-def purchase_propensity(streams: Streams, p: Params) -> DataFrame:
-    """Active clients at each snapshot date, with or without a purchase so far.
-
-    A client is in once it has enough visits, has searched before its first visit, has put
-    something in a cart, or has bought.
-    """
-    search_first = F.col("first_search_ts") < F.col("first_visit_ts")
-    has_history = F.col("n_purchase_occasions_so_far") > 0
-    browsing = F.col("is_active") & (
-        (F.col("cum_visits") >= p.high_intent_visits)
-        | F.coalesce(search_first, F.lit(False))
-        | (F.col("cum_adds") > 0)
-    )
-    rows = panel(streams, p).filter(has_history | browsing)
+def purchase_propensity(
+    streams: Streams, p: Params, rows: DataFrame | None = None, rates: DataFrame | None = None
+) -> DataFrame:
+    """The active population at each snapshot date, with or without a purchase so far."""
+    rows = population(streams, p) if rows is None else rows
+    rates = category_repurchase_avg_by_snapshot(streams, p) if rates is None else rates
     a = p.activity_days
-    return _with_category_rate(rows, streams, p).select(
-        "snapshot_date",
-        "client_id",
-        has_history.alias("has_purchase_history"),
+    return rows.join(rates, KEY, "left").select(
+        *KEY,
+        (F.col("n_purchase_occasions_so_far") > 0).alias("has_purchase_history"),
         "last_purchase_ts",
         "days_since_last_purchase",
         "n_purchase_occasions_so_far",

@@ -15,19 +15,45 @@ from ..functions.dialect import day, midnight
 EVENT_TYPES = ("page_visit", "search_query", "add_to_cart", "remove_from_cart", "product_buy")
 
 
-def client_days(events: DataFrame) -> DataFrame:
+def activity_days(events: DataFrame) -> DataFrame:
+    """Counts and first and last times per client and day."""
+    return _per_day(events)
+
+
+def client_days(events: DataFrame, buy: DataFrame) -> DataFrame:
+    """The same with the day's purchase occasions.
+
+    The few purchases are made distinct on their own and enter as extra rows, so the log is
+    shuffled once, after partial aggregation, and is not joined.
+    """
+    occasions = buy.select("client_id", "event_ts").filter(F.col("event_ts").isNotNull()).distinct()
+    rows = events.select("client_id", "event_ts", "event_type").unionByName(
+        occasions.withColumn("event_type", F.lit("occasion"))
+    )
+    is_occasion = F.col("event_type") == "occasion"
+    at_midnight = F.col("event_ts") == midnight(day("event_ts"))
+    return _per_day(
+        rows,
+        F.count_if(is_occasion).alias("n_occasions"),
+        (F.count_if(is_occasion & at_midnight) > 0).alias("has_midnight_buy"),
+    )
+
+
+def _per_day(rows: DataFrame, *more) -> DataFrame:
     ts, kind = F.col("event_ts"), F.col("event_type")
-    buy_ts = F.when(kind == "product_buy", ts)
-    at_midnight = ts == midnight(day("event_ts"))
-    return events.groupBy("client_id", day("event_ts").alias("d")).agg(
-        *[F.count_if(kind == t).alias(f"n_{t}") for t in EVENT_TYPES],
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_distinct(buy_ts).alias("n_occasions"),
-        F.max(F.when(at_midnight, buy_ts)).isNotNull().alias("has_midnight_buy"),
+
+    def of(name):
+        return F.when(kind == name, ts)
+
+    counts = {t: F.count_if(kind == t) for t in EVENT_TYPES}
+    return rows.groupBy("client_id", day("event_ts").alias("d")).agg(
+        *[c.alias(f"n_{t}") for t, c in counts.items()],
+        sum(counts.values()).alias("n_events"),
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
-        F.min(buy_ts).alias("first_buy_ts"),
-        F.max(buy_ts).alias("last_buy_ts"),
-        F.min(F.when(kind == "page_visit", ts)).alias("first_visit_ts"),
-        F.min(F.when(kind == "search_query", ts)).alias("first_search_ts"),
+        F.min(of("product_buy")).alias("first_buy_ts"),
+        F.max(of("product_buy")).alias("last_buy_ts"),
+        F.min(of("page_visit")).alias("first_visit_ts"),
+        F.min(of("search_query")).alias("first_search_ts"),
+        *more,
     )

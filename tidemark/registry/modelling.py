@@ -322,6 +322,9 @@ def register(reg: Registry) -> None:
             ("int_purchase_gap", "gaps"),
             ("int_purchase_history", "buys"),
             ("int_cart_behavior", "cart"),
+            ("int_cart_pair", "(SELECT DISTINCT client_id, sku FROM ev WHERE event_type NOT IN ('page_visit', 'search_query'))"),
+            ("int_category_start", "cats"),
+            ("int_population", "prop"),
             ("int_daily_activity", "daily"),
             ("int_category_behavior", "cats"),
             ("int_category_repurchase", "cat_rate"),

@@ -25,11 +25,14 @@ FACTS: dict[str, Make] = {
     "int_observation_period": lambda s, p, t: facts.observation_period(s, p),
     "int_purchase_gap": lambda s, p, t: facts.purchase_gap(s.buy),
     "int_purchase_history": lambda s, p, t: facts.purchase_history(s.buy),
+    "int_cart_pair": lambda s, p, t: facts.cart_pairs(s),
     "int_cart_behavior": lambda s, p, t: facts.cart_behavior(s),
     "int_daily_activity": lambda s, p, t: facts.daily_activity(s),
     "int_category_behavior": lambda s, p, t: facts.category_behavior(s.buy, s.products),
+    "int_category_start": lambda s, p, t: panel.category_starts(s),
     "int_category_repurchase": lambda s, p, t: panel.category_repurchase_by_snapshot(s, p),
     "int_category_repurchase_avg": lambda s, p, t: panel.category_repurchase_avg_by_snapshot(s, p),
+    "int_population": lambda s, p, t: panel.population(s, p),
 }
 MARTS: dict[str, Make] = {
     "mart_customer_360": lambda s, p, t: marts.customer_360(s, p),
@@ -38,12 +41,20 @@ MARTS: dict[str, Make] = {
     "mart_customer_cohort": lambda s, p, t: marts.customer_cohort(t["int_purchase_gap"]),
     "mart_customer_retention": lambda s, p, t: marts.customer_retention(s, p),
     "mart_customer_lifecycle": lambda s, p, t: marts.customer_lifecycle(s, p),
-    "mart_customer_segment": lambda s, p, t: marts.customer_segment(s, p),
-    "mart_customer_snapshot": lambda s, p, t: panel.customer_snapshot(s, p),
+    "mart_customer_segment": lambda s, p, t: marts.customer_segment(s, p, t["int_cart_behavior"]),
+    "mart_customer_snapshot": lambda s, p, t: panel.customer_snapshot(s, p, t["int_population"], t["int_category_repurchase_avg"]),
     "mart_churn_target": lambda s, p, t: panel.churn_target(t["mart_customer_snapshot"], p),
-    "mart_purchase_propensity": lambda s, p, t: panel.purchase_propensity(s, p),
+    "mart_purchase_propensity": lambda s, p, t: panel.purchase_propensity(
+        s, p, t["int_population"], t["int_category_repurchase_avg"]
+    ),
+}
+BY_DATE = {"int_population", "mart_customer_snapshot", "mart_churn_target", "mart_purchase_propensity"}
+# written tables that later steps read instead of working them out again
+REUSED = {
+    "int_client_day": "day_table",
+    "int_cart_pair": "cart_pair_table",
+    "int_category_start": "category_start_table",
 }
-BY_DATE = {"mart_customer_snapshot", "mart_churn_target", "mart_purchase_propensity"}
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -76,8 +87,8 @@ def build_layers(streams: Streams, p: Params, folder: str) -> dict[str, DataFram
     )
     for name, make in {**FACTS, **MARTS}.items():
         built[name] = write_table(make(streams, p, built), folder, name)
-        if name == "int_client_day":
-            streams = replace(streams, day_table=built[name])
+        if name in REUSED:
+            streams = replace(streams, **{REUSED[name]: built[name]})
     return built
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.rollup import client_days
+from ..plans.rollup import activity_days, client_days
 
 ITEM_KEY = {
     "product_buy": "sku",
@@ -23,8 +23,9 @@ class Streams:
     """Typed event frames ``(client_id, event_ts, <item key>)`` and the product dimension.
 
     ``tagged`` may hold all events as one frame when they come from one table; otherwise
-    it is the union of the five. ``day_table`` may hold the written client-day rollup; it is
-    worked out from the events where it is not given.
+    it is the union of the five. The last three may hold tables written before: the
+    client-day rollup, cart facts per (client, sku), and the first occasions per (client,
+    category). Where one is not given it is worked out from the events.
     """
 
     buy: DataFrame
@@ -35,6 +36,8 @@ class Streams:
     products: DataFrame
     tagged: DataFrame | None = None
     day_table: DataFrame | None = None
+    cart_pair_table: DataFrame | None = None
+    category_start_table: DataFrame | None = None
 
     def by_type(self) -> dict[str, DataFrame]:
         return {
@@ -59,8 +62,13 @@ class Streams:
 
     @property
     def days(self) -> DataFrame:
-        """One row per client and day."""
-        return self.day_table if self.day_table is not None else client_days(self.events)
+        """One row per client and day, with purchase occasions."""
+        return self.day_table if self.day_table is not None else client_days(self.events, self.buy)
+
+    @property
+    def activity(self) -> DataFrame:
+        """One row per client and day, counts and times only."""
+        return self.day_table if self.day_table is not None else activity_days(self.events)
 
     @property
     def bounds(self) -> DataFrame:
