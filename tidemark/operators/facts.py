@@ -27,11 +27,13 @@ def log_end(streams: Streams) -> Column:
 
 def observation_period(streams: Streams, p: Params) -> DataFrame:
     """First and last event, days between, active days; flags for a span cut off by the log."""
-    span = streams.activity.groupBy("client_id").agg(
-        F.min("first_ts").alias("first_event_ts"),
-        F.max("last_ts").alias("last_event_ts"),
-        F.count("d").alias("n_active_days"),
-    )
+    span = streams.rollup_table
+    if span is None:
+        span = streams.activity.groupBy("client_id").agg(
+            F.min("first_ts").alias("first_event_ts"),
+            F.max("last_ts").alias("last_event_ts"),
+            F.count("d").alias("n_active_days"),
+        )
     first = F.col("first_event_ts")
     return span.select(
         "client_id",
@@ -49,16 +51,17 @@ def occasions(buy: DataFrame) -> DataFrame:
 
 
 def occasion_days(buy: DataFrame) -> DataFrame:
-    """Occasions per client and day with the gap in days to the client's previous day."""
-    per_day = (
-        buy.filter(F.col("event_ts").isNotNull())
-        .groupBy("client_id", day("event_ts").alias("d"))
-        .agg(
-            F.count_distinct("event_ts").alias("n_occasions"),
-            F.count(F.lit(1)).alias("n_rows"),
-        )
+    """Rows and occasions per client and day, with the gap in days to the client's previous day.
+
+    Rows without a time form one group without a day and without occasions.
+    """
+    per_day = buy.groupBy("client_id", day("event_ts").alias("d")).agg(
+        F.count_distinct("event_ts").alias("n_occasions"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("event_ts").alias("first_ts"),
+        F.max("event_ts").alias("last_ts"),
     )
-    w = Window.partitionBy("client_id").orderBy("d")
+    w = Window.partitionBy("client_id").orderBy(F.col("d").asc_nulls_first())
     return per_day.withColumn("day_gap", F.datediff("d", F.lag("d").over(w)).cast("bigint"))
 
 
@@ -84,19 +87,17 @@ def purchase_gap(buy: DataFrame) -> DataFrame:
     Gaps inside a day are 0, so they only add to the count; sums of whole numbers keep
     mean and deviation exact.
     """
-    spans = buy.groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("n_purchases"),
-        F.min("event_ts").alias("first_purchase_ts"),
-        F.max("event_ts").alias("last_purchase_ts"),
-    )
     g = F.col("day_gap")
     per_client = (
         occasion_days(buy)
         .groupBy("client_id")
         .agg(
-            F.count(F.lit(1)).alias("n_purchase_days"),
+            F.sum("n_rows").alias("n_purchases"),
+            F.count("d").alias("n_purchase_days"),
+            F.min("first_ts").alias("first_purchase_ts"),
+            F.max("last_ts").alias("last_purchase_ts"),
             (F.sum("n_occasions") - 1).alias("n"),
-            F.max(F.when(F.col("n_occasions") > 1, 0)).alias("zero"),
+            F.max(F.when(F.col("n_occasions") > 1, F.lit(0).cast("bigint"))).alias("zero"),
             F.sum(g).alias("s"),
             F.sum(g * g).alias("ss"),
             F.min(g).alias("lo"),
@@ -105,25 +106,17 @@ def purchase_gap(buy: DataFrame) -> DataFrame:
     )
     n, s = F.col("n").cast("double"), F.coalesce("s", F.lit(0)).cast("double")
     ss = F.coalesce("ss", F.lit(0)).cast("double")
-    gaps = per_client.select(
+    return per_client.select(
         "client_id",
+        "n_purchases",
         "n_purchase_days",
+        "first_purchase_ts",
+        "last_purchase_ts",
         F.when(n >= 1, s / n).alias("avg_purchase_gap_days"),
         F.when(n >= 2, F.sqrt((n * ss - s * s) / (n * (n - 1)))).alias("stddev_purchase_gap_days"),
         F.least("zero", "lo").alias("min_purchase_gap_days"),
         F.greatest("zero", "hi").alias("max_purchase_gap_days"),
     )
-    return spans.join(gaps, "client_id", "left").select(
-        "client_id",
-        "n_purchases",
-        F.coalesce("n_purchase_days", F.lit(0).cast("bigint")).alias("n_purchase_days"),
-        "first_purchase_ts",
-        "last_purchase_ts",
-        "avg_purchase_gap_days",
-        "stddev_purchase_gap_days",
-        "min_purchase_gap_days",
-        "max_purchase_gap_days",
-    )
 
 
 def purchase_history(buy: DataFrame) -> DataFrame:
@@ -133,7 +126,7 @@ def purchase_history(buy: DataFrame) -> DataFrame:
     """
     known = buy.filter(F.col("event_ts").isNotNull()).withColumn("d", day("event_ts"))
     earlier = Window.partitionBy("client_id").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    shift = occasion_days(buy).select(
+    shift = occasion_days(known).select(
         "client_id",
         "d",
         "day_gap",

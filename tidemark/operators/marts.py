@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import count_where, days, days_between, midnight, week_start
+from ..functions.dialect import count_where, day, days, days_between, midnight, week_start
 from ..params import Params
 from ..plans.ranking import exact_quantiles
 from ..sources.streams import Streams
 from .facts import (
-    category_behavior,
     removal_gap,
     daily_activity,
     edge_occasions,
     gap_counts,
     log_end,
     log_start,
-    occasion_days,
 )
+from .panel import category_starts
 
 STAGES = (
     "first_purchase",
@@ -52,6 +51,8 @@ def client_rollup(streams: Streams) -> DataFrame:
     day, the last day and the occasion count, and the last gap from the last purchase day
     and the one before it.
     """
+    if streams.rollup_table is not None:
+        return streams.rollup_table
     occasions = F.col("n_occasions")
     bought_on = F.when(occasions > 0, F.col("d"))
     earlier = Window.partitionBy("client_id").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,14 +149,9 @@ def customer_retention(streams: Streams, p: Params) -> DataFrame:
     censoring flags are measured from the cohort's Monday.
     """
     edges = edge_occasions(streams.buy)
-    purchase_days = occasion_days(streams.buy).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_purchase_days"))
-    diversity = (
-        category_behavior(streams.buy, streams.products)
-        .filter(F.col("category").isNotNull())
-        .groupBy("client_id")
-        .agg(F.count(F.lit(1)).alias("n_categories"))
-    )
-    clients = edges.join(purchase_days, "client_id").join(diversity, "client_id", "left")
+    diversity = category_starts(streams).groupBy("client_id").agg(F.count("category").alias("n_categories"))
+    diversity = diversity.filter(F.col("n_categories") > 0)
+    clients = edges.join(_purchase_days(streams), "client_id").join(diversity, "client_id", "left")
 
     def back_within(n):
         return F.coalesce((F.col("ts_2") <= F.col("ts_1") + days(n)).cast("double"), F.lit(0.0))
@@ -176,6 +172,17 @@ def customer_retention(streams: Streams, p: Params) -> DataFrame:
     )
 
 
+def _purchase_days(streams: Streams) -> DataFrame:
+    if streams.rollup_table is not None:
+        return streams.rollup_table.filter(F.col("n_purchase_days") > 0).select("client_id", "n_purchase_days")
+    return purchase_days(streams.buy)
+
+
+def purchase_days(buy: DataFrame) -> DataFrame:
+    per_day = buy.filter(F.col("event_ts").isNotNull()).select("client_id", day("event_ts").alias("d")).distinct()
+    return per_day.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_purchase_days"))
+
+
 def stage_of(p: Params) -> Column:
     """Lifecycle stage from recency, purchase days and the gap before the last purchase."""
     buyer, since, bought = F.col("is_buyer"), F.col("days_since_last_purchase"), F.col("n_purchase_days")
@@ -216,10 +223,9 @@ def customer_lifecycle(streams: Streams, p: Params) -> DataFrame:
 def lifecycle_from_purchases(buy: DataFrame, p: Params) -> DataFrame:
     """Buyer stages when the purchases are the only stream; the last purchase ends the log."""
     edges = edge_occasions(buy, last=True)
-    spans = occasion_days(buy).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_purchase_days"))
     none = F.lit(0).cast("bigint")
     return (
-        edges.join(spans, "client_id")
+        edges.join(purchase_days(buy), "client_id")
         .select(
             "client_id",
             F.lit(True).alias("is_buyer"),

@@ -123,12 +123,14 @@ def category_repurchase_avg_by_snapshot(streams: Streams, p: Params) -> DataFram
 
 def _touched(grid: Grid, p: Params) -> Column:
     """Grid indexes a client-day matters for; all later ones for the client's first day."""
-    d, ahead, back = F.col("d"), max(p.activity_days, *p.purchase_windows), max(p.label_days)
+    d, ahead = F.col("d"), max(p.activity_days, *p.purchase_windows)
     entry = grid.first_after(d)
+    # only purchases matter to earlier snapshots, through their labels
+    begin = F.when(F.col("n_occasions") > 0, grid.at_or_after(F.date_sub(d, max(p.label_days)))).otherwise(entry)
     end = F.when(F.col("is_first_day"), grid.last).otherwise(
         F.least(grid.last, F.greatest(entry, grid.at_or_before(F.date_add(d, ahead))))
     )
-    return index_range(grid.at_or_after(F.date_sub(d, back)), end)
+    return index_range(begin, end)
 
 
 def panel(streams: Streams, p: Params) -> DataFrame:

@@ -16,7 +16,8 @@ from ..params import Params
 from ..plans.joins import spread_lookup
 from ..plans.rollup import EVENT_TYPES
 from ..sources.streams import Streams
-from .facts import cart_pairs, daily_activity, log_end, log_start, observation_period, occasion_days
+from .facts import cart_pairs, daily_activity, log_end, log_start, observation_period
+from .marts import purchase_days
 from .staging import staged_flags
 
 TYPE_BIT = {name: 1 << n for n, name in enumerate(EVENT_TYPES)}
@@ -383,7 +384,7 @@ def buyer_summary(buy: DataFrame, products: DataFrame) -> DataFrame:
             F.count_distinct("category").alias("categories"),
         )
     )
-    day_counts = occasion_days(buy).groupBy("client_id").agg(F.count(F.lit(1)).alias("purchase_days"))
+    day_counts = purchase_days(buy).withColumnRenamed("n_purchase_days", "purchase_days")
     kinds = ["purchases", "purchase_days", "unique_skus", "categories"]
     rows = per_client.join(day_counts, "client_id")
     spread = spread_of(rows, kinds, [0.5])

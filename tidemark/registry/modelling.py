@@ -318,6 +318,7 @@ def register(reg: Registry) -> None:
         f"SELECT '{name}', count(*) FROM {source}"
         for name, source in (
             ("int_client_day", "daily"),
+            ("int_client_rollup", "obs"),
             ("int_observation_period", "obs"),
             ("int_purchase_gap", "gaps"),
             ("int_purchase_history", "buys"),

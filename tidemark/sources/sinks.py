@@ -22,6 +22,7 @@ STAGING: dict[str, Make] = {
 }
 FACTS: dict[str, Make] = {
     "int_client_day": lambda s, p, t: s.days,
+    "int_client_rollup": lambda s, p, t: marts.client_rollup(s),
     "int_observation_period": lambda s, p, t: facts.observation_period(s, p),
     "int_purchase_gap": lambda s, p, t: facts.purchase_gap(s.buy),
     "int_purchase_history": lambda s, p, t: facts.purchase_history(s.buy),
@@ -52,6 +53,7 @@ BY_DATE = {"int_population", "mart_customer_snapshot", "mart_churn_target", "mar
 # written tables that later steps read instead of working them out again
 REUSED = {
     "int_client_day": "day_table",
+    "int_client_rollup": "rollup_table",
     "int_cart_pair": "cart_pair_table",
     "int_category_start": "category_start_table",
 }

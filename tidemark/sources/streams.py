@@ -23,9 +23,10 @@ class Streams:
     """Typed event frames ``(client_id, event_ts, <item key>)`` and the product dimension.
 
     ``tagged`` may hold all events as one frame when they come from one table; otherwise
-    it is the union of the five. The last three may hold tables written before: the
-    client-day rollup, cart facts per (client, sku), and the first occasions per (client,
-    category). Where one is not given it is worked out from the events.
+    it is the union of the five. The last four may hold tables written before: the
+    client-day rollup, the client rollup, cart facts per (client, sku), and the first
+    occasions per (client, category). Where one is not given it is worked out from the
+    events.
     """
 
     buy: DataFrame
@@ -36,6 +37,7 @@ class Streams:
     products: DataFrame
     tagged: DataFrame | None = None
     day_table: DataFrame | None = None
+    rollup_table: DataFrame | None = None
     cart_pair_table: DataFrame | None = None
     category_start_table: DataFrame | None = None
 
