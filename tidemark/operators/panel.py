@@ -133,8 +133,13 @@ def _touched(grid: Grid, p: Params) -> Column:
     return index_range(begin, end)
 
 
-def panel(streams: Streams, p: Params) -> DataFrame:
-    """One row per client and snapshot date after the client's first event, all features."""
+def panel(streams: Streams, p: Params, keep: Column) -> DataFrame:
+    """One row per client and snapshot date after the client's first event, all features.
+
+    ``keep`` decides on the totals of a client over the whole log (``all_visits``,
+    ``all_adds``, ``all_occasions``, ``first_visit``, ``first_search``) which clients can
+    enter at any date; the others are dropped before their days are spread over the grid.
+    """
     grid = snapshot_grid(streams.bounds, p)
     starts = category_starts(streams)
     new_categories = (
@@ -144,12 +149,18 @@ def panel(streams: Streams, p: Params) -> DataFrame:
     per_day = known.unionByName(new_categories, allowMissingColumns=True)
     by_client = Window.partitionBy("client_id")
     active = F.when(F.col("n_occasions").isNotNull(), F.col("d"))
-    per_day = grid.attach(per_day.repartition("client_id")).select(
-        "*",
-        ((active == F.min(active).over(by_client)) & F.col("n_occasions").isNotNull()).alias("is_first_day"),
-    )
-    per_day = per_day.withColumn("is_first_day", F.coalesce("is_first_day", F.lit(False)))
-    at = per_day.withColumn("idx", F.explode(_touched(grid, p))).withColumn("s", grid.date(F.col("idx")))
+    totals = {
+        "all_visits": F.sum("n_page_visit"),
+        "all_adds": F.sum("n_add_to_cart"),
+        "all_occasions": F.sum("n_occasions"),
+        "first_visit": F.min("first_visit_ts"),
+        "first_search": F.min("first_search_ts"),
+        "first_day": F.min(active),
+    }
+    per_day = per_day.select("*", *[x.over(by_client).alias(name) for name, x in totals.items()]).filter(keep)
+    is_first_day = F.coalesce(active == F.col("first_day"), F.lit(False))
+    at = grid.attach(per_day).withColumn("is_first_day", is_first_day)
+    at = at.withColumn("idx", F.explode(_touched(grid, p))).withColumn("s", grid.date(F.col("idx")))
 
     d, s, idx = F.col("d"), F.col("s"), F.col("idx")
     enters = grid.first_after(d) == idx
@@ -230,7 +241,13 @@ def population(streams: Streams, p: Params) -> DataFrame:
         | F.coalesce(search_first, F.lit(False))
         | (F.col("cum_adds") > 0)
     )
-    return panel(streams, p).filter(has_history | browsing)
+    candidate = (
+        (F.col("all_occasions") > 0)
+        | (F.col("all_visits") >= p.high_intent_visits)
+        | F.coalesce(F.col("first_search") < F.col("first_visit"), F.lit(False))
+        | (F.col("all_adds") > 0)
+    )
+    return panel(streams, p, candidate).filter(has_history | browsing)
 
 
 KEY = ["snapshot_date", "client_id"]
@@ -244,7 +261,7 @@ def customer_snapshot(
     ``rows`` (the population) and ``rates`` (the category rates per client) may be given as
     written tables.
     """
-    rows = panel(streams, p) if rows is None else rows
+    rows = panel(streams, p, F.col("all_occasions") > 0) if rows is None else rows
     rates = category_repurchase_avg_by_snapshot(streams, p) if rates is None else rates
     a = p.activity_days
     return rows.filter(F.col("n_purchase_occasions_so_far") > 0).join(rates, KEY, "left").select(
