@@ -138,7 +138,7 @@ def timestamp_audit(events: DataFrame, cutoff: str) -> DataFrame:
     )
     return per_type.select(
         "*",
-        F.timestamp_diff("DAY", "min_ts", "max_ts").alias("observation_days"),
+        F.extract(F.lit("DAY"), F.col("max_ts") - F.col("min_ts")).cast("bigint").alias("observation_days"),
         ratio("rows_after_cutoff", "row_count", 100).alias("pct_after_cutoff"),
     )
 

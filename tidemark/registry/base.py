@@ -19,10 +19,8 @@ def present(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double"), 6)
-        elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        elif isinstance(f.dataType, (T.DateType, T.TimestampNTZType)):
+            c = c.cast("string")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

@@ -68,6 +68,14 @@ def register(reg: Registry) -> None:
         """SELECT count(*) AS n_duplicated_values, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows_in_duplicates
            FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)""",
     )
+    reg.add(
+        "q02_duplicated_rows_orders",
+        orders(profile.duplicated_rows),
+        orders_sql(
+            """SELECT count(*) AS n_duplicated_values, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows_in_duplicates
+               FROM (SELECT client_id, event_ts, sku, count(*) AS n FROM buys GROUP BY 1, 2, 3 HAVING count(*) > 1)"""
+        ),
+    )
     reg.add(
         "q03_key_uniqueness",
         lambda spark, sf: profile.key_uniqueness(

@@ -46,11 +46,11 @@ ORDERS = Params(
 
 
 def t(col: str, name: str | None = None) -> str:
-    return f"strftime({col}, '%Y-%m-%d %H:%M:%S.%f') AS {name or col.split('.')[-1]}"
+    return f"CAST({col} AS VARCHAR) AS {name or col.split('.')[-1]}"
 
 
 def d(col: str, name: str | None = None) -> str:
-    return f"strftime(CAST({col} AS DATE), '%Y-%m-%d') AS {name or col.split('.')[-1]}"
+    return f"CAST(CAST({col} AS DATE) AS VARCHAR) AS {name or col.split('.')[-1]}"
 
 
 def r(expr: str, name: str | None = None) -> str:
