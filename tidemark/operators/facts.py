@@ -230,12 +230,21 @@ def removal_gap(streams: Streams) -> DataFrame:
 
 
 def cart_behavior(streams: Streams) -> DataFrame:
-    """Cart use per client with an add or a removal."""
+    """Cart use per client with an add or a removal.
+
+    The median removal gap is the mean of the middle one or two gaps in the order of a
+    client's pairs, of which there are at most as many as products.
+    """
     pair = F.col("sku").isNotNull()
     converted = pair & (F.col("first_buy_ts") >= F.col("first_add_ts"))
     hours = seconds_between("first_add_ts", "first_buy_ts") / F.lit(3600.0)
-    totals = (
-        cart_pairs(streams)
+    by_client = Window.partitionBy("client_id")
+    gap, n, rank = F.col("_gap"), F.col("_n_gaps"), F.col("_rank")
+    middle = gap.isNotNull() & rank.between(F.floor((n + 1) / 2), F.floor(n / 2) + 1)
+    pairs = cart_pairs(streams).withColumn("_gap", F.when(pair, seconds_between("first_add_ts", "remove_after_add_ts")))
+    return (
+        pairs.withColumn("_n_gaps", F.count("_gap").over(by_client))
+        .withColumn("_rank", F.row_number().over(by_client.orderBy(gap.asc_nulls_last())))
         .groupBy("client_id")
         .agg(
             F.sum("n_add").alias("n_add"),
@@ -248,10 +257,10 @@ def cart_behavior(streams: Streams) -> DataFrame:
             F.max("last_remove_ts").alias("last_remove_ts"),
             count_where(converted).alias("n_add_to_buy_pairs"),
             F.avg(F.when(converted, hours)).alias("avg_hours_add_to_buy"),
+            F.avg(F.when(middle, gap)).alias("median_seconds_add_to_remove"),
         )
         .filter((F.col("n_add") > 0) | (F.col("n_remove") > 0))
     )
-    return totals.join(removal_gap(streams), "client_id", "left")
 
 
 def daily_activity(streams: Streams) -> DataFrame:

@@ -204,7 +204,8 @@ def event_type_distribution(events: DataFrame) -> DataFrame:
     per_size = presence_masks(events).groupBy(F.bit_count("mask").cast("bigint").alias("n_event_types")).agg(
         F.sum("n").alias("n_clients")
     )
-    total = events.agg(F.count_distinct("client_id")).scalar()
+    # at most one row per set size
+    total = F.sum("n_clients").over(Window.partitionBy(F.lit(1)))
     return per_size.withColumn("pct", ratio(F.col("n_clients"), total, 100))
 
 

@@ -1,7 +1,7 @@
 """Global ranks, prefix counts and exact quantiles without sorting in a single task.
 
 Values are first counted per distinct value, so a tie of any size is one row. Distinct
-values are then cut in slices by magnitude (256 per power of two). Slice totals are few
+values are then cut in slices by magnitude (1024 per power of two). Slice totals are few
 and are summed up per group; the order inside a slice is settled by one task per slice.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 def value_slice(value) -> Column:
     """A bigint that never falls as ``value`` grows."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    size = F.floor(F.log2(F.abs(v)) * 256) + (1 << 20)
+    size = F.floor(F.log2(F.abs(v)) * 1024) + (1 << 21)
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 
