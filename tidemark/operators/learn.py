@@ -55,9 +55,6 @@ def _activity(p: Params) -> tuple[str, ...]:
 
 
 def churn_spec(p: Params) -> ModelSpec:
-    def rules(df):
-        return scores.lifecycle_tier_risk(scores.frequency_risk(scores.recency_risk(df), p), p)
-
     return ModelSpec(
         name="churn",
         features=(
@@ -71,7 +68,7 @@ def churn_spec(p: Params) -> ModelSpec:
             *_activity(p),
         ),
         labels=tuple(f"churn_{n}d" for n in p.label_days),
-        rules=rules,
+        rules=lambda df: scores.churn_rules(df, p),
         rule_columns={"recency": "recency_risk", "frequency": "frequency_risk", "lifecycle": "lifecycle_risk"},
         fill_with_flag=("avg_purchase_gap_days_so_far", "avg_category_repurchase_rate"),
         policies=("recency", "lifecycle"),
@@ -79,9 +76,6 @@ def churn_spec(p: Params) -> ModelSpec:
 
 
 def propensity_spec(p: Params) -> ModelSpec:
-    def rules(df):
-        return scores.visit_propensity(scores.frequency_propensity(scores.recency_propensity(df)), p)
-
     return ModelSpec(
         name="propensity",
         features=(
@@ -92,7 +86,7 @@ def propensity_spec(p: Params) -> ModelSpec:
             *_activity(p),
         ),
         labels=tuple(f"will_purchase_{n}d" for n in p.label_days),
-        rules=rules,
+        rules=lambda df: scores.propensity_rules(df, p),
         rule_columns={"recency": "recency_propensity", "frequency": "frequency_propensity", "visit": "visit_propensity"},
         fill_with_flag=("avg_category_repurchase_rate",),
         fill_only=("days_since_last_purchase",),

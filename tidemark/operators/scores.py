@@ -76,33 +76,78 @@ def _days_summary(panel: DataFrame) -> DataFrame:
     )
 
 
-def recency_risk(panel: DataFrame) -> DataFrame:
-    """Higher the longer ago the last purchase; no purchase counts as twice the longest."""
+def _with_top_days(panel: DataFrame) -> DataFrame:
     top = panel.groupBy("split").agg(F.max("days_since_last_purchase").alias("_top"))
-    rows = panel.join(F.broadcast(top), "split")
-    days = F.coalesce("days_since_last_purchase", F.col("_top") * 2, F.lit(1))
-    return scaled(rows, {"recency_risk": days}).drop("_top")
+    return panel.join(F.broadcast(top), "split")
 
 
-def frequency_risk(panel: DataFrame, p: Params) -> DataFrame:
-    recent = F.coalesce(f"n_purchases_{max(p.purchase_windows)}d", F.lit(0))
-    return scaled(panel, {"frequency_risk": F.lit(0) - recent})
+def _filled_days() -> Column:
+    """Recency; no purchase counts as twice the longest of the split."""
+    return F.coalesce("days_since_last_purchase", F.col("_top") * 2, F.lit(1))
 
 
-def frequency_propensity(panel: DataFrame) -> DataFrame:
-    return scaled(panel, {"frequency_propensity": F.coalesce("n_purchase_occasions_so_far", F.lit(0))})
+def _recent_purchases(p: Params) -> Column:
+    return F.coalesce(f"n_purchases_{max(p.purchase_windows)}d", F.lit(0))
 
 
-def lifecycle_tier_risk(panel: DataFrame, p: Params) -> DataFrame:
+def _tier(p: Params) -> Column:
     """0 to 3 by the lifecycle limits at the snapshot; no purchase counts as 3."""
     days = F.col("days_since_last_purchase")
-    tier = (
+    return (
         F.when(days <= p.recent_days, 0)
         .when(days <= p.declining_days, 1)
         .when(days <= p.at_risk_days, 2)
         .otherwise(3)
     )
-    return scaled(panel, {"lifecycle_risk": tier})
+
+
+def _interest(p: Params) -> Column:
+    """Recent visits plus three times the recent searches."""
+    a = p.activity_days
+    visits, searches = (F.coalesce(f"n_{k}_{a}d", F.lit(0)) for k in ("page_visit", "search_query"))
+    return visits + searches * 3
+
+
+def recency_risk(panel: DataFrame) -> DataFrame:
+    """Higher the longer ago the last purchase."""
+    return scaled(_with_top_days(panel), {"recency_risk": _filled_days()}).drop("_top")
+
+
+def frequency_risk(panel: DataFrame, p: Params) -> DataFrame:
+    """Higher the fewer recent purchases."""
+    return scaled(panel, {"frequency_risk": F.lit(0) - _recent_purchases(p)})
+
+
+def lifecycle_tier_risk(panel: DataFrame, p: Params) -> DataFrame:
+    return scaled(panel, {"lifecycle_risk": _tier(p)})
+
+
+def churn_rules(panel: DataFrame, p: Params) -> DataFrame:
+    """The three risk scores with one pass for their statistics."""
+    raws = {
+        "recency_risk": _filled_days(),
+        "frequency_risk": F.lit(0) - _recent_purchases(p),
+        "lifecycle_risk": _tier(p),
+    }
+    return scaled(_with_top_days(panel), raws).drop("_top")
+
+
+def frequency_propensity(panel: DataFrame) -> DataFrame:
+    """Higher the more purchases so far."""
+    return scaled(panel, {"frequency_propensity": F.coalesce("n_purchase_occasions_so_far", F.lit(0))})
+
+
+def visit_propensity(panel: DataFrame, p: Params) -> DataFrame:
+    return scaled(panel, {"visit_propensity": _interest(p)})
+
+
+def propensity_rules(panel: DataFrame, p: Params) -> DataFrame:
+    """The three propensity scores."""
+    raws = {
+        "frequency_propensity": F.coalesce("n_purchase_occasions_so_far", F.lit(0)),
+        "visit_propensity": _interest(p),
+    }
+    return scaled(recency_propensity(panel), raws)
 
 
 def recency_propensity(panel: DataFrame) -> DataFrame:
@@ -123,13 +168,6 @@ def recency_propensity(panel: DataFrame) -> DataFrame:
     )
 
 
-def visit_propensity(panel: DataFrame, p: Params) -> DataFrame:
-    """Recent visits plus three times the recent searches."""
-    a = p.activity_days
-    visits, searches = (F.coalesce(f"n_{k}_{a}d", F.lit(0)) for k in ("page_visit", "search_query"))
-    return scaled(panel, {"visit_propensity": visits + searches * 3})
-
-
 def train_medians(panel: DataFrame, columns: Sequence[str]) -> Column:
     """Exact training medians as one map, column name to value."""
     train = panel.filter("split = 'train'").select(*[F.col(c).cast("double").alias(c) for c in columns])

@@ -27,22 +27,13 @@ def buy_panel(s: Streams) -> DataFrame:
     return materialize(scores.chronological_split(panel.purchase_propensity(s, P), P))
 
 
-def churn_rules(rows: DataFrame) -> DataFrame:
-    out = scores.lifecycle_tier_risk(scores.frequency_risk(scores.recency_risk(rows), P), P)
-    return out
-
-
-def buy_rules(rows: DataFrame) -> DataFrame:
-    return scores.visit_propensity(scores.frequency_propensity(scores.recency_propensity(rows)), P)
-
-
 def churn_scored(s: Streams) -> DataFrame:
     """Rule scores of all splits against the short churn label, in long form."""
-    return scores.stacked(churn_rules(churn_panel(s)), CHURN_RULES, f"churn_{SHORT}d")
+    return scores.stacked(scores.churn_rules(churn_panel(s), P), CHURN_RULES, f"churn_{SHORT}d")
 
 
 def buy_scored(s: Streams) -> DataFrame:
-    return scores.stacked(buy_rules(buy_panel(s)), BUY_RULES, f"will_purchase_{SHORT}d")
+    return scores.stacked(scores.propensity_rules(buy_panel(s), P), BUY_RULES, f"will_purchase_{SHORT}d")
 
 
 def _unit(x: str, w: str = "w") -> str:
