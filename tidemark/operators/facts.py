@@ -263,6 +263,26 @@ def cart_behavior(streams: Streams) -> DataFrame:
     )
 
 
+def add_to_buy_hours(streams: Streams) -> DataFrame:
+    """Per client: pairs bought at or after their first add, and the mean hours between.
+
+    Only the first purchase of a pair is looked at; one before the add drops the pair.
+    """
+    hours = seconds_between("first_add_ts", "first_buy_ts") / F.lit(3600.0)
+    return (
+        cart_pairs(streams)
+        .filter(F.col("sku").isNotNull() & (F.col("first_buy_ts") >= F.col("first_add_ts")))
+        .groupBy("client_id")
+        .agg(F.count(F.lit(1)).alias("n_add_to_buy_pairs"), F.avg(hours).alias("avg_hours_add_to_buy"))
+    )
+
+
+def cart_clients(streams: Streams) -> DataFrame:
+    """Clients with an add or a removal."""
+    carts = streams.events.filter(F.col("event_type").isin("add_to_cart", "remove_from_cart"))
+    return carts.select("client_id").distinct()
+
+
 def daily_activity(streams: Streams) -> DataFrame:
     """Events per client and day, by type and in all, and how many types occurred."""
     counts = [f"n_{t}" for t in EVENT_TYPES]

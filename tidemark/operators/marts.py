@@ -285,6 +285,18 @@ def customer_segment(streams: Streams, p: Params, carts: DataFrame | None = None
     return rows.select("client_id", "lifecycle_stage", segment.alias("segment"), subtype.alias("cart_removal_subtype"))
 
 
+def candidate_clients(streams: Streams, p: Params) -> DataFrame:
+    """Clients who can enter the propensity panel at some date, with their first search and visit."""
+    first_search, first_visit = F.col("first_search_ts"), F.col("first_visit_ts")
+    enters = (
+        (F.col("n_page_visit") >= p.high_intent_visits)
+        | F.coalesce(first_search < first_visit, F.lit(False))
+        | (F.col("n_add_to_cart") + F.col("n_remove_from_cart") > 0)
+        | (F.col("n_purchases") > 0)
+    )
+    return client_rollup(streams).filter(enters).select("client_id", "first_search_ts", "first_visit_ts")
+
+
 def visit_cut(streams: Streams, p: Params, prob: float = 0.9) -> DataFrame:
     """Visit count that cuts off the most active explorers."""
     explorers = _staged_customers(streams, p).filter(F.col("lifecycle_stage") == "explorer")

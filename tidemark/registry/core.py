@@ -131,6 +131,20 @@ def register(reg: Registry) -> None:
                 FROM pair_add FULL JOIN pair_buy USING (client_id, sku)"""
         ),
     )
+    reg.add(
+        "i04c_add_to_buy_hours",
+        store(facts.add_to_buy_hours),
+        store_sql(
+            f"""SELECT client_id, count(*) AS n_add_to_buy_pairs,
+                {r("avg(date_diff('second', add_ts, buy_ts) / 3600.0)", 'avg_hours_add_to_buy')}
+                FROM pair_add JOIN pair_buy USING (client_id, sku) WHERE buy_ts >= add_ts GROUP BY 1"""
+        ),
+    )
+    reg.add(
+        "i04e_cart_clients",
+        store(facts.cart_clients),
+        store_sql("SELECT client_id FROM adds UNION SELECT client_id FROM removes"),
+    )
     reg.add(
         "i04d_first_remove_after_add",
         store(
@@ -302,6 +316,77 @@ def register(reg: Registry) -> None:
         ),
     )
 
+    # --- parts of the panels -----------------------------------------------------------
+    def part_of(table, *columns):
+        return store(lambda s: table(s, P).select("snapshot_date", "client_id", *columns))
+
+    key_sql = f"{d('s', 'snapshot_date')}, client_id"
+    reg.add(
+        "m08a_spine",
+        part_of(panel.customer_snapshot),
+        store_sql(f"SELECT DISTINCT {key_sql} FROM occ JOIN grid ON event_ts < s"),
+    )
+    reg.add(
+        "m08c_recency_frequency",
+        part_of(
+            panel.customer_snapshot,
+            "last_purchase_ts",
+            "n_purchase_occasions_so_far",
+            "n_purchase_days_so_far",
+            "avg_purchase_gap_days_so_far",
+            *[f"n_purchases_{n}d" for n in P.purchase_windows],
+        ),
+        store_sql(
+            f"""SELECT {key_sql}, {t('last_ts', 'last_purchase_ts')}, n_occ AS n_purchase_occasions_so_far,
+                n_days AS n_purchase_days_so_far, {r('avg_gap', 'avg_purchase_gap_days_so_far')}, {windows} FROM past"""
+        ),
+    )
+    reg.add(
+        "m08d_categories_so_far",
+        part_of(panel.customer_snapshot, "n_categories_so_far"),
+        store_sql(f"SELECT {key_sql}, coalesce(n_categories, 0) AS n_categories_so_far FROM past LEFT JOIN n_cat USING (s, client_id)"),
+    )
+    reg.add(
+        "m08e_recent_activity",
+        part_of(panel.customer_snapshot, *[f"n_{k}_{a}d" for k in KINDS]),
+        store_sql(f"SELECT {key_sql}, {counts} FROM recent SEMI JOIN past USING (s, client_id)"),
+    )
+    reg.add(
+        "m08f_labels",
+        part_of(panel.customer_snapshot, *[f"label_purchase_{n}d" for n in P.label_days]),
+        store_sql(
+            f"SELECT {key_sql}, "
+            + ", ".join(f"label_{n} AS label_purchase_{n}d" for n in P.label_days)
+            + " FROM ahead SEMI JOIN past USING (s, client_id)"
+        ),
+    )
+    reg.add(
+        "m10a_candidates",
+        store(lambda s: marts.candidate_clients(s, P)),
+        store_sql(
+            f"""SELECT client_id, {t('first_search', 'first_search_ts')}, {t('first_visit', 'first_visit_ts')} FROM c360
+                WHERE n_visit >= {P.high_intent_visits} OR first_search < first_visit OR has_cart OR is_buyer"""
+        ),
+    )
+    reg.add(
+        "m10b_activity_before",
+        store(
+            lambda s: panel.population(s, P).select(
+                "snapshot_date", "client_id", "cum_visits", "cum_adds", *[f"n_{k}_{a}d" for k in KINDS]
+            )
+        ),
+        store_sql(f"SELECT {key_sql}, cum_visits, cum_adds, {counts} FROM prop"),
+    )
+    reg.add(
+        "m10c_population",
+        part_of(panel.population),
+        store_sql(
+            f"""SELECT {key_sql} FROM recent
+                WHERE cum_visits >= {P.high_intent_visits} OR fs < fv OR cum_adds > 0
+                UNION SELECT {key_sql} FROM past"""
+        ),
+    )
+
     # --- long history on orders ------------------------------------------------------
     reg.add(
         "i08_category_repurchase_orders",
