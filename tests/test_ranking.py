@@ -91,6 +91,25 @@ def test_selection_at_rates(scored, floor):
             assert (row.n_selected, row.n_captured) == (k, sum(r[3] for r in order[:k]))
 
 
+def test_lift_curve_at_every_percent(scored):
+    got = {(r.method, r.pct): r for r in metrics.lift_curve(scored, G).collect()}
+    assert len(got) == 100 * len(KINDS)
+    for kind in KINDS:
+        order = ordered(kind)
+        base = sum(r[3] for r in order) / len(order)
+        for pct in range(1, 101):
+            k = max(1, len(order) * pct // 100)
+            row = got[(kind, pct)]
+            assert row.n_selected == k and row.lift == pytest.approx(sum(r[3] for r in order[:k]) / k / base)
+
+
+def test_lift_curve_of_a_tiny_group(spark):
+    rows = [("m", "2024-01-08", c, int(c < 2), 1.0 - c / 10) for c in range(7)]
+    df = spark.createDataFrame(rows, "method string, snapshot_date string, client_id bigint, y int, score double")
+    got = {r.pct: r.n_selected for r in metrics.lift_curve(df, G).collect()}
+    assert got == {pct: max(1, 7 * pct // 100) for pct in range(1, 101)}
+
+
 def test_customers_needed(spark, scored):
     total = {k: sum(r[3] for r in scored_rows(k)) for k in KINDS}
     goals = [(k, x, t) for k in KINDS for x, t in enumerate((0, 1, 7, total[k] // 2, total[k]))]

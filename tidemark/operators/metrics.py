@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import ratio
+from ..functions.dialect import index_range, ratio
 from ..plans.ranking import exact_quantiles, prefix_counts, rank_blocks, with_tie_blocks
 
 ROWS = ("snapshot_date", "client_id")
@@ -66,6 +66,7 @@ def selected_at(
 
     The number selected is rounded half to even, or cut down when ``floor``. Blocks of rows
     wholly inside the top are summed; only the block holding the cut is ranked row by row.
+    Whole percents may be given as a ``range``; a block then tries only those near it.
     """
     g = list(groups)
     rows = with_tie_blocks(scored, ROWS)
@@ -76,9 +77,14 @@ def selected_at(
         return F.greatest(F.lit(1).cast("bigint"), (F.floor(size) if floor else F.bround(size, 0)).cast("bigint"))
 
     before, n = F.col("n_before"), F.col("n")
-    here = F.filter(
-        F.array(*[F.lit(float(x)) for x in rates]), lambda x: (cut(x) > before) & (cut(x) <= before + n)
-    )
+    if isinstance(rates, range):
+        per_row = F.lit(100.0) / F.col("n_total")
+        lo = F.greatest(F.lit(rates.start), F.floor((before - 1) * per_row))
+        hi = F.least(F.lit(rates.stop - 1), F.ceil((before + n + 1) * per_row))
+        tried = index_range(lo, hi).cast("array<double>")
+    else:
+        tried = F.array(*[F.lit(float(x)) for x in rates])
+    here = F.filter(tried, lambda x: (cut(x) > before) & (cut(x) <= before + n))
     edges = blocks.withColumn("rate", F.explode(here)).select(
         *g, "score", "_block", "rate", cut(F.col("rate")).alias("k"), "n_before", "pos_before", "n_total", "pos_total"
     )
