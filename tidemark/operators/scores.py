@@ -53,8 +53,8 @@ def scaled(df: DataFrame, raws: dict[str, Column], by: Sequence[str] = ("split",
 
 def random_score(seed: int) -> Column:
     """In [0, 1), fixed by client, date and seed however the rows are partitioned."""
-    h = F.xxhash64("client_id", "snapshot_date", F.lit(seed))
-    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("snapshot_date").cast("string"), F.col("client_id").cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def base_rate_score(panel: DataFrame, label: str) -> DataFrame:

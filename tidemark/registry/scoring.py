@@ -169,6 +169,10 @@ def register(reg: Registry) -> None:
     reg.add(
         "l03_random_score",
         store(lambda s: churn_panel(s).select(*key, scores.random_score(P.seed).alias("random_score"))),
+        sql(
+            f"""SELECT {key_sql}, {r(f"""CAST('0x' || substr(md5('{P.seed}|' || strftime(s, '%Y-%m-%d') || '|'
+                || CAST(client_id AS VARCHAR)), 1, 13) AS BIGINT) / pow(2, 52)""", 'random_score')} FROM churn_rows"""
+        ),
     )
     reg.add(
         "l04_base_rate",
