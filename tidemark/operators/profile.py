@@ -290,16 +290,15 @@ def observation_summary(streams: Streams, p: Params) -> DataFrame:
     obs = observation_period(streams, p)
     active = spread_of(obs, ["n_active_days"], [0.5])
     edges = obs.agg(
-        F.min("first_event_ts").alias("first_ts_min"),
-        F.max("first_event_ts").alias("first_ts_max"),
-        F.min("last_event_ts").alias("last_ts_min"),
-        F.max("last_event_ts").alias("last_ts_max"),
-    )
-    return edges.withColumn("metric", F.lit("n_active_days")).join(active, "metric").select(
-        "first_ts_min",
-        "first_ts_max",
-        "last_ts_min",
-        "last_ts_max",
+        F.struct(
+            F.min("first_event_ts").alias("first_ts_min"),
+            F.max("first_event_ts").alias("first_ts_max"),
+            F.min("last_event_ts").alias("last_ts_min"),
+            F.max("last_event_ts").alias("last_ts_max"),
+        )
+    ).scalar()
+    return active.withColumn("edges", edges).select(
+        "edges.*",
         F.col("p50").alias("median_active_days"),
         F.col("mean").alias("mean_active_days"),
         F.col("max").alias("max_active_days"),
