@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,27 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, which all executors reach.
 
-    A scratch folder stands in for it only where none is named and Spark runs locally.
+    Where none is named, a folder beside the tables of the session's warehouse, which
+    executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), "tidemark-shared")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to Parquet in the shared folder and read back.
 
     The lineage is cut there, the result survives the loss of any executor, and later
-    passes read only the columns they use.
+    passes read only the columns they use. ``release`` deletes what has been written.
     """
     spark = df.sparkSession
     path = new_folder(spark, "table")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables written so far by this driver; frames built on them end with that."""
+    jvm, done = spark.sparkContext._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
