@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, exactdup, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,5 +31,65 @@ def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op7_transducer_bpe,)}
-SQL: dict[str, str] = {}
+#: Two regions of four racks with three shards each, and the same with one shard more.
+TREE = sharding.Tree.even(regions=2, racks=4, per_rack=3)
+GROWN = TREE.grown("region1", "rack2")
+
+RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+RULE_VALUES = "(VALUES " + ", ".join(map(str, RULES)) + ") AS r(host, path, verdict)"
+
+
+def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by law ``key``: equal texts are not held together, equal keys are."""
+    placed = sharding.placement(table(spark, sf_dir, "documents"), TREE, GROWN)
+    return placed.withColumn("law", F.lit("key"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM {RULE_VALUES}")
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = f"""
+WITH p AS (
+  SELECT row_number() OVER () AS n, page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), u AS (
+  SELECT n, page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+)
+SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, coalesce(r.verdict, 'allow') AS verdict
+FROM u LEFT JOIN {RULE_VALUES}
+  ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY u.n ORDER BY length(r.host || r.path) DESC, length(r.host) DESC, r.verdict DESC) = 1
+"""
+
+
+def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdup.verdicts(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("digest", "text_sha256")
+
+
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, text_sha256, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_hash_tree, op2_url_rules, op4_digest_index, op7_transducer_bpe)}
+SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op4_digest_index": OP4_SQL}
