@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, sharding, urlfilter
+from . import bpe, exactdup, neardup, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,34 @@ QUALIFY row_number() OVER (PARTITION BY u.n ORDER BY length(r.host || r.path) DE
 """
 
 
+def op3_star_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM u x JOIN u y USING (g) GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
+FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exactdup.verdicts(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("digest", "text_sha256")
@@ -91,5 +119,5 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_hash_tree, op2_url_rules, op4_digest_index, op7_transducer_bpe)}
-SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op4_digest_index": OP4_SQL}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_hash_tree, op2_url_rules, op3_star_minhash, op4_digest_index, op7_transducer_bpe)}
+SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op3_star_minhash": OP3_SQL, "op4_digest_index": OP4_SQL}
