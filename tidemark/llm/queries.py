@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, neardup, sharding, urlfilter
+from . import bpe, exactdup, neardup, packing, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -90,9 +91,9 @@ WITH RECURSIVE w AS (
   FROM w
 ), n AS (SELECT doc_id, len(s) AS n FROM s),
 u AS (SELECT doc_id, unnest(s) AS g FROM s),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM u x JOIN u y USING (g) GROUP BY ALL),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM u x JOIN u y USING (g) GROUP BY ALL),
 l AS (
-  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)
 ), r AS (
   SELECT doc_id AS a, doc_id AS b FROM n
   UNION
@@ -119,5 +120,9 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_hash_tree, op2_url_rules, op3_star_minhash, op4_digest_index, op7_transducer_bpe)}
+def op9_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_hash_tree, op2_url_rules, op3_star_minhash, op4_digest_index, op7_transducer_bpe, op9_bounded_best_fit)}
 SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op3_star_minhash": OP3_SQL, "op4_digest_index": OP4_SQL}
