@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, neardup, packing, sharding, urlfilter
+from . import bpe, exactdup, langid, licences, neardup, packing, sharding, tokencount, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical lines of ``licences`` in SQL."""
+    notice = licences.NOTICE.replace("(?md)", "(?m)")
+    form = f"regexp_replace(lower(coalesce({text}, '')), '{notice}', '', 'g')"
+    form = f"regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g')"
+    form = f"'  ' || replace({form}, chr(10), '  ' || chr(10) || '  ') || '  '"
+    for old, new in licences.SPELLINGS:
+        form = f"replace({form}, ' {old} ', ' {new} ')"
+    form = f"regexp_replace({form}, ' +', ' ', 'g')"
+    return f"[trim(l) for l in string_split({form}, chr(10)) if trim(l) <> '']"
+
+
+def _known_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in licences.KNOWN)
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_canonical_sql("text")} AS lines FROM documents),
+k AS (SELECT licence, array_to_string({_canonical_sql("text")}, ' ') AS form FROM (VALUES {_known_sql()}) AS v(licence, text)),
+b AS (SELECT form, min(licence) AS licence FROM k WHERE form <> '' GROUP BY form),
+s AS (
+  SELECT n, list_sort(list_distinct(list(b.licence))) AS line_licences
+  FROM (SELECT n, unnest(lines) AS form FROM d) JOIN b USING (form) GROUP BY n
+)
+SELECT d.doc_id, sha256(array_to_string(d.lines, ' ')) AS text_digest, b.licence, coalesce(s.line_licences, []) AS line_licences
+FROM d LEFT JOIN b ON b.form = array_to_string(d.lines, ' ') LEFT JOIN s ON s.n = d.n
+"""
+
+
+def op6_offset_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line's border goes by majority."""
+    return tokencount.attribute(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts count as empty: no ids, and the digests of nothing."""
     docs = table(spark, sf_dir, "documents")
@@ -87,7 +126,7 @@ WITH RECURSIVE w AS (
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-           ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+           ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s
   FROM w
 ), n AS (SELECT doc_id, len(s) AS n FROM s),
 u AS (SELECT doc_id, unnest(s) AS g FROM s),
@@ -124,5 +163,29 @@ def op9_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_hash_tree, op2_url_rules, op3_star_minhash, op4_digest_index, op7_transducer_bpe, op9_bounded_best_fit)}
-SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op3_star_minhash": OP3_SQL, "op4_digest_index": OP4_SQL}
+def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_hash_tree,
+        op2_url_rules,
+        op3_star_minhash,
+        op4_digest_index,
+        op5_licence_digests,
+        op6_offset_sections,
+        op7_transducer_bpe,
+        op9_bounded_best_fit,
+        op10_family_svm,
+    )
+}
+SQL: dict[str, str] = {
+    "op2_url_rules": OP2_SQL,
+    "op3_star_minhash": OP3_SQL,
+    "op4_digest_index": OP4_SQL,
+    "op5_licence_digests": OP5_SQL,
+}
