@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, langid, licences, neardup, packing, sharding, tokencount, urlfilter
+from . import bpe, exactdup, langid, licences, neardup, packing, sharding, tokencount, urlfilter, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,6 +159,30 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.linked(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e, sqrt(list_sum([x * x for x in e])) AS norm FROM v
+  WHERE e IS NOT NULL AND len([x for x in e if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.a AS vec_id, coalesce(max(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""
+
+
 def op9_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
@@ -179,6 +203,7 @@ QUERIES: dict[str, Query] = {
         op5_licence_digests,
         op6_offset_sections,
         op7_transducer_bpe,
+        op8_nn_descent,
         op9_bounded_best_fit,
         op10_family_svm,
     )
@@ -188,4 +213,5 @@ SQL: dict[str, str] = {
     "op3_star_minhash": OP3_SQL,
     "op4_digest_index": OP4_SQL,
     "op5_licence_digests": OP5_SQL,
+    "op8_nn_descent": OP8_SQL,
 }
