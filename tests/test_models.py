@@ -11,7 +11,7 @@ from tidemark.operators import learn, scores
 from tidemark.plans.materialize import materialize
 
 P = replace(Params(), split_sizes=(3, 1, 2))
-B = learn.Boosting(rounds=12, depth=3, min_rows=10)
+B = learn.Boosting(rounds=12, depth=3, min_rows=10, patience=4)
 
 
 @pytest.fixture(scope="module")
@@ -96,13 +96,42 @@ def test_rule_scores(spark):
     assert tier == pytest.approx({1: 0.0, 2: 1 / 3, 3: 1.0, 4: 2 / 3})
 
 
-def test_split_must_cover_every_date(spark):
-    rows = [(date(2024, 1, 1) + timedelta(days=k), k) for k in range(10)]
+@pytest.mark.parametrize("n", [5, 9, 12])
+def test_split_follows_the_grid(spark, n):
+    rows = [(date(2024, 1, 1) + timedelta(days=k), k) for k in range(n)]
     df = spark.createDataFrame(rows, "snapshot_date date, client_id bigint")
-    with pytest.raises(Exception, match="without a split"):
+    tags = [r.split for r in scores.chronological_split(df, Params()).orderBy("snapshot_date").collect()]
+    assert tags == ["train"] * (n - 3) + ["val"] + ["test"] * 2
+
+
+def test_split_of_a_short_grid_fails(spark):
+    rows = [(date(2024, 1, 1) + timedelta(days=k), k) for k in range(3)]
+    df = spark.createDataFrame(rows, "snapshot_date date, client_id bigint")
+    with pytest.raises(Exception, match="too few snapshot dates"):
         scores.chronological_split(df, Params()).collect()
-    tags = [r.split for r in scores.chronological_split(df, replace(Params(), split_sizes=(6, 1, 3))).orderBy("snapshot_date").collect()]
-    assert tags == ["train"] * 6 + ["val"] + ["test"] * 3
+
+
+def test_patience():
+    rising = {n: n / 100 for n in range(1, 21)}
+    assert learn.best_round(rising, 5) == (20, False)
+    assert learn.best_round({**rising, **{n: 0.1 for n in range(21, 26)}}, 5) == (20, True)
+    assert learn.best_round({1: 0.5, 2: 0.7, 3: 0.7, 4: 0.6, 5: 0.9}, 3) == (5, False)
+    assert learn.best_round({1: 0.5, 2: 0.7, 3: 0.7, 4: 0.6, 5: 0.6, 6: 0.9}, 3) == (2, True)
+    assert learn.best_round({1: None, 2: None}, 5) == (1, False)
+
+
+def test_boosting_keeps_the_best_round(panel):
+    spec, label = learn.propensity_spec(P), "will_purchase_14d"
+    frame = materialize(learn.model_frame(panel, spec, P))
+    b = learn.Boosting(rounds=12, depth=2, min_rows=10, patience=2)
+    model = learn.fit_boosted(frame, label, b)
+    val = frame.filter("split = 'val'").select("_trees", learn.F.col(label).cast("double").alias("_y"))
+    longest = learn._trees(b, 12).fit(frame.filter("split = 'train'").withColumn("_y", learn.F.col(label).cast("double")))
+    quality = learn.round_quality(longest, val)
+    assert sorted(quality) == list(range(1, 13))
+    best, _ = learn.best_round(quality, 2)
+    assert len(model.trees) == best
+    assert learn.round_quality(model, val)[best] == pytest.approx(quality[best])
 
 
 def test_impute_and_standardise(spark):

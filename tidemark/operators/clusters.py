@@ -11,34 +11,42 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import day, ratio
 from ..plans.joins import spread_lookup
+from ..plans.materialize import materialize
+
+#: Numbers of clusters tried for the elbow.
+K_CANDIDATES = (5, 10, 20, 30, 50, 75, 100, 150)
 
 
 def vectors(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
-    return KMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed, maxIter=max_iter)
+def _best_kmeans(points: DataFrame, k: int, seed: int, n_starts: int, max_iter: int):
+    """The cheapest of ``n_starts`` runs; Lloyd steps go on until no centre moves by 1e-4."""
+    runs = [
+        KMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed + n, maxIter=max_iter, tol=1e-4).fit(points)
+        for n in range(n_starts)
+    ]
+    return min(runs, key=lambda m: m.summary.trainingCost)
 
 
-def inertia_by_k(rows: DataFrame, column: str, ks: Sequence[int], seed: int = 42, max_iter: int = 20) -> DataFrame:
+def inertia_by_k(
+    rows: DataFrame, column: str, ks: Sequence[int] = K_CANDIDATES, seed: int = 42, n_starts: int = 3, max_iter: int = 300
+) -> DataFrame:
     """Sum of squared distances per k and its fall from the k before, in %."""
-    points = vectors(rows, column).select("_v").persist()
-    costs = [(k, float(_kmeans(k, seed, max_iter).fit(points).summary.trainingCost)) for k in ks]
-    points.unpersist()
+    points = materialize(vectors(rows, column).select("_v"))
+    costs = [(k, float(_best_kmeans(points, k, seed, n_starts, max_iter).summary.trainingCost)) for k in ks]
     w = Window.partitionBy(F.lit(1)).orderBy("k")
     out = rows.sparkSession.createDataFrame(costs, "k int, inertia double")
     prev = F.lag("inertia").over(w)
     return out.withColumn("drop_pct", ratio(prev - F.col("inertia"), prev, 100))
 
 
-def cluster(rows: DataFrame, column: str, k: int, seed: int = 42, max_iter: int = 20) -> DataFrame:
+def cluster(rows: DataFrame, column: str, k: int = 50, seed: int = 42, n_starts: int = 10, max_iter: int = 300) -> DataFrame:
     """Add the number of the nearest of ``k`` centres."""
-    points = vectors(rows, column).persist()
-    model = _kmeans(k, seed, max_iter).fit(points.select("_v"))
-    out = model.transform(points).drop("_v")
-    points.unpersist()
-    return out
+    points = materialize(vectors(rows, column))
+    model = _best_kmeans(points.select("_v"), k, seed, n_starts, max_iter)
+    return model.transform(points).drop("_v")
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -46,7 +54,7 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     Everything follows from the table of label pairs.
     """
-    cells = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")))
     row = cells.groupBy("a").agg(F.sum("n").alias("na"))
     col = cells.groupBy("b").agg(F.sum("n").alias("nb"))
     total = cells.agg(F.sum("n")).scalar()

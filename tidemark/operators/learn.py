@@ -46,7 +46,8 @@ class Boosting:
     bins: int = 255
     min_rows: int = 20
     seed: int = 42
-    validation_tol: float = 0.0
+    # rounds without a better validation AUC after which boosting ends
+    patience: int = 30
 
 
 def _activity(p: Params) -> tuple[str, ...]:
@@ -135,30 +136,74 @@ def fit_logistic(frame: DataFrame, label: str, max_iter: int = 1000):
     return lr.fit(train)
 
 
-def fit_boosted(frame: DataFrame, label: str, b: Boosting):
-    """Trees on the training dates; rounds end when the validation dates stop gaining."""
-    rows = frame.filter("split in ('train', 'val')").select(
-        "_trees", F.col(label).cast("double").alias("_y"), (F.col("split") == "val").alias("_val")
-    )
-    gbt = GBTClassifier(
+def _trees(b: Boosting, rounds: int) -> GBTClassifier:
+    return GBTClassifier(
         featuresCol="_trees",
         labelCol="_y",
-        validationIndicatorCol="_val",
-        maxIter=b.rounds,
+        maxIter=rounds,
         maxDepth=b.depth,
         stepSize=b.step,
         maxBins=b.bins,
         minInstancesPerNode=b.min_rows,
-        validationTol=b.validation_tol,
         seed=b.seed,
     )
-    return gbt.fit(rows)
+
+
+def round_quality(model, rows: DataFrame, after: int = 0) -> dict[int, float]:
+    """AUC on ``rows`` (_trees, _y) of the model's first n trees, for n > ``after``."""
+    kept = [c for c in rows.columns if c != "_trees"]
+    margin, margins = F.lit(0.0), []
+    for n, (tree, weight) in enumerate(zip(model.trees, model.treeWeights), 1):
+        rows = tree.setFeaturesCol("_trees").setPredictionCol("_leaf").transform(rows)
+        rows = rows.withColumn("_sum", (F.col("_sum") if n > 1 else margin) + F.col("_leaf") * weight)
+        if n > after:
+            rows = rows.withColumn(f"_m{n}", F.col("_sum"))
+            margins.append(F.struct(F.lit(n).alias("round"), F.col(f"_m{n}").alias("score")))
+        rows = rows.drop("_leaf")
+    each = rows.select(*kept, F.explode(F.array(*margins)).alias("m")).select(F.col("_y").alias("y"), "m.*")
+    return {r["round"]: r["roc_auc"] for r in metrics.ranking_quality(each, ["round"]).collect()}
+
+
+def best_round(quality: dict[int, float | None], patience: int) -> tuple[int, bool]:
+    """The round to keep, and whether patience ran out after it. Ties keep the earlier round."""
+    best, top = 0, float("-inf")
+    for n in sorted(quality):
+        if quality[n] is not None and quality[n] > top:
+            best, top = n, quality[n]
+        elif n - best >= patience:
+            return max(best, 1), True
+    return max(best, 1), False
+
+
+def fit_boosted(frame: DataFrame, label: str, b: Boosting):
+    """Trees on the training dates, kept up to the round with the best AUC on the validation dates.
+
+    Boosting ends when ``patience`` rounds bring no better AUC. Rounds are fitted in runs of
+    twice the length until that happens: with one seed, a longer run begins with the same
+    trees. Validation dates without both classes leave one round.
+    """
+    rows = frame.select("split", "_trees", F.col(label).cast("double").alias("_y"))
+    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'").drop("split")
+    quality: dict[int, float | None] = {}
+    rounds = min(b.rounds, 2 * b.patience + 4)
+    while True:
+        model = _trees(b, rounds).fit(train)
+        quality |= round_quality(model, val, after=len(quality))
+        best, ended = best_round(quality, b.patience)
+        if ended or rounds >= b.rounds:
+            return model if best == rounds else _trees(b, best).fit(train)
+        rounds = min(b.rounds, rounds * 2)
 
 
 def feature_importance(model, columns: Sequence[str], spark) -> DataFrame:
-    """Gain per feature, largest first; one row per model input."""
-    rows = [(c, float(model.featureImportances[k])) for k, c in enumerate(columns)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
+    """Gain per original feature, largest first; a missing-value flag counts for its feature."""
+    gain: dict[str, float] = {}
+    for k, c in enumerate(columns):
+        name = c.removesuffix("_missing") if c.removesuffix("_missing") in columns else c
+        gain[name] = gain.get(name, 0.0) + float(model.featureImportances[k])
+    return spark.createDataFrame(list(gain.items()), "feature string, importance double").orderBy(
+        F.col("importance").desc(), "feature"
+    )
 
 
 def label_scores(frame: DataFrame, spec: ModelSpec, label: str, b: Boosting, linear: bool = True) -> DataFrame:

@@ -200,7 +200,8 @@ def stage_of(p: Params) -> Column:
     )
 
 
-def _staged_customers(streams: Streams, p: Params) -> DataFrame:
+def staged_customers(streams: Streams, p: Params) -> DataFrame:
+    """The 360 view with what the lifecycle stage and the segment are made from."""
     since = days_between("last_purchase_ts", log_end(streams))
     return (
         _customer_360(streams, p)
@@ -210,7 +211,7 @@ def _staged_customers(streams: Streams, p: Params) -> DataFrame:
 
 
 def customer_lifecycle(streams: Streams, p: Params) -> DataFrame:
-    return _staged_customers(streams, p).select(
+    return staged_customers(streams, p).select(
         "client_id",
         "is_buyer",
         "n_purchase_days",
@@ -254,14 +255,14 @@ def lifecycle_thresholds(buy: DataFrame) -> DataFrame:
     )
 
 
-def customer_segment(streams: Streams, p: Params, carts: DataFrame | None = None) -> DataFrame:
-    """Nine segments on top of the stages, and how carts were given up.
+def segmented_customers(streams: Streams, p: Params, carts: DataFrame | None = None) -> DataFrame:
+    """``staged_customers`` with nine segments on top of the stages, and how carts were given up.
 
     ``carts`` may be the written cart-behaviour table.
     """
     carts = removal_gap(streams) if carts is None else carts
     carts = carts.select("client_id", "median_seconds_add_to_remove")
-    rows = _staged_customers(streams, p).join(carts, "client_id", "left")
+    rows = staged_customers(streams, p).join(carts, "client_id", "left")
     stage, gap = F.col("lifecycle_stage"), F.col("median_seconds_add_to_remove")
     subtype = (
         F.when(stage != "cart", None)
@@ -282,7 +283,13 @@ def customer_segment(streams: Streams, p: Params, carts: DataFrame | None = None
         .when(stage == "returned", "returned")
         .otherwise("other")
     )
-    return rows.select("client_id", "lifecycle_stage", segment.alias("segment"), subtype.alias("cart_removal_subtype"))
+    return rows.withColumns({"segment": segment, "cart_removal_subtype": subtype})
+
+
+def customer_segment(streams: Streams, p: Params, carts: DataFrame | None = None) -> DataFrame:
+    """Stage, segment and cart subtype per client."""
+    rows = segmented_customers(streams, p, carts)
+    return rows.select("client_id", "lifecycle_stage", "segment", "cart_removal_subtype")
 
 
 def candidate_clients(streams: Streams, p: Params) -> DataFrame:
@@ -299,7 +306,7 @@ def candidate_clients(streams: Streams, p: Params) -> DataFrame:
 
 def visit_cut(streams: Streams, p: Params, prob: float = 0.9) -> DataFrame:
     """Visit count that cuts off the most active explorers."""
-    explorers = _staged_customers(streams, p).filter(F.col("lifecycle_stage") == "explorer")
+    explorers = staged_customers(streams, p).filter(F.col("lifecycle_stage") == "explorer")
     return exact_quantiles(explorers, "n_page_visit", [prob]).select(
         F.col("prob"), F.col("quantile").alias("visit_cut")
     )

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.dialect import count_where, day, days, epoch_second, ratio, seconds_between
 from ..params import Params
 from ..plans.joins import spread_lookup
+from ..plans.materialize import materialize
+from ..plans.ranking import counted_quantiles
 from ..plans.rollup import EVENT_TYPES
 from ..sources.streams import Streams
 from .facts import cart_pairs, daily_activity, log_end, log_start, observation_period
@@ -449,20 +451,19 @@ def gap_seconds(buy: DataFrame) -> DataFrame:
 
 def purchase_gap_distribution(buy: DataFrame) -> DataFrame:
     """Gaps between occasions in fractional days."""
-    counted = gap_seconds(buy)
+    counted = materialize(gap_seconds(buy))
     probs = (0.25, 0.5, 0.75, 0.9, 0.95)
-    return (
-        counted.agg(
-            F.sum("n").alias("n_gaps"),
-            (F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("mean"),
-            quantiles_of(counted, "gap", "n", probs).alias("q"),
-        )
-        .select(
-            "n_gaps",
-            (F.col("mean") / 86400.0).alias("gap_mean_days"),
-            *[(F.col("q")[k] / 86400.0).alias(f"gap_p{int(100 * x)}_days") for k, x in enumerate(probs)],
-        )
-    )
+    return counted.agg(
+        F.sum("n").alias("n_gaps"), (F.sum(F.col("gap") * F.col("n")) / F.sum("n") / 86400.0).alias("gap_mean_days")
+    ).select("*", *_quantile_columns(counted, "gap", {f"gap_p{int(100 * x)}_days": x for x in probs}, 86400.0))
+
+
+def _quantile_columns(counted: DataFrame, value: str, names: dict[str, float], unit: float) -> list[Column]:
+    """Quantiles of counted values as scalar columns; no task holds all values."""
+    rows = counted_quantiles(counted, value, "n", list(names.values()))
+    pick = [F.max(F.when(F.col("prob") == x, F.col("quantile") / unit)).alias(name) for name, x in names.items()]
+    one = rows.agg(F.struct(*pick)).scalar()
+    return [one[name].alias(name) for name in names]
 
 
 def cart_counts(streams: Streams) -> DataFrame:
@@ -500,21 +501,19 @@ def add_to_buy(streams: Streams) -> DataFrame:
     """Share of added (client, item) pairs bought at or after the first add, and the hours."""
     pairs = cart_pairs(streams).filter((F.col("n_add") > 0) & F.col("sku").isNotNull())
     secs = F.when(F.col("first_buy_ts") >= F.col("first_add_ts"), seconds_between("first_add_ts", "first_buy_ts"))
-    counted = pairs.groupBy(secs.alias("secs")).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(pairs.groupBy(secs.alias("secs")).agg(F.count(F.lit(1)).alias("n")))
     hit = F.col("secs").isNotNull()
     out = counted.agg(
         F.sum("n").alias("total_pairs"),
         F.sum(F.when(hit, F.col("n"))).alias("matched_pairs"),
         (F.sum(F.col("secs") * F.col("n")) / F.sum(F.when(hit, F.col("n")))).alias("mean_secs"),
-        quantiles_of(counted, "secs", "n", (0.5, 0.9)).alias("q"),
     )
     return out.select(
         "matched_pairs",
         "total_pairs",
         ratio("matched_pairs", "total_pairs", 100).alias("conversion_pct"),
         (F.col("mean_secs") / 3600.0).alias("mean_hours"),
-        (F.col("q")[0] / 3600.0).alias("median_hours"),
-        (F.col("q")[1] / 3600.0).alias("p90_hours"),
+        *_quantile_columns(counted, "secs", {"median_hours": 0.5, "p90_hours": 0.9}, 3600.0),
     )
 
 

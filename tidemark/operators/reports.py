@@ -11,8 +11,8 @@ from ..functions.dialect import count_where, days_between, ratio, seconds_betwee
 from ..params import Params
 from ..plans.joins import spread_lookup
 from ..sources.streams import Streams
-from .facts import cart_pairs, gap_counts, log_end, purchase_gap
-from .marts import _customer_360, customer_360, customer_lifecycle, customer_segment
+from .facts import cart_pairs, gap_counts, log_end
+from .marts import _customer_360, customer_segment, segmented_customers, staged_customers
 from .panel import category_starts
 from .profile import as_metrics, quantiles_of
 
@@ -91,18 +91,13 @@ def overview_kpis(streams: Streams, propensity: DataFrame, p: Params) -> DataFra
 
 def _kpis(streams: Streams, propensity: DataFrame, p: Params) -> DataFrame:
     stage = F.col("lifecycle_stage")
-    customers = customer_360(streams, p).drop("n_purchase_days", "is_buyer")
-    people = (
-        customer_lifecycle(streams, p)
-        .join(customers, "client_id")
-        .agg(
-            F.count(F.lit(1)).alias("total_customers"),
-            count_where(F.col("is_buyer")).alias("buyers"),
-            count_where(F.col("is_repeat_capable")).alias("repeat_buyers"),
-            count_where(F.col("has_cart_activity")).alias("cart_customers"),
-            count_where(stage == "at_risk").alias("at_risk_customers"),
-            count_where(stage == "inactive").alias("inactive_customers"),
-        )
+    people = staged_customers(streams, p).agg(
+        F.count(F.lit(1)).alias("total_customers"),
+        count_where(F.col("is_buyer")).alias("buyers"),
+        count_where(F.col("is_repeat_capable")).alias("repeat_buyers"),
+        count_where(F.col("has_cart_activity")).alias("cart_customers"),
+        count_where(stage == "at_risk").alias("at_risk_customers"),
+        count_where(stage == "inactive").alias("inactive_customers"),
     )
     converted = propensity.groupBy("snapshot_date").agg(
         F.sum(f"will_purchase_{min(p.label_days)}d").cast("bigint").alias("n")
@@ -138,12 +133,7 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
 
 
 def segment_profile(streams: Streams, p: Params) -> DataFrame:
-    rows = (
-        customer_segment(streams, p)
-        .join(customer_360(streams, p).drop("avg_purchase_gap_days"), "client_id")
-        .join(purchase_gap(streams.buy).select("client_id", "avg_purchase_gap_days"), "client_id", "left")
-    )
-    return rows.groupBy("segment").agg(
+    return segmented_customers(streams, p).groupBy("segment").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("is_buyer").cast("double")).alias("buy_rate"),
         F.avg("n_page_visit").alias("avg_visit"),

@@ -19,20 +19,21 @@ SPLITS = ("train", "val", "test")
 
 
 def chronological_split(panel: DataFrame, p: Params) -> DataFrame:
-    """Tag rows by date order: the first dates train, then validation, then test.
+    """Tag rows by date order: the last dates test, those before validate, the rest train.
 
-    A date beyond the configured counts is an error, so that no row is silently lost.
+    The last two of ``split_sizes`` count the dates of validation and test. A grid too short
+    to leave a training date is an error, so that no part is silently empty.
     """
     dates = panel.agg(F.sort_array(F.collect_set("snapshot_date"))).scalar()
-    a, b, c = p.split_sizes
-    place = F.col("_place")
+    _, val, test = p.split_sizes
+    from_end = F.size(dates) - F.array_position(dates, F.col("snapshot_date"))
     tag = (
-        F.when(place <= a, "train")
-        .when(place <= a + b, "val")
-        .when(place <= a + b + c, "test")
-        .otherwise(F.raise_error(F.lit("snapshot date without a split")))
+        F.when(F.size(dates) <= val + test, F.raise_error(F.lit("too few snapshot dates for a split")))
+        .when(from_end < test, "test")
+        .when(from_end < test + val, "val")
+        .otherwise("train")
     )
-    return panel.withColumn("_place", F.array_position(dates, F.col("snapshot_date"))).withColumn("split", tag).drop("_place")
+    return panel.withColumn("split", tag)
 
 
 def scaled(df: DataFrame, raws: dict[str, Column], by: Sequence[str] = ("split",)) -> DataFrame:

@@ -64,10 +64,16 @@ def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
     """Interpolated quantiles per group: columns ``groups, prob, quantile``. NULLs are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    return counted_quantiles(counts, value, "n", probs, groups)
+
+
+def counted_quantiles(
+    counts: DataFrame, value: str, n: str, probs: Sequence[float], groups: Sequence[str] = ()
+) -> DataFrame:
+    """The same from one row per group and value with its count ``n``."""
     g = list(groups)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    counts = counts.filter(F.col(value).isNotNull()).select(*g, F.col(value).cast("double").alias("_v"), F.col(n).alias("n"))
     ranked = prefix_counts(counts, g, "_v", ["n"], descending=False)
     at = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
     pos = (F.col("n_total") - 1) * F.col("prob")

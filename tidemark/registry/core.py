@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts, marts, panel, staging
 from ..plans.grid import snapshot_dates
-from ..sources.streams import from_event_table, products_from_parts, purchases_from_orders
+from ..plans.materialize import new_folder
+from ..sources.streams import (
+    ITEM_KEY,
+    from_event_table,
+    purchases_from_orders,
+    read_streams,
+    typed_events,
+    write_raw,
+)
 from .base import Registry
 from .sql import ORDERS, STORE, d, i, orders_sql, r, store_sql, t
 
@@ -23,28 +34,47 @@ def register(reg: Registry) -> None:
         return lambda spark, sf: fn(purchases_from_orders(spark, sf))
 
     # --- sources and staging -------------------------------------------------------
+    def scanned(spark, sf):
+        """The test tables written as source files and read by the source scan."""
+        folder = new_folder(spark, "raw")
+        write_raw(spark, sf, folder)
+        return read_streams(spark, folder)
+
+    def all_streams(spark, sf):
+        parts = [
+            df.select(F.lit(name).alias("event_type"), "client_id", "event_ts", F.col(ITEM_KEY[name]).cast("string").alias("item"))
+            for name, df in scanned(spark, sf).by_type().items()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    keyed = {"product_buy": ("buys", "sku"), "add_to_cart": ("adds", "sku"), "remove_from_cart": ("removes", "sku"),
+             "page_visit": ("visits", "url"), "search_query": ("searches", "query")}
     reg.add(
         "s01_event_scan",
-        store(lambda s: s.buy),
-        store_sql(f"SELECT client_id, {t('event_ts')}, sku FROM buys"),
-    )
-    reg.add(
-        "s02_product_scan",
-        lambda spark, sf: products_from_parts(spark, sf),
-        store_sql("SELECT * FROM prod"),
+        all_streams,
+        store_sql(
+            "\nUNION ALL ".join(
+                f"SELECT '{name}' AS event_type, client_id, {t('event_ts')}, CAST({key} AS VARCHAR) AS item FROM {table}"
+                for name, (table, key) in keyed.items()
+            )
+        ),
     )
+    reg.add("s02_product_scan", lambda spark, sf: scanned(spark, sf).products, store_sql("SELECT * FROM prod"))
+
+    def typed(spark, sf):
+        text = F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.col("ts").cast("string"))
+        raw = spark.read.parquet(f"{sf}/events.parquet").select(
+            F.col("user_id").alias("client_id"), text.alias("timestamp"), "event_id"
+        )
+        return typed_events(raw, "event_id")
+
     reg.add(
         "t01_typed_event",
-        lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select(
-            "event_id",
-            F.when(F.col("event_type") == "error", F.col("props"))
-            .otherwise(F.col("ts").cast("string"))
-            .try_cast("timestamp_ntz")
-            .alias("event_ts"),
-        ),
-        f"""SELECT event_id, {t('event_ts')} FROM (
-                SELECT event_id, TRY_CAST(CASE WHEN event_type = 'error' THEN props ELSE CAST(ts AS VARCHAR) END
-                                          AS TIMESTAMP) AS event_ts FROM events)""",
+        typed,
+        f"""SELECT client_id, event_id, {t('event_ts')} FROM (
+                SELECT user_id AS client_id, event_id,
+                       TRY_CAST(CASE WHEN event_type = 'error' THEN props ELSE CAST(ts AS VARCHAR) END
+                                AS TIMESTAMP) AS event_ts FROM events)""",
     )
     burst_names = {
         "product_buy": ("t02_burst_buy", "buys", "sku"),

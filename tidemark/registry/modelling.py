@@ -16,8 +16,7 @@ from .scoring import METRIC_CTES, buy_panel, churn_panel
 from .sql import STORE, r, store_sql
 
 P = STORE
-# few rounds: the test labels are random, more trees would learn nothing
-B = learn.Boosting(rounds=4, depth=3, min_rows=20)
+B = learn.Boosting()
 SHORT = min(P.label_days)
 KEY = ("snapshot_date", "client_id")
 COVARIATES = ("days_since_last_purchase", f"n_page_visit_{P.activity_days}d", "n_purchase_occasions_so_far")
@@ -35,7 +34,7 @@ def register(reg: Registry) -> None:
 
     def logistic(s):
         frame = materialize(learn.model_frame(churn_panel(s), churn, P))
-        model = learn.fit_logistic(frame, f"churn_{SHORT}d", max_iter=100)
+        model = learn.fit_logistic(frame, f"churn_{SHORT}d")
         return learn.with_score(model, frame.filter("split = 'test'"), "logistic").select(*KEY, "logistic")
 
     def boosted(s):
@@ -202,12 +201,34 @@ def register(reg: Registry) -> None:
         """SELECT vec_id, CAST(count(*) AS INT) AS n_dims, CAST(sum(x) AS DOUBLE) AS total
            FROM (SELECT vec_id, CAST(round(CAST(unnest(embedding) * 100 AS DOUBLE), 0) AS INT) AS x FROM embeddings) GROUP BY 1""",
     )
-    reg.add("v02_inertia_by_k", lambda spark, sf: clusters.inertia_by_k(embeddings(spark, sf), "embedding", (2, 5, 10, 15)))
+    def products(spark, sf):
+        """Product vectors as their source has them: text, parsed; the label is the category."""
+        text = F.concat(F.lit("["), F.concat_ws(" ", F.col("embedding").cast("array<string>")), F.lit("]"))
+        return embeddings(spark, sf).select("vec_id", F.col("label").alias("category"), parse_vector(text).alias("v"))
+
+    def clustered(spark, sf):
+        return materialize(clusters.cluster(products(spark, sf), "v").select("vec_id", "category", "cluster"))
+
+    reg.add("v02_inertia_by_k", lambda spark, sf: clusters.inertia_by_k(products(spark, sf), "v"))
+    reg.add("v03_cluster", clustered)
+    reg.add(
+        "v03_cluster_agreement",
+        lambda spark, sf: clusters.agreement(clustered(spark, sf), "category", "cluster"),
+    )
     reg.add(
-        "v03_cluster",
-        lambda spark, sf: clusters.cluster(embeddings(spark, sf), "embedding", 10).select("vec_id", "label", "cluster"),
+        "v03_cluster_purity", lambda spark, sf: clusters.purity(clustered(spark, sf), "cluster", "category")
     )
 
+    def search_links(spark, sf):
+        """Query vectors clustered, searches followed to purchases."""
+        s = from_event_table(spark, sf)
+        found = clusters.cluster(products(spark, sf), "v", k=20)
+        labels = materialize(found.select(F.col("vec_id").cast("string").alias("query"), "cluster"))
+        search = s.search.join(labels, "query").select("client_id", "event_ts", "cluster")
+        return clusters.search_purchase_mix(search, clusters.search_to_purchase(search, s.buy, s.products))
+
+    reg.add("v03_search_clusters_to_purchases", search_links)
+
     def peaks(spark, sf):
         peak = F.array_position("embedding", F.array_max("embedding"))
         return embeddings(spark, sf).select("vec_id", F.col("label").alias("category"), peak.cast("bigint").alias("cluster"))

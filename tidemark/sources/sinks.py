@@ -59,13 +59,18 @@ REUSED = {
 }
 
 
-def write_table(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table as Parquet, panels by snapshot date, and read it back."""
+def write_table(df: DataFrame, folder: str, name: str, files_per_date: int = 4) -> DataFrame:
+    """Write a table as Parquet, panels by snapshot date, and read it back.
+
+    A panel's dates are cut in ``files_per_date`` parts before writing, so that a date has
+    so many files and not one from every task.
+    """
     path = f"{folder}/{name}"
-    writer = df.write.mode("overwrite")
     if name in BY_DATE:
-        writer = writer.partitionBy("snapshot_date")
-    writer.parquet(path)
+        part = F.pmod(F.xxhash64("client_id"), F.lit(files_per_date))
+        df.repartition("snapshot_date", part).write.mode("overwrite").partitionBy("snapshot_date").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

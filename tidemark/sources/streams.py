@@ -153,14 +153,28 @@ def from_event_table(spark: SparkSession, sf_dir: str) -> Streams:
 
 
 def products_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_dimension(raw_products(spark, sf_dir))
+
+
+def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test ``part`` table with the columns of the product source."""
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("sku"),
         F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint").alias("category"),
-        ((F.col("p_size") - 1) * 2).cast("bigint").alias("price_bucket"),
-        F.col("p_name").alias("name_embedding"),
+        ((F.col("p_size") - 1) * 2).cast("bigint").alias("price"),
+        F.col("p_name").alias("name"),
     )
 
 
+def write_raw(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The test tables as the six source files, times as text: what ``read_streams`` reads."""
+    streams = from_event_table(spark, sf_dir)
+    for name, df in streams.by_type().items():
+        raw = df.withColumn("timestamp", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).drop("event_ts")
+        raw.write.parquet(f"{folder}/{name}.parquet")
+    raw_products(spark, sf_dir).write.parquet(f"{folder}/product_properties.parquet")
+
+
 def purchases_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as purchases: a long history with several lines per checkout."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
