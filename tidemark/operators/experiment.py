@@ -74,7 +74,7 @@ def assign(scored: DataFrame, score: str, p: Params) -> DataFrame:
     # at most 4096 rows per band
     return (
         rows.withColumn("_place", in_part)
-        .join(F.broadcast(places), ["segment", "_part"])
+        .join(places, ["segment", "_part"])
         .withColumn("group", F.when(F.col("_before") + F.col("_place") <= F.col("_half"), TREATMENT).otherwise(CONTROL))
         .drop("_draw", "_part", "_before", "_half", "_place")
     )

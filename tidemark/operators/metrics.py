@@ -89,7 +89,7 @@ def selected_at(
         *g, "score", "_block", "rate", cut(F.col("rate")).alias("k"), "n_before", "pos_before", "n_total", "pos_total"
     )
     # one row per group and rate
-    inside = rows.select(*g, "score", "_block", "_tie", *ROWS, "y").join(F.broadcast(edges), [*g, "score", "_block"])
+    inside = rows.select(*g, "score", "_block", "_tie", *ROWS, "y").join(edges, [*g, "score", "_block"])
     place = F.row_number().over(Window.partitionBy(*g, "rate").orderBy("_tie", *ROWS))
     return (
         inside.withColumn("place", place)
@@ -139,12 +139,12 @@ def needed_for(scored: DataFrame, groups: Sequence[str], targets: DataFrame) ->
     """
     g = list(groups)
     rows = with_tie_blocks(scored, ROWS)
-    blocks = rank_blocks(rows, g, "score", "y").join(F.broadcast(targets), g)
+    blocks = rank_blocks(rows, g, "score", "y").join(targets, g)
     goal = F.greatest(F.col("target"), F.lit(1))
     edges = blocks.filter((F.col("pos_before") < goal) & (goal <= F.col("pos_before") + F.col("pos"))).select(
         *g, "score", "_block", "rate", (goal - F.col("pos_before")).alias("missing"), "n_before", "target"
     )
-    inside = rows.select(*g, "score", "_block", "_tie", *ROWS, "y").join(F.broadcast(edges), [*g, "score", "_block"])
+    inside = rows.select(*g, "score", "_block", "_tie", *ROWS, "y").join(edges, [*g, "score", "_block"])
     w = Window.partitionBy(*g, "rate").orderBy("_tie", *ROWS)
     found = (
         inside.withColumn("place", F.row_number().over(w))
@@ -200,7 +200,7 @@ def calibration_table(scored: DataFrame, groups: Sequence[str], n_bins: int = 10
     # right-closed bins; the lowest score belongs to the first
     place: Column = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("score"))))
     return (
-        scored.join(F.broadcast(edges), g)
+        scored.join(edges, g)
         .groupBy(*g, place.alias("bin"))
         .agg(
             F.avg("score").alias("mean_predicted"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..plans.ranking import exact_quantiles
+from ..plans.ranking import exact_quantiles, tie_key
 
 SPLITS = ("train", "val", "test")
 
@@ -49,7 +49,7 @@ def scaled(df: DataFrame, raws: dict[str, Column], by: Sequence[str] = ("split",
         return F.when(hi - lo < 1e-9, F.lit(0.5)).otherwise((x - lo) / (hi - lo))
 
     # one row of statistics per split
-    return rows.join(F.broadcast(stats), by).select(*df.columns, *[unit(n).alias(n) for n in raws])
+    return rows.join(stats, by).select(*df.columns, *[unit(n).alias(n) for n in raws])
 
 
 def random_score(seed: int) -> Column:
@@ -79,7 +79,7 @@ def _days_summary(panel: DataFrame) -> DataFrame:
 
 def _with_top_days(panel: DataFrame) -> DataFrame:
     top = panel.groupBy("split").agg(F.max("days_since_last_purchase").alias("_top"))
-    return panel.join(F.broadcast(top), "split")
+    return panel.join(top, "split")
 
 
 def _filled_days() -> Column:
@@ -156,7 +156,7 @@ def recency_propensity(panel: DataFrame) -> DataFrame:
 
     The score falls linearly with the days, so the median score is the score of the median.
     """
-    rows = panel.join(F.broadcast(_days_summary(panel)), "split")
+    rows = panel.join(_days_summary(panel), "split")
     lo, hi = F.col("min_days"), F.col("max_days")
 
     def score(days):
@@ -207,12 +207,13 @@ def standardised(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def stacked(rows: DataFrame, methods: dict[str, str], label: str) -> DataFrame:
-    """Long form ``(split, method, snapshot_date, client_id, y, score)``."""
+    """Long form ``(split, method, snapshot_date, client_id, y, score)`` with the tie order ``_tie``."""
     pairs = [F.struct(F.lit(m).alias("method"), F.col(c).cast("double").alias("score")) for m, c in methods.items()]
     return rows.select(
         "split",
         "snapshot_date",
         "client_id",
         F.col(label).cast("int").alias("y"),
+        tie_key("snapshot_date", "client_id").alias("_tie"),
         F.explode(F.array(*pairs)).alias("m"),
-    ).select(F.lit(label).alias("label"), "split", "m.method", "snapshot_date", "client_id", "y", "m.score")
+    ).select(F.lit(label).alias("label"), "split", "m.method", "snapshot_date", "client_id", "y", "m.score", "_tie")

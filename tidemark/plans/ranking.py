@@ -101,8 +101,12 @@ def tie_key(*cols: str) -> Column:
 
 
 def with_tie_blocks(scored: DataFrame, tie_cols: Sequence[str]) -> DataFrame:
-    """``_tie`` orders equal scores; ``_block`` cuts each tie in 4096 parts of that order."""
-    return scored.withColumn("_tie", tie_key(*tie_cols)).withColumn("_block", F.substring("_tie", 1, 3))
+    """``_tie`` orders equal scores; ``_block`` cuts each tie in 4096 parts of that order.
+
+    A frame that brings its ``_tie`` keeps it.
+    """
+    tied = scored if "_tie" in scored.columns else scored.withColumn("_tie", tie_key(*tie_cols))
+    return tied.withColumn("_block", F.substring("_tie", 1, 3))
 
 
 def rank_blocks(scored: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:

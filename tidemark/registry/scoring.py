@@ -29,11 +29,11 @@ def buy_panel(s: Streams) -> DataFrame:
 
 def churn_scored(s: Streams) -> DataFrame:
     """Rule scores of all splits against the short churn label, in long form."""
-    return scores.stacked(scores.churn_rules(churn_panel(s), P), CHURN_RULES, f"churn_{SHORT}d")
+    return materialize(scores.stacked(scores.churn_rules(churn_panel(s), P), CHURN_RULES, f"churn_{SHORT}d"))
 
 
 def buy_scored(s: Streams) -> DataFrame:
-    return scores.stacked(scores.propensity_rules(buy_panel(s), P), BUY_RULES, f"will_purchase_{SHORT}d")
+    return materialize(scores.stacked(scores.propensity_rules(buy_panel(s), P), BUY_RULES, f"will_purchase_{SHORT}d"))
 
 
 def _unit(x: str, w: str = "w") -> str:
