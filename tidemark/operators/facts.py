@@ -174,77 +174,61 @@ def edge_occasions(buy: DataFrame, last: bool = False) -> DataFrame:
 def cart_pairs(streams: Streams) -> DataFrame:
     """Per (client, sku): counts, first add and buy, and the first removal not before that add.
 
-    Adds, removals and purchases are reduced per (client, sku, day) first. On the day of
-    the first add the removal has to be compared with the add itself; on later days the
-    day's first removal is the candidate.
+    Everything but the last is one aggregate that is reduced before the shuffle. Only
+    removals, one per instant, are then compared with their pair's first add.
     """
     if streams.cart_pair_table is not None:
         return streams.cart_pair_table
     rows = streams.events.filter(F.col("event_type").isin("add_to_cart", "remove_from_cart", "product_buy"))
     ts = F.col("event_ts")
     add, remove, buy = (F.col("event_type") == t for t in ("add_to_cart", "remove_from_cart", "product_buy"))
-    key = ["client_id", "sku", "d"]
-    rows = rows.withColumn("d", day("event_ts")).withColumn(
-        "day_first_add", F.min(F.when(add, ts)).over(Window.partitionBy(*key))
-    )
-    per_day = rows.groupBy(*key).agg(
+    pairs = rows.groupBy("client_id", "sku").agg(
         F.count_if(add).alias("n_add"),
-        F.min(F.when(add, ts)).alias("first_add"),
-        F.max(F.when(add, ts)).alias("last_add"),
+        F.min(F.when(add, ts)).alias("first_add_ts"),
+        F.max(F.when(add, ts)).alias("last_add_ts"),
         F.count_if(remove).alias("n_remove"),
-        F.min(F.when(remove, ts)).alias("first_remove"),
-        F.max(F.when(remove, ts)).alias("last_remove"),
-        F.min(F.when(remove & (ts >= F.col("day_first_add")), ts)).alias("remove_after_add_in_day"),
-        F.min(F.when(buy, ts)).alias("first_buy"),
+        F.min(F.when(remove, ts)).alias("first_remove_ts"),
+        F.max(F.when(remove, ts)).alias("last_remove_ts"),
+        F.min(F.when(buy, ts)).alias("first_buy_ts"),
     )
-    per_day = per_day.withColumn("pair_add", F.min("first_add").over(Window.partitionBy("client_id", "sku")))
-    add_day = day("pair_add")
-    candidate = F.when(F.col("d") == add_day, F.col("remove_after_add_in_day")).when(
-        F.col("d") > add_day, F.col("first_remove")
+    removals = rows.filter(remove & ts.isNotNull()).select(
+        F.col("client_id").alias("_client"), F.col("sku").alias("_sku"), "event_ts"
     )
-    return per_day.groupBy("client_id", "sku").agg(
-        F.sum("n_add").alias("n_add"),
-        F.min("first_add").alias("first_add_ts"),
-        F.max("last_add").alias("last_add_ts"),
-        F.sum("n_remove").alias("n_remove"),
-        F.min("first_remove").alias("first_remove_ts"),
-        F.max("last_remove").alias("last_remove_ts"),
-        F.min(candidate).alias("remove_after_add_ts"),
-        F.min("first_buy").alias("first_buy_ts"),
+    # a removal may lack its client or item, and so may its pair
+    same = F.col("client_id").eqNullSafe(F.col("_client")) & F.col("sku").eqNullSafe(F.col("_sku"))
+    added = pairs.filter("first_add_ts IS NOT NULL AND last_remove_ts >= first_add_ts").select("client_id", "sku", "first_add_ts")
+    after = (
+        removals.distinct()
+        .join(added, same & (ts >= F.col("first_add_ts")))
+        .groupBy("_client", "_sku")
+        .agg(F.min("event_ts").alias("remove_after_add_ts"))
     )
+    return pairs.join(after, same, "left").drop("_client", "_sku")
 
 
-def removal_gap(streams: Streams) -> DataFrame:
-    """Median seconds from first add to the removal after it, for clients with such a pair.
+def _removal_median() -> Column:
+    """Median seconds from a pair's first add to the removal after it.
 
-    The median keeps one counter per distinct gap in whole seconds, so its state is bounded
-    by the length of the log, not by the number of pairs.
+    It keeps one counter per distinct gap of a client, of which there are at most as many as
+    the client has items.
     """
     gap = seconds_between("first_add_ts", "remove_after_add_ts")
-    return (
-        cart_pairs(streams)
-        .filter(F.col("sku").isNotNull() & F.col("remove_after_add_ts").isNotNull())
-        .groupBy("client_id")
-        .agg(F.percentile(gap, 0.5).alias("median_seconds_add_to_remove"))
-    )
+    return F.percentile(F.when(F.col("sku").isNotNull(), gap), 0.5).alias("median_seconds_add_to_remove")
 
 
-def cart_behavior(streams: Streams) -> DataFrame:
-    """Cart use per client with an add or a removal.
+def removal_gap(streams: Streams) -> DataFrame:
+    """``median_seconds_add_to_remove`` of the clients with a removal after an add."""
+    with_removal = cart_pairs(streams).filter(F.col("sku").isNotNull() & F.col("remove_after_add_ts").isNotNull())
+    return with_removal.groupBy("client_id").agg(_removal_median())
 
-    The median removal gap is the mean of the middle one or two gaps in the order of a
-    client's pairs, of which there are at most as many as products.
-    """
+
+def cart_behavior(streams: Streams) -> DataFrame:
+    """Cart use per client with an add or a removal."""
     pair = F.col("sku").isNotNull()
     converted = pair & (F.col("first_buy_ts") >= F.col("first_add_ts"))
     hours = seconds_between("first_add_ts", "first_buy_ts") / F.lit(3600.0)
-    by_client = Window.partitionBy("client_id")
-    gap, n, rank = F.col("_gap"), F.col("_n_gaps"), F.col("_rank")
-    middle = gap.isNotNull() & rank.between(F.floor((n + 1) / 2), F.floor(n / 2) + 1)
-    pairs = cart_pairs(streams).withColumn("_gap", F.when(pair, seconds_between("first_add_ts", "remove_after_add_ts")))
     return (
-        pairs.withColumn("_n_gaps", F.count("_gap").over(by_client))
-        .withColumn("_rank", F.row_number().over(by_client.orderBy(gap.asc_nulls_last())))
+        cart_pairs(streams)
         .groupBy("client_id")
         .agg(
             F.sum("n_add").alias("n_add"),
@@ -257,7 +241,7 @@ def cart_behavior(streams: Streams) -> DataFrame:
             F.max("last_remove_ts").alias("last_remove_ts"),
             count_where(converted).alias("n_add_to_buy_pairs"),
             F.avg(F.when(converted, hours)).alias("avg_hours_add_to_buy"),
-            F.avg(F.when(middle, gap)).alias("median_seconds_add_to_remove"),
+            _removal_median(),
         )
         .filter((F.col("n_add") > 0) | (F.col("n_remove") > 0))
     )
