@@ -185,7 +185,7 @@ def fit_boosted(frame: DataFrame, label: str, b: Boosting):
     rows = frame.select("split", "_trees", F.col(label).cast("double").alias("_y"))
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'").drop("split")
     quality: dict[int, float | None] = {}
-    rounds = min(b.rounds, 2 * b.patience + 4)
+    rounds = min(b.rounds, b.patience + 10)
     while True:
         model = _trees(b, rounds).fit(train)
         quality |= round_quality(model, val, after=len(quality))
