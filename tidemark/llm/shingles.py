@@ -149,7 +149,7 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key per band of ``rows`` bins, different between bands."""
-    bands = signature.reshape(len(signature), -1, rows)
+    bands = signature.reshape(len(signature), signature.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=np.uint64) * STEP, bands.shape[:2]).copy()
     for n in range(rows):
         key = mix(key * FOLD + bands[:, :, n])
