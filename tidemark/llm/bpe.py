@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .transducer import Transducer, load_ranks
 
 #: Bytes of text worked on at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 #: White space of the pattern, spelt out for expressions that know only that of ASCII.
 SPACE = "[\\t-\\r \\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -198,6 +198,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers outlive their stage
 
 
 def packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:

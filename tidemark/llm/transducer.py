@@ -46,7 +46,7 @@ LONG = 4096
 class Transducer:
     """Encoder for single pieces under merge ranks; a token's id is its rank."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.ranks = ranks
         self.max_states = max_states
         self.prefixes = {token[:n] for token in ranks for n in range(len(token))}
@@ -104,7 +104,7 @@ class Transducer:
             return self._reachable(right)
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 200_000:
                 self._pairs.clear()
             known = self._pairs[left, right] = self._reachable(right) and self._apart(left, right)
         return known
