@@ -93,3 +93,20 @@ def test_tables_grow_with_the_data():
     for bits, tables in (small, big):
         same = (1 - np.arccos(vectors.COSINE) / np.pi) ** bits
         assert (1 - same) ** tables <= vectors.MISS
+
+
+def test_all_members_of_a_crowded_cell_are_compared(spark):
+    """A loose cloud, in which close pairs are far apart in any one projection."""
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(64)
+    x = centre / np.linalg.norm(centre) * np.sqrt(0.85) + rng.standard_normal((3000, 64)) * np.sqrt(0.15 / 64)
+    x[1::2][:200] = x[::2][:200] + rng.standard_normal((200, 64)) * np.sqrt(0.085 / 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cell = spark.createDataFrame([(5, 64, n, v.tolist()) for n, v in enumerate(x)], "cell long, length long, node long, unit array<double>")
+    cos = np.triu(x @ x.T, 1)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(cos >= vectors.COSINE))}
+    assert len(want) > 100
+    for large in (vectors.LARGE, 500):
+        edges = vectors._compared(cell, 3000, vectors.COSINE, 0.805, large).collect()
+        assert {(e.a, e.b) for e in edges if e.cos >= vectors.COSINE} == want
+        assert len(edges) < 20 * 3000 * (1 if large > 3000 else 66)

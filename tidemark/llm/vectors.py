@@ -1,10 +1,11 @@
 """Near-duplicate vectors by NN-descent over lists of close neighbours.
 
 1. Vectors equal in every component form a class; one row stands for it.
-2. First lists: random hyperplanes cut the space ``tables`` times, and each cell's members,
-   in the order of one more projection, are compared with the few that follow. Cells and
-   tables grow with the data so that cells stay small and a pair at the threshold shares
-   none about once in ``1 / MISS`` cases.
+2. First lists: random hyperplanes cut the space ``tables`` times, and all members of a cell
+   are compared with each other, a crowded cell part by part, so that being compared is
+   sharing a cell. Planes and tables grow with the data; a pair at the threshold shares no
+   cell about once in ``1 / MISS`` cases. Of what a node meets in a cell its ``NEXT`` closest
+   go on, and a spanning forest of the links.
 3. Rounds: a node's list holds its closest neighbours up to twice the link's angle, beyond
    which no neighbour of a linked neighbour can lie. All neighbours on a list, and those
    whose lists it is on, are compared with each other. A list that is full of links is
@@ -39,13 +40,15 @@ from .components import components
 COSINE = 0.95
 #: Chance that a pair at the threshold shares no cell.
 MISS = 1e-6
-#: Members a cell has on average, and how many of those that follow one is compared with.
+#: Members a cell has on average, and how many of the closest in its cell a node keeps.
 CELL, NEXT = 8, 16
 #: First length of a neighbour list.
 NEIGHBOURS = 8
 AUDIT, ASKED = 50, 1000
 #: Nodes of a component, or rows of a block, that are compared in one task.
 LARGE = 4096
+#: Rows that are handed to one call of the comparison of cells, about.
+CALL = 16_384
 
 
 def plan(nodes: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -97,30 +100,77 @@ def classes(vectors: DataFrame, embedding: str, key: str) -> tuple[DataFrame, Da
     return rows, materialize(found.mapInArrow(unit, f"node long, size long, least_id {kind}, unit array<double>"))
 
 
-def _compared(sorted_: DataFrame, floor: float) -> DataFrame:
-    """Edges (a, b, cos) of rows sorted by cell, each with those that follow in its cell."""
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a graph given as a symmetric matrix of booleans."""
+    unseen = near.any(axis=1)
+    out = []
+    for start in np.flatnonzero(unseen):
+        if not unseen[start]:
+            continue
+        unseen[start], front = False, np.array([start])
+        while len(front):
+            reached = near[front] & unseen
+            new = np.flatnonzero(reached.any(axis=0))
+            out.append((front[reached[:, new].argmax(axis=0)], new))
+            unseen[new], front = False, new
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _closest(x: np.ndarray, cosine: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of rows (i, j, cos) each row's ``NEXT`` closest, and links that span all links."""
+    near, out = np.zeros((len(x), len(x)), bool), []
+    for at in range(0, len(x), 1024):
+        cos = x[at : at + 1024] @ x.T
+        cos[np.arange(len(cos)), at + np.arange(len(cos))] = -2
+        near[at : at + 1024] = cos >= cosine
+        if len(x) > NEXT + 1:
+            j = np.argpartition(-cos, NEXT, axis=1)[:, :NEXT]
+            i = np.repeat(np.arange(len(cos)), NEXT)
+            j = j.ravel()
+        else:
+            i, j = np.nonzero(cos >= floor)
+        good = cos[i, j] >= floor
+        out.append((i[good] + at, j[good], cos[i[good], j[good]]))
+    if len(x) > NEXT + 1:
+        near |= near.T
+        i, j = _forest(near)
+        out.append((i, j, (x[i] * x[j]).sum(axis=1)))
+    i, j, cos = (np.concatenate(c) for c in zip(*out))
+    return i, j, cos
 
-    def run(batches):
-        held: pa.Table | None = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-            if not now.num_rows:
-                continue
-            cell, size = now.column("cell").to_numpy(), now.column("length").to_numpy()
-            node = now.column("node").to_numpy()
-            ends = np.concatenate([np.flatnonzero(np.diff(size)) + 1, [len(size)]])
-            for a, b in zip([0, *ends[:-1]], ends):  # runs of vectors of one length
-                x = _matrix(now.column("unit").slice(a, b - a).combine_chunks(), int(size[a]))
-                for k in range(1, min(NEXT, b - a - 1) + 1):
-                    near = np.flatnonzero(cell[a : b - k] == cell[a + k : b])
-                    cos = np.einsum("ij,ij->i", x[near], x[near + k])
-                    near, cos = near[cos >= floor] + a, cos[cos >= floor]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(node[near + k]), pa.array(cos)], names=["a", "b", "cos"])
-            held = now.slice(max(0, now.num_rows - NEXT))
-
-    return sorted_.mapInArrow(run, "a long, b long, cos double")
+
+def _compared(dealt: DataFrame, rows: int, cosine: float, floor: float, large: int = LARGE) -> DataFrame:
+    """Edges (a, b, cos) of all members (cell, length, node, unit) of a cell.
+
+    Cells above ``large`` are cut into parts of half that, and every two parts meet.
+    """
+    sizes = dealt.groupBy("cell", "length").agg(F.count(F.lit(1)).alias("members"))
+    crowded = sizes.filter(F.col("members") > large).select("cell", "length", F.ceil(F.col("members") * 2 / large).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("node", "cell"), parts).cast("int")
+    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda n: n != F.col("own"))
+    met = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
+        F.transform(other, lambda n: F.least(n, F.col("own")) * F.col("parts") + F.greatest(n, F.col("own")))
+    )
+    spread = dealt.join(crowded, ["cell", "length"], "left").withColumn("parts", parts).withColumn("own", own)
+    spread = spread.select("cell", "length", F.explode(met).alias("met"), "node", "unit")
+    calls = max(1, math.ceil(rows / CALL))
+    spread = spread.withColumn("call", F.pmod(F.xxhash64("cell", "length", "met"), F.lit(calls)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "ascending"), ("cell", "ascending"), ("met", "ascending")]).combine_chunks()
+        length, cell, met, node = (table.column(c).to_numpy() for c in ("length", "cell", "met", "node"))
+        cuts = np.flatnonzero((np.diff(length) != 0) | (np.diff(cell) != 0) | (np.diff(met) != 0)) + 1
+        cuts = np.concatenate([[0], cuts, [len(node)]])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a > 1:
+                x = _matrix(table.column("unit").slice(a, b - a).combine_chunks(), int(length[a]))
+                i, j, cos = _closest(x, cosine, floor)
+                found.append((np.minimum(node[a + i], node[a + j]), np.maximum(node[a + i], node[a + j]), cos))
+        return pa.table(dict(zip(("a", "b", "cos"), (np.concatenate(c) for c in zip(*found)))))
+
+    return spread.groupBy("call").applyInArrow(run, "a long, b long, cos double")
 
 
 def first_lists(nodes: DataFrame, count: int, seed: int, cosine: float, floor: float) -> DataFrame:
@@ -137,19 +187,16 @@ def first_lists(nodes: DataFrame, count: int, seed: int, cosine: float, floor: f
                 x = _matrix(part.column("unit"), int(length))
                 rng = np.random.default_rng([seed, int(length)])
                 for table in range(tables):
-                    sides = x @ rng.standard_normal((int(length), bits + 1))
-                    cell = (sides[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    sides = x @ rng.standard_normal((int(length), bits))
+                    cell = (sides > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     cell = (cell * 0x9E3779B1 + table * 0x85EBCA77 + int(length) * 0xC2B2AE3D) % (1 << 62)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell), pa.array(sides[:, bits]), pa.array(np.full(len(few), length, np.int64)), part.column("node"), part.column("unit")],
-                        names=["cell", "place", "length", "node", "unit"],
+                        [pa.array(cell), pa.array(np.full(len(few), length, np.int64)), part.column("node"), part.column("unit")],
+                        names=["cell", "length", "node", "unit"],
                     )
 
-    dealt = nodes.select("node", "unit").mapInArrow(cells, "cell long, place double, length long, node long, unit array<double>")
-    # by range of cell and place, so that a crowded cell is cut where it is too large
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartitionByRange(parts, "length", "cell", "place").sortWithinPartitions("length", "cell", "place")
-    return _compared(ordered, floor)
+    dealt = nodes.select("node", "unit").mapInArrow(cells, "cell long, length long, node long, unit array<double>")
+    return _compared(dealt, count * tables, cosine, floor)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
