@@ -110,3 +110,39 @@ def test_all_members_of_a_crowded_cell_are_compared(spark):
         edges = vectors._compared(cell, 3000, vectors.COSINE, 0.805, large).collect()
         assert {(e.a, e.b) for e in edges if e.cos >= vectors.COSINE} == want
         assert len(edges) < 20 * 3000 * (1 if large > 3000 else 66)
+
+
+def edges_of(spark, rows):
+    return spark.createDataFrame([(min(a, b), max(a, b), float(c)) for a, b, c in rows], "a long, b long, cos double")
+
+
+def test_descent_compares_those_whose_lists_a_node_is_on(spark):
+    """Two nodes far down a hub's order, found only as both hold the hub on their lists."""
+    rng = np.random.default_rng(9)
+    hub = np.zeros(64)
+    hub[0] = 1
+    x = [hub]
+    for n in range(20):  # close to the hub, not to each other
+        x.append(np.sqrt(0.83) * hub + np.sqrt(0.17) * np.eye(64)[1 + n])
+    far = np.sqrt(0.81) * hub + np.sqrt(0.19) * np.eye(64)[40]
+    x += [far, far + 0.05 * np.eye(64)[41]]
+    x = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "node long, unit array<double>")
+    start = edges_of(spark, [(0, n, x[0] @ x[n]) for n in range(1, 23)])
+    for reverse in (64, 5):
+        edges, joined = vectors.descend(start, nodes, vectors.COSINE, 0.805)
+        assert {(r.node, r.component) for r in joined.collect()} == {(22, 21)}
+        parts = vectors._around(vectors._neighbour_lists(start, joined), 1, reverse).groupBy("a", "part").count().collect()
+        assert max(r["count"] for r in parts) <= 1 + vectors.NEIGHBOURS + 2.5 * reverse
+
+
+def test_descent_goes_on_while_lists_change(spark):
+    """A walk along a path of vectors that link with nothing, to a link at its end."""
+    step = 0.45
+    points = [np.array([np.cos(step * n), np.sin(step * n)]) for n in range(7)]
+    points.append(np.array([np.cos(step * 6 + 0.2), np.sin(step * 6 + 0.2)]))
+    nodes = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(points)], "node long, unit array<double>")
+    # the last node's only neighbour is two steps away from the one it links with
+    start = edges_of(spark, [(n, n + 1, np.cos(step)) for n in range(6)] + [(4, 7, np.cos(2 * step + 0.2))])
+    edges, joined = vectors.descend(start, nodes, vectors.COSINE, 0.4)
+    assert {(r.node, r.component) for r in joined.collect()} == {(7, 6)}

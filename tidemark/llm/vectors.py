@@ -6,10 +6,13 @@
    sharing a cell. Planes and tables grow with the data; a pair at the threshold shares no
    cell about once in ``1 / MISS`` cases. Of what a node meets in a cell its ``NEXT`` closest
    go on, and a spanning forest of the links.
-3. Rounds: a node's list holds its closest neighbours up to twice the link's angle, beyond
-   which no neighbour of a linked neighbour can lie. All neighbours on a list, and those
-   whose lists it is on, are compared with each other. A list that is full of links is
-   saturated and doubles. The descent ends with a round that joins no components.
+3. Rounds: a node has two lists of its closest neighbours up to twice the link's angle,
+   beyond which no neighbour of a linked neighbour can lie: one from its own component and
+   one from the others, so that a dense group does not hide a link out of it. A node's
+   lists are compared with each other and with those whose lists it is on; where these are
+   more than ``REVERSE``, they are dealt to parts, anew each round, and every part meets the
+   lists. What betters a list or links two components goes on. The descent ends when at most
+   ``CHANGED`` of the list entries are new and no components join.
 4. Audit: every ``AUDIT``-th node, or ``ASKED`` nodes if that is fewer, is compared with all
    nodes, in blocks. A link found there that joins two components is added, and the search
    repeats with new hyperplanes.
@@ -42,8 +45,12 @@ COSINE = 0.95
 MISS = 1e-6
 #: Members a cell has on average, and how many of the closest in its cell a node keeps.
 CELL, NEXT = 8, 16
-#: First length of a neighbour list.
+#: Length of a neighbour list.
 NEIGHBOURS = 8
+#: Those whose lists a node is on are compared in parts of about so many.
+REVERSE = 64
+#: Share of new list entries at which the descent ends.
+CHANGED = 0.001
 AUDIT, ASKED = 50, 1000
 #: Nodes of a component, or rows of a block, that are compared in one task.
 LARGE = 4096
@@ -208,41 +215,79 @@ def _once(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cos").alias("cos"))
 
 
-def descend(edges: DataFrame, nodes: DataFrame, cosine: float, floor: float) -> tuple[DataFrame, DataFrame]:
-    """Rounds over neighbour lists until no components join; the edges and the components."""
+def _neighbour_lists(edges: DataFrame, joined: DataFrame) -> DataFrame:
+    """Both lists of every node: a, b, cos, whether b is of another component, and a's component."""
+    part = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    both = _both_ways(edges).join(part("a"), "a", "left").join(part("b"), "b", "left")
+    a, b = F.coalesce("a_part", "a"), F.coalesce("b_part", "b")
+    both = both.select("a", "b", "cos", (a != b).alias("out"), a.alias("component"))
+    best = Window.partitionBy("a", "out").orderBy(F.col("cos").desc(), "b")
+    return both.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= NEIGHBOURS)
+
+
+def _around(lists: DataFrame, seed: int, reverse: int = REVERSE) -> DataFrame:
+    """Who is compared around each node: (a, part, b), its lists in every part of those whose lists it is on."""
+    back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    parts = back.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / reverse).cast("int").alias("parts"))
+    # the node itself is on its lists
+    own = lists.select("a", "b").union(lists.select("a", F.col("a").alias("b")).distinct())
+    own = own.join(parts, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b")
+    dealt = back.join(parts, "a").select("a", F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.col("parts")).cast("int").alias("part"), "b")
+    return own.union(dealt).distinct()
 
-    def compare(batches):
-        for rows in batches:
-            x = np.stack(rows["unit"].to_numpy())
-            cos = x @ x.T
-            i, j = np.nonzero(np.triu(cos >= floor, 1))
-            name = rows["b"].to_numpy()
-            yield pd.DataFrame({"a": np.minimum(name[i], name[j]), "b": np.maximum(name[i], name[j]), "cos": cos[i, j]})
 
-    def local(rows: pd.DataFrame) -> pd.DataFrame:
-        return next(compare([rows]))
+def descend(edges: DataFrame, nodes: DataFrame, cosine: float, floor: float, changed: float = CHANGED) -> tuple[DataFrame, DataFrame]:
+    """Rounds over neighbour lists until they settle; the edges and the components."""
 
-    length = None
-    best = Window.partitionBy("a").orderBy(F.col("cos").desc(), "b")
-    joined = components(edges.filter(F.col("cos") >= cosine))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("a", "ascending"), ("part", "ascending")]).combine_chunks()
+        of, part, name, component, inner, outer = (
+            table.column(c).to_numpy() for c in ("a", "part", "b", "component", "inner", "outer")
+        )
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(of) != 0) | (np.diff(part) != 0)) + 1, [len(of)]])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a < 2:
+                continue
+            size = len(table.column("unit")[int(a)])  # lists hold vectors of one length
+            x = _matrix(table.column("unit").slice(a, b - a).combine_chunks(), size)
+            cos = x @ x.T
+            apart = component[a:b, None] != component[None, a:b]
+            worst = np.where(apart, outer[a:b, None], inner[a:b, None])
+            better = (cos > np.minimum(worst, worst.T)) | (apart & (cos >= cosine))
+            i, j = np.nonzero(np.triu(better & (cos >= floor), 1))
+            found.append((np.minimum(name[a + i], name[a + j]), np.maximum(name[a + i], name[a + j]), cos[i, j]))
+        return pa.table(dict(zip(("a", "b", "cos"), (np.concatenate(c) for c in zip(*found)))))
+
+    joined, turn = components(edges.filter(F.col("cos") >= cosine)), 0
+    lists = materialize(_neighbour_lists(edges, joined))
     while True:
-        lists = _both_ways(edges).withColumn("turn", F.row_number().over(best))
-        if length is None:
-            lists = lists.filter(F.col("turn") <= NEIGHBOURS)
-        else:
-            lists = lists.join(length, "a", "left").filter(F.col("turn") <= F.coalesce("most", F.lit(NEIGHBOURS)))
-        lists = materialize(lists.select("a", "b", "cos", "turn"))
-        around = lists.join(nodes.select(F.col("node").alias("b"), "unit"), "b").select("a", "b", "unit")
-        new = around.groupBy("a").applyInPandas(local, "a long, b long, cos double")
-        edges = materialize(_once(edges.union(new)))
-        before, joined = joined, components(edges.filter(F.col("cos") >= cosine))
-        if joined.count() == before.count():
+        turn += 1
+        # what a pair has to exceed to enter a list, nothing while that is not full
+        worst = lambda out: F.when(F.sum((F.col("out") == out).cast("int")) >= NEIGHBOURS, F.min(F.when(F.col("out") == out, F.col("cos"))))
+        bar = lists.groupBy("a").agg(
+            F.first("component").alias("component"),
+            F.coalesce(worst(False), F.lit(-2.0)).alias("inner"),
+            F.coalesce(worst(True), F.lit(-2.0)).alias("outer"),
+        )
+        members = materialize(bar.withColumnRenamed("a", "b").join(nodes.select(F.col("node").alias("b"), "unit"), "b"))
+        around = materialize(_around(lists, turn))
+        calls = max(1, math.ceil(around.count() / CALL))
+        met = around.join(members, "b").withColumn("call", F.pmod(F.xxhash64("a", "part"), F.lit(calls)))
+        met = met.select("call", "a", "part", "b", "component", "inner", "outer", "unit")
+        new = _once(met.groupBy("call").applyInArrow(run, "a long, b long, cos double"))
+        new = materialize(new.join(edges.select("a", "b"), ["a", "b"], "left_anti"))
+        links = new.filter(F.col("cos") >= cosine)
+        before = joined
+        if not links.isEmpty():
+            # what is joined is already stars around each component's smallest node
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+        edges = materialize(edges.select("a", "b", "cos").union(new))
+        old, lists = lists, materialize(_neighbour_lists(edges, joined))
+        entered = lists.select("a", "b").join(_fresh(old.select("a", "b")), ["a", "b"], "left_anti").count()
+        if entered <= changed * lists.count() and joined.count() == before.count():
             return edges, joined
-        full = lists.groupBy("a").agg(F.max("turn").alias("n"), F.min("cos").alias("least"))
-        held = F.lit(NEIGHBOURS) if length is None else F.coalesce("most", F.lit(NEIGHBOURS))
-        full = full if length is None else full.join(length, "a", "left")
-        saturated = (F.col("n") >= held) & (F.col("least") >= cosine)
-        length = materialize(full.select("a", F.when(saturated, held * 2).otherwise(held).cast("int").alias("most")))
 
 
 def _fresh(df: DataFrame) -> DataFrame:
