@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import vectors
 
@@ -146,3 +147,19 @@ def test_descent_goes_on_while_lists_change(spark):
     start = edges_of(spark, [(n, n + 1, np.cos(step)) for n in range(6)] + [(4, 7, np.cos(2 * step + 0.2))])
     edges, joined = vectors.descend(start, nodes, vectors.COSINE, 0.4)
     assert {(r.node, r.component) for r in joined.collect()} == {(7, 6)}
+
+
+def test_audit_asks_a_fixed_share_and_measures(spark):
+    for count in (100_000, 10_000_000, 10**9):
+        every, turn = vectors.asked_of(count, 3)
+        assert every <= vectors.AUDIT and count / every >= vectors.ASKED and turn == 3 % every
+    assert {vectors.asked_of(10**7, n)[1] for n in range(50)} == set(range(50))
+    assert vectors.asked_of(vectors.ASKED)[0] == vectors.asked_of(0)[0] == 1
+    angles = [0, 0.1, 0.2, 1.5, 1.6, 3.0]
+    nodes = spark.createDataFrame([(n, [float(np.cos(t)), float(np.sin(t))]) for n, t in enumerate(angles)], "node long, unit array<double>")
+    # three links are within the one known component, the fourth is missed
+    joined = spark.createDataFrame([(1, 0), (2, 0)], "node long, component long")
+    missed, asked, recall = vectors.audit(nodes, joined, vectors.COSINE)
+    assert {(r.a, r.b) for r in missed.collect()} == {(3, 4), (4, 3)} and asked == 6 and recall == 6 / 8
+    out = vectors.linked(nodes.select(F.col("node").alias("vec_id"), F.col("unit").alias("embedding"))).collect()
+    assert {(r.asked, r.recall, r.recall_low, r.turns) for r in out} == {(6, 1.0, 1.0, 1)}
