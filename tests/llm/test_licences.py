@@ -1,6 +1,6 @@
 """Licence lookup on texts with known answers."""
 
-from tidemark.llm import licences
+from tidemark.llm import licence_texts, licences
 
 MIT = licences.KNOWN[2][1]
 
@@ -39,3 +39,17 @@ def test_spellings_next_to_each_other(spark):
 def test_no_rows_and_no_licences(spark):
     assert found(spark, [])[0] == []
     assert found(spark, ["Released under the MIT License."], (("a", " .. "),))[0] == [(None, [])]
+
+
+def test_whole_texts_of_every_book(spark):
+    wrapped = MIT.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT").replace("the above copyright", "the above\ncopyright")
+    body = MIT.split("\n\n", 2)[2]
+    flat = lambda t: " ".join(t.split())
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n" + licence_texts.BSD.replace("copyright notice", "\ncopyright notice")
+    texts = [
+        wrapped, body, "Copyright 2011 Some Body\n" + body, bsd, licence_texts.BSD_REGENTS, licence_texts.APACHE,
+        licence_texts.APACHE.replace("[yyyy] [name of copyright owner]", "2020 X").replace("(c) You", "\n(c) You"),
+        licence_texts.GPL, licence_texts.CC0, flat(licence_texts.CC0), licence_texts.BY_SA,
+    ]
+    got, _ = found(spark, texts)
+    assert [g[0] for g in got] == ["MIT"] * 3 + ["BSD-3-Clause"] * 2 + ["Apache-2.0"] * 2 + ["GPL-3.0", "CC0-1.0", "CC0-1.0", "CC-BY-SA-4.0"]

@@ -1,6 +1,6 @@
 """Licence texts found by the digest of their canonical form.
 
-Canonical form: lower case; lines that open with a copyright notice dropped; everything
+Canonical form: lower case; lines that are a copyright notice dropped; everything
 that is not a letter or digit read as a space; words with an equivalent spelling written
 one way; single spaces. Known licences and statements have a digest of their whole text.
 A document is looked up as a whole, and so is each of its lines, by an equi-join on the
@@ -17,8 +17,15 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.materialize import materialize
 
-#: Lines that open with one of these, after any punctuation, are notices.
-NOTICE = r"(?md)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+from .licence_texts import APACHE, BSD, BSD_REGENTS, BY_SA, CC0, GPL
+
+_YEAR = r"(19|20)[0-9][0-9]|<year>|\[year\]|\[yyyy\]"
+#: Lines that open so, after any punctuation, are notices: "copyright" with a sign, a year or the
+#: reservation of rights, the sign with a year, or that reservation. Other lines may be wrapped text.
+NOTICE = (
+    r"(?md)^[^\p{L}\p{N}\n]*(copyright[^\n]*(\(c\)|©|all rights reserved|" + _YEAR + r")|(\(c\)|©)[^\n]*(" + _YEAR
+    + r")|all rights reserved)[^\n]*$"
+)
 
 # Words that licence texts spell in several ways, and the spelling kept.
 SPELLINGS = (
@@ -79,6 +86,32 @@ KNOWN = (
 )
 
 
+def _usual(known: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
+    """Whole texts as they are found: with and without heading, numbers or closing instructions."""
+    bare = BSD.replace("\n1. ", "\n").replace("\n2. ", "\n").replace("\n3. ", "\n")
+    bodies = [(name, text.split("\n\n", 2)[2]) for name, text in known if text.startswith((f"{name} License\n\n",))]
+    headed = [("BSD-3-Clause", f"{head}\n\n{body}") for head in ("BSD 3-Clause License", "The BSD 3-Clause License") for body in (BSD, bare)]
+    return (
+        *bodies,
+        ("MIT", "The " + known[2][1]),
+        *headed,
+        ("BSD-3-Clause", BSD),
+        ("BSD-3-Clause", bare),
+        ("BSD-3-Clause", BSD_REGENTS),
+        ("Apache-2.0", APACHE),
+        ("Apache-2.0", APACHE.partition("APPENDIX: How to apply")[0]),
+        ("GPL-3.0", GPL),
+        ("GPL-3.0", GPL.partition("How to Apply These Terms")[0]),
+        ("CC0-1.0", CC0),
+        ("CC0-1.0", CC0.partition("Creative Commons Legal Code")[2]),
+        ("CC-BY-SA-4.0", BY_SA),
+        ("CC-BY-SA-4.0", "Creative Commons " + BY_SA),
+    )
+
+
+KNOWN += _usual(KNOWN)
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical form of every line that has one, in order."""
     form = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOTICE, "")
