@@ -95,3 +95,19 @@ def test_sequences_and_vocabulary(spark):
     for r in packed.collect():
         part = whole[r.sequence_id][r.offset : r.offset + r.length]
         assert zlib.crc32(part.tobytes()) == r.ids_crc32
+
+
+def test_added_tokens_get_the_ids_of_the_library_as_it_is(spark, tmp_path):
+    t = Tokenizer.from_file(queries.TOKENIZER)
+    end = "<|endoftext|>"
+    texts = ["a" + end + "b", end, end * 3, " x " + end + "  y\n", "plain  text", None, "", "<|endoftext", "é" + end + " " + "word " * 3000 + end]
+    want = {n: [*t.encode(x or "", add_special_tokens=False).ids, 0] for n, x in enumerate(texts)}
+    assert want[0] == [64, 50256, 65, 0]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in queries.op9_bounded_best_fit(spark, str(tmp_path)).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for n, ids in want.items():
+        for start, length, crc in got[n]:
+            assert zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
+        assert sum(r[1] for r in got[n]) == len(ids)

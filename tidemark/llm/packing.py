@@ -14,16 +14,20 @@ on as long as that saves sequences. Only counts per length, as many as a sequenc
 tokens, and sums reach the driver.
 
 Null and empty texts are a document of the end id alone. Repeated rows are packed each.
+Added tokens of the tokenizer file are ordinary text, or, with ``added``, cut out of the
+texts first and given their own ids, as the library does unless told otherwise.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +62,51 @@ def tokenizer_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): n for token, n in model["model"]["vocab"].items() if n not in added}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokenizer file's added tokens; only those that are matched as they stand."""
+    with open(path, encoding="utf-8") as lines:
+        model = json.load(lines)
+    found = model.get("added_tokens", ())
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens with rules about what surrounds them")
+    return {t["content"]: t["id"] for t in found}
+
+
+class AddedEncoder:
+    """Ids of whole columns like ``Encoder``, with added tokens cut out of the texts first."""
+
+    def __init__(self, encoder: Encoder, added: dict[str, int]):
+        self.encoder, self.added = encoder, added
+        # of two tokens at one place the longer one
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self.encoder.column(texts)
+        parts, owner, special = [], [], []
+        for n, text in enumerate(texts.to_pylist()):
+            for k, part in enumerate(self.cut(text) if holds[n] else [text]):
+                parts.append(None if k % 2 else part)
+                owner.append(n)
+                special.append(self.added[part] if k % 2 else -1)
+        flat, counts = self.encoder.column(pa.array(parts, pa.large_string()))
+        special = np.array(special)
+        at = np.flatnonzero(special >= 0)
+        flat = np.insert(flat, (np.cumsum(counts) - counts)[at], special[at].astype(flat.dtype))
+        counts = counts + (special >= 0)
+        return flat, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(tokenizer_ranks(path), pattern)
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of every row: row_id, id, piece, start, length, ids_crc32 and, if asked for, ids."""
     kind = docs.schema[key].dataType.simpleString()
     schema = T.StructType.fromDDL(
@@ -73,8 +116,11 @@ def pieces(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
         F.monotonically_increasing_id().alias("row_id"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")
     )
 
+    tokens = added_tokens(path) if added else {}
+
     def run(batches):
         enc = _encoder(path, pattern)
+        enc = AddedEncoder(enc, tokens) if tokens else enc
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -183,10 +229,10 @@ def _used(packed: DataFrame) -> int:
     return packed.filter("offset = 0").count()
 
 
-def pack(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, per_partition: int = PER_PARTITION, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, per_partition: int = PER_PARTITION, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``; columns as in ``pieces``, the key under its name."""
     # the ids themselves take no part in the packing
-    cut = materialize(pieces(docs, path, pattern, text, key, capacity, with_ids=with_ids))
+    cut = materialize(pieces(docs, path, pattern, text, key, capacity, with_ids=with_ids, added=added))
     items = cut.drop("ids")
     counts = np.zeros(capacity + 1, np.int64)
     for r in items.groupBy("length").count().collect():  # at most ``capacity`` rows

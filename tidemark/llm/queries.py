@@ -184,7 +184,7 @@ FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
 
 
 def op9_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, added=True)
 
 
 def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
