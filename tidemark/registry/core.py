@@ -13,6 +13,7 @@ from ..plans.materialize import new_folder
 from ..sources.streams import (
     ITEM_KEY,
     from_event_table,
+    products_from_parts,
     purchases_from_orders,
     read_streams,
     typed_events,
