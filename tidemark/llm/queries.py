@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, langid, licences, neardup, packing, sharding, tokencount, urlfilter, vectors
+from tidemark.plans.materialize import materialize
+
+from . import bpe, exactdup, langid, licences, neardup, packing, sharding, spelling, tokencount, urlfilter, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,6 +195,13 @@ def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, some of them misspelt by rule."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"), "doc_id", "text", 6)
+    words = runs.select(spelling.misspelt(F.col("key"), F.col("word")).alias("word"))
+    return spelling.grouped(materialize(spelling.vocabulary(words)))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -206,6 +215,7 @@ QUERIES: dict[str, Query] = {
         op8_nn_descent,
         op9_bounded_best_fit,
         op10_family_svm,
+        op12_trie_pairs,
     )
 }
 SQL: dict[str, str] = {
