@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.materialize import materialize
 
-from . import bpe, exactdup, langid, licences, neardup, packing, sharding, spelling, tokencount, urlfilter, vectors
+from . import bpe, conversations, exactdup, langid, licences, neardup, packing, sharding, spelling, tokencount, urlfilter, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,6 +202,12 @@ def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(materialize(spelling.vocabulary(words)))
 
 
+def op13_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after some of its turns have been damaged by rule."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.verdicts(conversations.damaged(rows), ids=rows)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -216,6 +222,7 @@ QUERIES: dict[str, Query] = {
         op9_bounded_best_fit,
         op10_family_svm,
         op12_trie_pairs,
+        op13_edit_lattice,
     )
 }
 SQL: dict[str, str] = {
