@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.materialize import materialize
 
-from . import bpe, conversations, exactdup, langid, licences, neardup, packing, sharding, spelling, tokencount, urlfilter, vectors
+from . import bpe, conversations, exactdup, langid, licences, neardup, packing, repetition, sharding, spelling, tokencount, urlfilter, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,6 +195,69 @@ def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text", "longest_repeat")
+
+
+def _same_window(words: int, level: int, name: str) -> str:
+    """Whether the window of so many words from here occurs twice, told by two windows of ``level`` that cover it."""
+    key = f"h{level}, lead(h{level}, {words - level}) OVER o"
+    return f"CASE WHEN i + {words} <= size + 1 THEN hash({key}) END AS {name}"
+
+
+def _covered(name: str, words: int) -> str:
+    return f"coalesce(max(CASE WHEN n_{name} > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN {words - 1} PRECEDING AND CURRENT ROW), 0)"
+
+
+LIMITS = repetition.Limits()
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
+), x AS (
+  SELECT n, size, unnest(w) AS word, unnest(range(1, size + 1)) AS i
+  FROM (SELECT n, w, len(w) AS size FROM (SELECT n, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d))
+), h1 AS (SELECT *, hash(word) AS h1 FROM x),
+h2 AS (SELECT *, hash(h1, lead(h1, 1) OVER o) AS h2 FROM h1 WINDOW o AS (PARTITION BY n ORDER BY i)),
+h4 AS (SELECT *, hash(h2, lead(h2, 2) OVER o) AS h4 FROM h2 WINDOW o AS (PARTITION BY n ORDER BY i)),
+h8 AS (SELECT *, hash(h4, lead(h4, 4) OVER o) AS h8 FROM h4 WINDOW o AS (PARTITION BY n ORDER BY i)),
+h16 AS (SELECT *, hash(h8, lead(h8, 8) OVER o) AS h16 FROM h8 WINDOW o AS (PARTITION BY n ORDER BY i)),
+h32 AS (SELECT *, hash(h16, lead(h16, 16) OVER o) AS h32 FROM h16 WINDOW o AS (PARTITION BY n ORDER BY i)),
+h64 AS (SELECT *, hash(h32, lead(h32, 32) OVER o) AS h64 FROM h32 WINDOW o AS (PARTITION BY n ORDER BY i)),
+k AS (
+  SELECT n, i, word, {_same_window(LIMITS.window, 2, "short")}, {_same_window(LIMITS.repeat, 8, "long")},
+         {_same_window(LIMITS.longest + 1, 64, "whole")}
+  FROM h64 WINDOW o AS (PARTITION BY n ORDER BY i)
+), c AS (
+  SELECT n, i, word,
+         CASE WHEN short IS NOT NULL THEN count(*) OVER (PARTITION BY n, short) END AS n_short,
+         CASE WHEN long IS NOT NULL THEN count(*) OVER (PARTITION BY n, long) END AS n_long,
+         CASE WHEN whole IS NOT NULL THEN count(*) OVER (PARTITION BY n, whole) END AS n_whole
+  FROM k
+), p AS (
+  SELECT n, word, n_whole, {_covered("short", LIMITS.window)} AS in_short, {_covered("long", LIMITS.repeat)} AS in_long FROM c
+), m AS (
+  SELECT n, count(*) AS n_words, sum(length(word)) AS word_chars, sum(in_short) AS n_repeat_words,
+         sum(in_long * length(word)) AS repeat_chars, coalesce(max(n_whole), 0) > 1 AS too_long
+  FROM p GROUP BY n
+), l AS (
+  SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n
+), f AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(repeat_chars, 0)::BIGINT AS repeat_chars, coalesce(too_long, false) AS too_long
+  FROM d LEFT JOIN m USING (n) LEFT JOIN l USING (n)
+), b AS (
+  SELECT *, n_words < {LIMITS.words} OR 100 * n_repeat_words > {LIMITS.window_percent} * n_words AS base_failed FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_chars, base_failed,
+       NOT base_failed AND 100 * repeat_chars <= {LIMITS.covered_percent} * word_chars AND NOT too_long AS kept
+FROM b
+"""
+
+
 def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents, some of them misspelt by rule."""
     runs = spelling.runs(table(spark, sf_dir, "documents"), "doc_id", "text", 6)
@@ -221,6 +284,7 @@ QUERIES: dict[str, Query] = {
         op8_nn_descent,
         op9_bounded_best_fit,
         op10_family_svm,
+        op11_suffix_repeats,
         op12_trie_pairs,
         op13_edit_lattice,
     )
@@ -231,4 +295,5 @@ SQL: dict[str, str] = {
     "op4_digest_index": OP4_SQL,
     "op5_licence_digests": OP5_SQL,
     "op8_nn_descent": OP8_SQL,
+    "op11_suffix_repeats": OP11_SQL,
 }
