@@ -11,7 +11,7 @@ from tidemark.operators import learn, scores
 from tidemark.plans.materialize import materialize
 
 P = replace(Params(), split_sizes=(3, 1, 2))
-B = learn.Boosting(rounds=12, depth=3, min_rows=10, patience=4)
+B = learn.Boosting(rounds=12, leaves=8, depth=3, min_rows=10, patience=4, keep=6)
 
 
 @pytest.fixture(scope="module")
@@ -51,8 +51,8 @@ def test_models_beat_rules(panel):
 
 def test_importance_finds_the_signal(panel, spark):
     spec = learn.propensity_spec(P)
-    model = learn.fit_boosted(materialize(learn.model_frame(panel, spec, P)), "will_purchase_14d", B)
-    top = learn.feature_importance(model, learn.tree_inputs(spec), spark).first()
+    model = learn.fit_boosted(materialize(learn.model_frame(panel, spec, P)), ["will_purchase_14d"], B)["will_purchase_14d"]
+    top = learn.feature_importance(model, spec.features, spark).first()
     assert top.feature == "n_add_to_cart_28d"
 
 
@@ -69,8 +69,9 @@ def test_targeting_rows_and_order(panel):
 def test_scores_are_reproducible(panel):
     spec = replace(learn.propensity_spec(P), labels=("will_purchase_14d",))
     frame = learn.model_frame(panel, spec, P)
-    a = learn.label_scores(materialize(frame), spec, "will_purchase_14d", B)
-    b = learn.label_scores(materialize(frame.repartition(5)), spec, "will_purchase_14d", B)
+    model = learn.fit_boosted(materialize(frame), ["will_purchase_14d"], B)["will_purchase_14d"]
+    a = learn.label_scores(materialize(frame), spec, "will_purchase_14d", model)
+    b = learn.label_scores(materialize(frame.repartition(5)), spec, "will_purchase_14d", model)
     key = ["split", "method", "snapshot_date", "client_id"]
     joined = a.join(b.withColumnRenamed("score", "other").select(*key, "other"), key)
     rule_rows = joined.filter("method <> 'boosted' and method <> 'logistic'")
@@ -111,29 +112,6 @@ def test_split_of_a_short_grid_fails(spark):
         scores.chronological_split(df, Params()).collect()
 
 
-def test_patience():
-    rising = {n: n / 100 for n in range(1, 21)}
-    assert learn.best_round(rising, 5) == (20, False)
-    assert learn.best_round({**rising, **{n: 0.1 for n in range(21, 26)}}, 5) == (20, True)
-    assert learn.best_round({1: 0.5, 2: 0.7, 3: 0.7, 4: 0.6, 5: 0.9}, 3) == (5, False)
-    assert learn.best_round({1: 0.5, 2: 0.7, 3: 0.7, 4: 0.6, 5: 0.6, 6: 0.9}, 3) == (2, True)
-    assert learn.best_round({1: None, 2: None}, 5) == (1, False)
-
-
-def test_boosting_keeps_the_best_round(panel):
-    spec, label = learn.propensity_spec(P), "will_purchase_14d"
-    frame = materialize(learn.model_frame(panel, spec, P))
-    b = learn.Boosting(rounds=12, depth=2, min_rows=10, patience=2)
-    model = learn.fit_boosted(frame, label, b)
-    val = frame.filter("split = 'val'").select("_trees", learn.F.col(label).cast("double").alias("_y"))
-    longest = learn._trees(b, 12).fit(frame.filter("split = 'train'").withColumn("_y", learn.F.col(label).cast("double")))
-    quality = learn.round_quality(longest, val)
-    assert sorted(quality) == list(range(1, 13))
-    best, _ = learn.best_round(quality, 2)
-    assert len(model.trees) == best
-    assert learn.round_quality(model, val)[best] == pytest.approx(quality[best])
-
-
 def test_impute_and_standardise(spark):
     rows = [("train", 1.0, True), ("train", 3.0, False), ("train", None, True), ("test", None, False), ("test", 9.0, True)]
     df = spark.createDataFrame(rows, "split string, x double, flag boolean")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..params import Params
 from ..plans.materialize import materialize
-from . import experiment, metrics, scores
+from . import boosting, experiment, metrics, scores
+from .boosting import BoostedTrees, Boosting
 from .panel import churn_target
 
 
@@ -38,18 +39,6 @@ class ModelSpec:
     policies: tuple[str, ...] = ("recency",)
 
 
-@dataclass(frozen=True)
-class Boosting:
-    rounds: int = 500
-    depth: int = 5
-    step: float = 0.1
-    bins: int = 255
-    min_rows: int = 20
-    seed: int = 42
-    # rounds without a better validation AUC after which boosting ends
-    patience: int = 30
-
-
 def _activity(p: Params) -> tuple[str, ...]:
     kinds = ("page_visit", "search_query", "add_to_cart", "remove_from_cart")
     return tuple(f"n_{k}_{p.activity_days}d" for k in kinds)
@@ -95,23 +84,14 @@ def propensity_spec(p: Params) -> ModelSpec:
     )
 
 
-def tree_inputs(spec: ModelSpec) -> list[str]:
-    """Names of the boosted trees' inputs, in order."""
-    return [*spec.features, *[f"{c}_missing" for c in (*spec.fill_with_flag, *spec.fill_only)]]
-
-
 def model_frame(panel: DataFrame, spec: ModelSpec, p: Params) -> DataFrame:
     """Labels, rule scores and the inputs of both models in one row per client and date.
 
-    ``_trees``: raw features; a missing value becomes -1 beside a flag, as the trees here
-    take no NULLs. ``_linear``: imputed, flagged and standardised features.
+    ``_trees``: raw features as an array, NULL where missing. ``_linear``: imputed, flagged
+    and standardised features.
     """
     rows = spec.rules(panel).withColumn("random", scores.random_score(p.seed))
-    nullable = (*spec.fill_with_flag, *spec.fill_only)
-    raw = {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in spec.features}
-    raw |= {f"{c}_missing": F.col(c).isNull().cast("double") for c in nullable}
-    rows = rows.select("*", *[x.alias(f"_t_{c}") for c, x in raw.items()])
-    rows = VectorAssembler(inputCols=[f"_t_{c}" for c in raw], outputCol="_trees").transform(rows)
+    rows = rows.withColumn("_trees", F.array(*[F.col(c).cast("double") for c in spec.features]))
     columns = [*spec.features, *[f"{c}_missing" for c in spec.fill_with_flag]]
     rows = scores.standardised(scores.imputed(rows, spec.fill_with_flag, spec.fill_only, spec.as_int), columns)
     rows = VectorAssembler(inputCols=columns, outputCol="_linear").transform(rows)
@@ -122,6 +102,8 @@ def model_frame(panel: DataFrame, spec: ModelSpec, p: Params) -> DataFrame:
 
 def with_score(model, df: DataFrame, out: str) -> DataFrame:
     """Add the probability of the positive class."""
+    if isinstance(model, BoostedTrees):
+        return df.withColumn(out, model.probability(F.col("_trees")))
     scored = model.transform(df).withColumn(out, vector_to_array(model.getProbabilityCol())[1])
     return scored.drop(model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol())
 
@@ -136,77 +118,21 @@ def fit_logistic(frame: DataFrame, label: str, max_iter: int = 1000):
     return lr.fit(train)
 
 
-def _trees(b: Boosting, rounds: int) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="_trees",
-        labelCol="_y",
-        maxIter=rounds,
-        maxDepth=b.depth,
-        stepSize=b.step,
-        maxBins=b.bins,
-        minInstancesPerNode=b.min_rows,
-        seed=b.seed,
-    )
+def fit_boosted(frame: DataFrame, labels: Sequence[str], b: Boosting) -> dict[str, BoostedTrees]:
+    """Trees on the training dates, kept up to the round with the best AUC on the validation dates."""
+    size = frame.select(F.size("_trees").alias("n")).first()
+    return boosting.fit(frame, "_trees", size["n"] if size else 0, labels, b)
 
 
-def round_quality(model, rows: DataFrame, after: int = 0) -> dict[int, float]:
-    """AUC on ``rows`` (_trees, _y) of the model's first n trees, for n > ``after``."""
-    kept = [c for c in rows.columns if c != "_trees"]
-    margin, margins = F.lit(0.0), []
-    for n, (tree, weight) in enumerate(zip(model.trees, model.treeWeights), 1):
-        rows = tree.setFeaturesCol("_trees").setPredictionCol("_leaf").transform(rows)
-        rows = rows.withColumn("_sum", (F.col("_sum") if n > 1 else margin) + F.col("_leaf") * weight)
-        if n > after:
-            rows = rows.withColumn(f"_m{n}", F.col("_sum"))
-            margins.append(F.struct(F.lit(n).alias("round"), F.col(f"_m{n}").alias("score")))
-        rows = rows.drop("_leaf")
-    each = rows.select(*kept, F.explode(F.array(*margins)).alias("m")).select(F.col("_y").alias("y"), "m.*")
-    return {r["round"]: r["roc_auc"] for r in metrics.ranking_quality(each, ["round"]).collect()}
-
-
-def best_round(quality: dict[int, float | None], patience: int) -> tuple[int, bool]:
-    """The round to keep, and whether patience ran out after it. Ties keep the earlier round."""
-    best, top = 0, float("-inf")
-    for n in sorted(quality):
-        if quality[n] is not None and quality[n] > top:
-            best, top = n, quality[n]
-        elif n - best >= patience:
-            return max(best, 1), True
-    return max(best, 1), False
-
-
-def fit_boosted(frame: DataFrame, label: str, b: Boosting):
-    """Trees on the training dates, kept up to the round with the best AUC on the validation dates.
-
-    Boosting ends when ``patience`` rounds bring no better AUC. Rounds are fitted in runs of
-    twice the length until that happens: with one seed, a longer run begins with the same
-    trees. Validation dates without both classes leave one round.
-    """
-    rows = frame.select("split", "_trees", F.col(label).cast("double").alias("_y"))
-    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'").drop("split")
-    quality: dict[int, float | None] = {}
-    rounds = min(b.rounds, b.patience + 10)
-    while True:
-        model = _trees(b, rounds).fit(train)
-        quality |= round_quality(model, val, after=len(quality))
-        best, ended = best_round(quality, b.patience)
-        if ended or rounds >= b.rounds:
-            return model if best == rounds else _trees(b, best).fit(train)
-        rounds = min(b.rounds, rounds * 2)
-
-
-def feature_importance(model, columns: Sequence[str], spark) -> DataFrame:
-    """Gain per original feature, largest first; a missing-value flag counts for its feature."""
-    gain: dict[str, float] = {}
-    for k, c in enumerate(columns):
-        name = c.removesuffix("_missing") if c.removesuffix("_missing") in columns else c
-        gain[name] = gain.get(name, 0.0) + float(model.featureImportances[k])
-    return spark.createDataFrame(list(gain.items()), "feature string, importance double").orderBy(
-        F.col("importance").desc(), "feature"
-    )
+def feature_importance(model: BoostedTrees, columns: Sequence[str], spark) -> DataFrame:
+    """Share of the gain per feature, largest first."""
+    gains = model.gains()
+    whole = gains.sum() or 1.0
+    rows = [(c, float(g / whole)) for c, g in zip(columns, gains)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
-def label_scores(frame: DataFrame, spec: ModelSpec, label: str, b: Boosting, linear: bool = True) -> DataFrame:
+def label_scores(frame: DataFrame, spec: ModelSpec, label: str, model: BoostedTrees, linear: bool = True) -> DataFrame:
     """All methods' scores of the validation and test dates in long form.
 
     ``frame`` is a written ``model_frame``. Models are applied one after the other to the
@@ -218,16 +144,21 @@ def label_scores(frame: DataFrame, spec: ModelSpec, label: str, b: Boosting, lin
     if linear:
         rows = with_score(fit_logistic(frame, label), rows, "logistic")
         methods["logistic"] = "logistic"
-    rows = with_score(fit_boosted(frame, label, b), rows, "boosted")
+    rows = with_score(model, rows, "boosted")
     methods["boosted"] = "boosted"
     return materialize(scores.stacked(rows, methods, label))
 
 
+def spec_scores(panel: DataFrame, spec: ModelSpec, p: Params, b: Boosting, linear: bool = True) -> DataFrame:
+    """The scores of all labels of a spec; its boosted models are fitted in the same passes."""
+    frame = materialize(model_frame(panel, spec, p))
+    models = fit_boosted(frame, spec.labels, b)
+    return reduce(DataFrame.unionByName, [label_scores(frame, spec, c, models[c], linear) for c in spec.labels])
+
+
 def train_and_evaluate(panel: DataFrame, spec: ModelSpec, p: Params, b: Boosting) -> DataFrame:
     """One row of metrics per label, split and method."""
-    frame = materialize(model_frame(panel, spec, p))
-    scored = [label_scores(frame, spec, label, b) for label in spec.labels]
-    return metrics.full_evaluation(reduce(DataFrame.unionByName, scored), ["label", "split", "method"], p.metric_rates)
+    return metrics.full_evaluation(spec_scores(panel, spec, p, b), ["label", "split", "method"], p.metric_rates)
 
 
 def targeting_simulation(panels: Sequence[tuple[ModelSpec, DataFrame]], p: Params, b: Boosting) -> DataFrame:
@@ -235,9 +166,8 @@ def targeting_simulation(panels: Sequence[tuple[ModelSpec, DataFrame]], p: Param
     tables = []
     for spec, panel in panels:
         keep = ["random", *spec.policies, "boosted"]
-        frame = materialize(model_frame(panel, spec, p))
-        scored = [label_scores(frame, spec, label, b, linear=False) for label in spec.labels]
-        test = reduce(DataFrame.unionByName, scored).filter("split = 'test'").filter(F.col("method").isin(*keep))
+        scored = spec_scores(panel, spec, p, b, linear=False)
+        test = scored.filter("split = 'test'").filter(F.col("method").isin(*keep))
         table = metrics.targeting_table(test, ["label"], p.contact_rates, "boosted", "recency")
         tables.append(table.select(F.lit(spec.name).alias("model"), "*"))
     return reduce(DataFrame.unionByName, tables)
@@ -252,7 +182,7 @@ def experiment_assignment(panel: DataFrame, p: Params, b: Boosting) -> DataFrame
     spec = propensity_spec(p)
     label = f"will_purchase_{min(p.label_days)}d"
     frame = materialize(model_frame(panel, spec, p))
-    model = fit_boosted(frame, label, b)
+    model = fit_boosted(frame, [label], b)[label]
     latest = with_score(model, latest_population(frame), "propensity_score").select("client_id", "propensity_score")
     a = p.activity_days
     covariates = latest_population(panel).select(

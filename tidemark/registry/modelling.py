@@ -39,13 +39,13 @@ def register(reg: Registry) -> None:
 
     def boosted(s):
         frame = materialize(learn.model_frame(churn_panel(s), churn, P))
-        model = learn.fit_boosted(frame, f"churn_{SHORT}d", B)
+        model = learn.fit_boosted(frame, [f"churn_{SHORT}d"], B)[f"churn_{SHORT}d"]
         return learn.with_score(model, frame.filter("split = 'test'"), "boosted").select(*KEY, "boosted")
 
     def importance(spark, sf):
         frame = materialize(learn.model_frame(buy_panel(from_event_table(spark, sf)), buying, P))
-        model = learn.fit_boosted(frame, f"will_purchase_{SHORT}d", B)
-        return learn.feature_importance(model, learn.tree_inputs(buying), spark)
+        model = learn.fit_boosted(frame, [f"will_purchase_{SHORT}d"], B)[f"will_purchase_{SHORT}d"]
+        return learn.feature_importance(model, buying.features, spark)
 
     reg.add("l12_logistic_regression", store(logistic))
     reg.add("l13_boosted_trees", store(boosted))
