@@ -10,9 +10,10 @@ the position just read. Following last tokens backwards gives the encoding. Toke
 a border that all open positions go back through are settled and can be emitted: a long
 piece is emitted block by block with a lookahead of a few entries.
 
-States are numbered as they appear and their transitions kept in one table with a column
-per byte value seen, so a whole column of pieces advances one byte at a time by table
-lookups. The table is emptied when it reaches ``max_states``.
+States are numbered as they appear. The first transition of a state is kept beside it, and
+only states with more of them have a row in a table with a column per byte value seen, so a
+whole column of pieces advances one byte at a time by table lookups. All is emptied when
+there are ``max_states``.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Vocabulary of a ``.tiktoken`` file: base64 token and rank per line."""
     with open(path, "rb") as lines:
@@ -37,16 +40,20 @@ class _Full(Exception):
 CLOSED = -1
 #: Nothing read: the next token starts a piece.
 START: tuple[bytes, tuple] = (b"", (None,))
-#: Rows added to the table at a time.
+#: States added to the arrays at a time.
 GROW = 16_384
+BYTES = [bytes([b]) for b in range(256)]
 #: Pieces longer than this are read alone, block by block.
 LONG = 4096
+#: Pairs of tokens, and suffixes, whose facts are remembered.
+PAIRS = 1 << 19
+SUFFIXES = 1 << 17
 
 
 class Transducer:
     """Encoder for single pieces under merge ranks; a token's id is its rank."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks = ranks
         self.max_states = max_states
         self.prefixes = {token[:n] for token in ranks for n in range(len(token))}
@@ -55,7 +62,7 @@ class Transducer:
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._spines: tuple[dict, dict] = ({}, {})
         self._crowded = False
@@ -102,11 +109,12 @@ class Transducer:
         """
         if left is None:
             return self._reachable(right)
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) > 200_000:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._reachable(right) and self._apart(left, right)
+            known = self._pairs[pair] = self._reachable(right) and self._apart(left, right)
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -130,57 +138,88 @@ class Transducer:
     # -- states
 
     def _reset(self) -> None:
-        self.states: list[tuple[bytes, tuple]] = []
-        self.numbers: dict[tuple[bytes, tuple], int] = {}
+        self.states: list[tuple[bytes, tuple]] = [START]
+        self.numbers: dict[tuple[bytes, tuple], int] = {START: 0}
         self.columns = np.full(256, -1, np.int64)
-        self.next = np.full((GROW, 16), -1, np.int32)
         self.token = np.full(GROW, -1, np.int32)
-        self._number(START, -1)
-
-    def _number(self, state: tuple[bytes, tuple], token: int) -> int:
-        n = self.numbers.get(state)
-        if n is None:
-            n = len(self.states)
-            if n >= self.max_states:
-                raise _Full
-            if n == len(self.next):
-                self.next = np.concatenate([self.next, np.full((GROW, self.next.shape[1]), -1, np.int32)])
-                self.token = np.concatenate([self.token, np.full(GROW, -1, np.int32)])
-            self.numbers[state] = n
-            self.states.append(state)
-            self.token[n] = token
-        return n
+        # first transition of each state, and its row of the others; row 0 has none
+        self.byte = np.full(GROW, -1, np.int16)
+        self.after = np.full(GROW, -1, np.int32)
+        self.row = np.zeros(GROW, np.int32)
+        self.rows = 1
+        self.more = np.full((GROW // 4, 16), -1, np.int32)
+        self._suffixes: dict[bytes, tuple] = {}
+
+    def _facts(self, suffix: bytes) -> tuple:
+        """Tokens that end a suffix with their starts, what of it stays, and the last tokens to pick.
+
+        Positions no token can start from pick the last entry, which is ``CLOSED``.
+        """
+        if len(self._suffixes) >= SUFFIXES:
+            self._suffixes.clear()
+        ends = tuple((n, self.ranks[suffix[n:]]) for n in range(len(suffix)) if suffix[n:] in self.ranks)
+        start = 0
+        while suffix[start:] not in self.prefixes:
+            start += 1
+        picks = [n if suffix[n:] in self.prefixes else -1 for n in range(start, len(suffix) + 1)]
+        pick = itemgetter(*picks) if len(picks) > 1 else itemgetter(slice(picks[0], picks[0] + 1))
+        facts = self._suffixes[suffix] = (ends, suffix[start:], pick)
+        return facts
 
     def step(self, state: tuple[bytes, tuple], byte: bytes) -> tuple[tuple[bytes, tuple], int]:
         """The state after one more byte and the last token of what has been read."""
         suffix, lasts = state
         suffix += byte
-        for start, last in enumerate(lasts):
-            if last is not CLOSED:
-                token = self.ranks.get(suffix[start:])
-                if token is not None and self.fits(last, token):
-                    break
-        else:
-            raise ValueError(f"no token of the vocabulary ends at {suffix!r}")
-        start = 0
-        while suffix[start:] not in self.prefixes:
-            start += 1
-        suffix, lasts = suffix[start:], (*lasts, token)[start:]
-        kept = tuple(x if suffix[n:] in self.prefixes else CLOSED for n, x in enumerate(lasts))
-        return (suffix, kept), token
+        ends, rest, pick = self._suffixes.get(suffix) or self._facts(suffix)
+        for start, token in ends:
+            last = lasts[start]
+            if last is not CLOSED and self.fits(last, token):
+                return (rest, pick((*lasts, token, CLOSED))), token
+        raise ValueError(f"no token of the vocabulary ends at {suffix!r}")
 
     def _learn(self, keys: np.ndarray) -> None:
+        """Transitions of sorted keys 256 * state + byte that are not known yet."""
+        states, numbers, step = self.states, self.numbers, self.step
+        after, tokens = [], []
         for key in keys.tolist():
-            state, byte = divmod(key, 256)
-            self.next[state, self.columns[byte]] = self._number(*self.step(self.states[state], bytes([byte])))
+            found, token = step(states[key >> 8], BYTES[key & 255])
+            n = numbers.get(found)
+            if n is None:
+                n = numbers[found] = len(states)
+                if n >= self.max_states:
+                    raise _Full
+                states.append(found)
+                tokens.append(token)
+            after.append(n)
+        while len(self.token) < len(states):
+            for name, empty in (("token", -1), ("byte", -1), ("after", -1), ("row", 0)):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.full(GROW, empty, old.dtype)]))
+        self.token[len(states) - len(tokens) : len(states)] = tokens
+        state, byte, to = keys >> 8, keys & 255, np.array(after, np.int32)
+        first = self.byte[state] < 0
+        first[1:] &= state[1:] != state[:-1]
+        self.byte[state[first]], self.after[state[first]] = byte[first], to[first]
+        state, byte, to = state[~first], byte[~first], to[~first]
+        new = np.unique(state[self.row[state] == 0])
+        self.row[new] = np.arange(self.rows, self.rows + len(new))
+        self.rows += len(new)
+        if self.rows > len(self.more):
+            grown = np.full((self.rows + GROW // 4 - len(self.more), self.more.shape[1]), -1, np.int32)
+            self.more = np.concatenate([self.more, grown])
+        self.more[self.row[state], self.columns[byte]] = to
+
+    def _next(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after a byte each, -1 where not known."""
+        return np.where(self.byte[state] == byte, self.after[state], self.more[self.row[state], self.columns[byte]])
 
     def _widen(self, text: np.ndarray) -> None:
         """A column for each byte value that has none yet."""
         fresh = [b for b in np.flatnonzero(np.bincount(text, minlength=256)) if self.columns[b] < 0]
         used = int(self.columns.max()) + 1
         self.columns[fresh] = range(used, used + len(fresh))
-        while used + len(fresh) > self.next.shape[1]:
-            self.next = np.concatenate([self.next, np.full_like(self.next, -1)], axis=1)
+        while used + len(fresh) > self.more.shape[1]:
+            self.more = np.concatenate([self.more, np.full_like(self.more, -1)], axis=1)
 
     # -- runs
 
@@ -243,11 +282,11 @@ class Transducer:
             alive = int(np.searchsorted(-by_len, -n, "left"))
             at = starts[:alive] + n
             byte = text[at]
-            after = self.next[state[:alive], self.columns[byte]]
+            after = self._next(state[:alive], byte)
             new = np.flatnonzero(after < 0)
             if len(new):
-                self._learn(np.unique(state[new].astype(np.int64) * 256 + byte[new]))
-                after = self.next[state[:alive], self.columns[byte]]
+                self._learn(np.unique(state[new].astype(np.int64) << 8 | byte[new]))
+                after[new] = self._next(state[new], byte[new])
             state[:alive] = after
             lasts[at] = self.token[after]
         # walk back from the end of every piece; a token stands where it ends
