@@ -14,6 +14,8 @@ with a letter is of it, with score 1.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -144,6 +146,26 @@ def _sample(labelled: DataFrame, size: int) -> DataFrame:
     return labelled.filter(draw < F.element_at(share, F.col("lang"))) if counts else labelled
 
 
+def _ordered(found: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and histograms of the sample in a fixed order, as many rows of each language.
+
+    The histograms are read where Arrow has them and copied once.
+    """
+    lang, id_ = found.column("lang").to_pylist(), found.column("id").to_pylist()
+    parts = [np.frombuffer(c.buffers()[2], np.float32).reshape(-1, DIM)[c.offset : c.offset + len(c)] for c in found.column("x").chunks if len(c)]
+    place = [(p, n) for p, part in enumerate(parts) for n in range(len(part))]
+    order = sorted(range(len(lang)), key=lambda k: (lang[k], id_[k] or "", zlib.crc32(parts[place[k][0]][place[k][1]])))
+    each, kept, seen = max(1, size // max(1, len(set(lang)))), [], Counter()
+    for k in order:
+        seen[lang[k]] += 1
+        if seen[lang[k]] <= each:
+            kept.append(k)
+    x = np.empty((len(kept), DIM), np.float32)
+    for row, k in enumerate(kept):
+        x[row] = parts[place[k][0]][place[k][1]]
+    return np.array([lang[k] for k in kept], object), x
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = SAMPLE) -> Model:
     """A model from a sample of at most ``size`` labelled rows that are not held out."""
     labelled = docs.filter(~held_out(F.col(f"`{key}`"))).select(
@@ -162,13 +184,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                         names=["lang", "id", "x"],
                     )
 
-    rows = _sample(labelled, size).mapInArrow(count, "lang string, id string, x binary").toArrow().to_pylist()
-    languages = sorted({r["lang"] for r in rows})
-    each = max(1, size // max(1, len(languages)))
-    rows.sort(key=lambda r: (r["lang"], r["id"] or "", r["x"]))
-    rows = [r for lang in languages for r in [q for q in rows if q["lang"] == lang][:each]]
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
-    label = np.array([r["lang"] for r in rows], object)
+    label, x = _ordered(_sample(labelled, size).mapInArrow(count, "lang string, id string, x binary").toArrow(), size)
+    languages = sorted(set(label))
     groups: dict[str, list[str]] = {}
     for code in languages:
         groups.setdefault(FAMILY_OF.get(code.lower(), code), []).append(code)
