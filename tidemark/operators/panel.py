@@ -12,6 +12,8 @@ exactly midnight are counted apart.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,8 +116,8 @@ def client_category_rates(starts: DataFrame, grid: Grid, p: Params) -> DataFrame
     )
 
 
-def category_repurchase_avg_by_snapshot(streams: Streams, p: Params) -> DataFrame:
-    grid = snapshot_grid(streams.bounds, p)
+def category_repurchase_avg_by_snapshot(streams: Streams, p: Params, since: date | None = None) -> DataFrame:
+    grid = snapshot_grid(streams.bounds, p, since)
     return grid.attach(client_category_rates(category_starts(streams), grid, p)).select(
         grid.date(F.col("idx")).alias("snapshot_date"), "client_id", "avg_category_repurchase_rate"
     )
@@ -133,20 +135,27 @@ def _touched(grid: Grid, p: Params) -> Column:
     return index_range(begin, end)
 
 
-def panel(streams: Streams, p: Params, keep: Column) -> DataFrame:
+def panel(streams: Streams, p: Params, keep: Column, since: date | None = None) -> DataFrame:
     """One row per client and snapshot date after the client's first event, all features.
 
     ``keep`` decides on the totals of a client over the whole log (``all_visits``,
     ``all_adds``, ``all_occasions``, ``first_visit``, ``first_search``) which clients can
     enter at any date; the others are dropped before their days are spread over the grid.
+    With ``since``, rows of earlier dates are not made.
+
+    Whatever is added to a client's days comes as one row per client, so that all steps keep
+    a hub that is stored by client where it is.
     """
-    grid = snapshot_grid(streams.bounds, p)
+    grid = snapshot_grid(streams.bounds, p, since)
     starts = category_starts(streams)
-    new_categories = (
-        starts.groupBy("client_id", day("first_ts").alias("d")).agg(F.count("category").alias("new_categories"))
+    new_categories = starts.groupBy("client_id", day("first_ts").alias("d")).agg(F.count("category").alias("n"))
+    new_categories = new_categories.groupBy("client_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("_new")
     )
     known = streams.days.filter(F.col("d").isNotNull())
-    per_day = known.unionByName(new_categories, allowMissingColumns=True)
+    # a category starts on a day with a purchase, which the hub has
+    per_day = known.join(new_categories, "client_id", "left")
+    per_day = per_day.withColumn("new_categories", F.try_element_at("_new", F.col("d"))).drop("_new")
     by_client = Window.partitionBy("client_id")
     active = F.when(F.col("n_occasions").isNotNull(), F.col("d"))
     totals = {
@@ -228,7 +237,7 @@ def panel(streams: Streams, p: Params, keep: Column) -> DataFrame:
     )
 
 
-def population(streams: Streams, p: Params) -> DataFrame:
+def population(streams: Streams, p: Params, since: date | None = None) -> DataFrame:
     """Panel rows of active clients: past buyers, and those browsing with some intent.
 
     A client is in once it has enough visits, has searched before its first visit, has put
@@ -247,24 +256,32 @@ def population(streams: Streams, p: Params) -> DataFrame:
         | F.coalesce(F.col("first_search") < F.col("first_visit"), F.lit(False))
         | (F.col("all_adds") > 0)
     )
-    return panel(streams, p, candidate).filter(has_history | browsing)
+    return panel(streams, p, candidate, since).filter(has_history | browsing)
 
 
 KEY = ["snapshot_date", "client_id"]
 
 
+def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Panel rows with the rate of their client and date; a client's rates come as one row."""
+    entry = F.struct("snapshot_date", "avg_category_repurchase_rate")
+    each = rates.groupBy("client_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_rates"))
+    rate = F.try_element_at("_rates", F.col("snapshot_date"))
+    return rows.join(each, "client_id", "left").withColumn("avg_category_repurchase_rate", rate).drop("_rates")
+
+
 def customer_snapshot(
-    streams: Streams, p: Params, rows: DataFrame | None = None, rates: DataFrame | None = None
+    streams: Streams, p: Params, rows: DataFrame | None = None, rates: DataFrame | None = None, since: date | None = None
 ) -> DataFrame:
     """Past buyers at each snapshot date with features and repurchase labels.
 
     ``rows`` (the population) and ``rates`` (the category rates per client) may be given as
     written tables.
     """
-    rows = panel(streams, p, F.col("all_occasions") > 0) if rows is None else rows
-    rates = category_repurchase_avg_by_snapshot(streams, p) if rates is None else rates
+    rows = panel(streams, p, F.col("all_occasions") > 0, since) if rows is None else rows
+    rates = category_repurchase_avg_by_snapshot(streams, p, since) if rates is None else rates
     a = p.activity_days
-    return rows.filter(F.col("n_purchase_occasions_so_far") > 0).join(rates, KEY, "left").select(
+    return _with_rates(rows.filter(F.col("n_purchase_occasions_so_far") > 0), rates).select(
         *KEY,
         "last_purchase_ts",
         "days_since_last_purchase",
@@ -288,13 +305,13 @@ def churn_target(snapshot: DataFrame, p: Params) -> DataFrame:
 
 
 def purchase_propensity(
-    streams: Streams, p: Params, rows: DataFrame | None = None, rates: DataFrame | None = None
+    streams: Streams, p: Params, rows: DataFrame | None = None, rates: DataFrame | None = None, since: date | None = None
 ) -> DataFrame:
     """The active population at each snapshot date, with or without a purchase so far."""
-    rows = population(streams, p) if rows is None else rows
-    rates = category_repurchase_avg_by_snapshot(streams, p) if rates is None else rates
+    rows = population(streams, p, since) if rows is None else rows
+    rates = category_repurchase_avg_by_snapshot(streams, p, since) if rates is None else rates
     a = p.activity_days
-    return rows.join(rates, KEY, "left").select(
+    return _with_rates(rows, rates).select(
         *KEY,
         (F.col("n_purchase_occasions_so_far") > 0).alias("has_purchase_history"),
         "last_purchase_ts",

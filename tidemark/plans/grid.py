@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +14,16 @@ from ..params import Params
 
 @dataclass(frozen=True)
 class Grid:
-    """First date and last index of the grid, both taken from a one-row aggregate."""
+    """First date, last index and first wanted index (``low``) of the grid, from a one-row aggregate.
+
+    Days that matter to earlier dates only through what has happened so far enter at ``low``.
+    """
 
     bounds: DataFrame
     step: int
 
     def attach(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_grid", self.bounds.select(F.struct("start", "last")).scalar())
+        return df.withColumn("_grid", self.bounds.select(F.struct("start", "last", "low")).scalar())
 
     @property
     def start(self) -> Column:
@@ -29,14 +33,18 @@ class Grid:
     def last(self) -> Column:
         return F.col("_grid.last")
 
+    @property
+    def low(self) -> Column:
+        return F.col("_grid.low")
+
     def first_after(self, d: Column) -> Column:
-        """Index of the first grid date later than day ``d``, at least 0; 0 for NULL too."""
+        """Index of the first grid date later than day ``d``, at least ``low``; that for NULL too."""
         ahead = F.datediff(d, self.start) + 1
-        return F.greatest(F.lit(0).cast("bigint"), F.ceil(ahead / F.lit(self.step)))
+        return F.greatest(self.low, F.ceil(ahead / F.lit(self.step)))
 
     def at_or_after(self, d: Column) -> Column:
         ahead = F.datediff(d, self.start)
-        return F.greatest(F.lit(0).cast("bigint"), F.ceil(ahead / F.lit(self.step)))
+        return F.greatest(self.low, F.ceil(ahead / F.lit(self.step)))
 
     def at_or_before(self, d: Column) -> Column:
         return F.least(self.last, F.floor(F.datediff(d, self.start) / F.lit(self.step)))
@@ -45,15 +53,23 @@ class Grid:
         return F.date_add(self.start, (idx * self.step).cast("int"))
 
 
-def snapshot_grid(bounds: DataFrame, p: Params) -> Grid:
-    """Grid for a log whose first and last event times are ``bounds (lo, hi)``."""
+def snapshot_grid(bounds: DataFrame, p: Params, since: date | None = None) -> Grid:
+    """Grid for a log whose first and last event times are ``bounds (lo, hi)``.
+
+    With ``since`` only dates from that day on are wanted.
+    """
     edges = bounds.select(
         F.date_add(day("lo"), p.grid_lead_days).alias("start"),
         F.date_sub(day("hi"), p.grid_trail_days).alias("end"),
     )
     last = F.floor(F.datediff("end", "start") / F.lit(p.grid_step_days))
+    low = F.lit(0) if since is None else F.greatest(F.lit(0), F.ceil(F.datediff(F.lit(since), "start") / F.lit(p.grid_step_days)))
     return Grid(
-        edges.select("start", F.when(F.col("end") >= F.col("start"), last).otherwise(F.lit(-1)).cast("bigint").alias("last")),
+        edges.select(
+            "start",
+            F.when(F.col("end") >= F.col("start"), last).otherwise(F.lit(-1)).cast("bigint").alias("last"),
+            low.cast("bigint").alias("low"),
+        ),
         p.grid_step_days,
     )
 
@@ -62,7 +78,7 @@ def snapshot_dates(bounds: DataFrame, p: Params) -> DataFrame:
     """One row per snapshot date; none when the log is shorter than lead + trail."""
     g = snapshot_grid(bounds, p)
     return (
-        g.bounds.select(F.struct("start", "last").alias("_grid"))
-        .select("_grid", F.explode(index_range(F.lit(0), F.col("_grid.last"))).alias("idx"))
+        g.bounds.select(F.struct("start", "last", "low").alias("_grid"))
+        .select("_grid", F.explode(index_range(g.low, g.last)).alias("idx"))
         .select(g.date(F.col("idx")).alias("snapshot_date"))
     )

@@ -6,14 +6,15 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..functions.dialect import parse_vector
+from ..functions.dialect import day, parse_vector
 from ..operators import checks, clusters, experiment, learn, marts, panel, profile, reports, scores
 from ..plans.materialize import materialize, new_folder
 from ..sources import sinks
+from ..sources.store import CLIENT, DATED, WHOLE, build_in_steps
 from ..sources.streams import from_event_table
 from .base import Registry
 from .scoring import METRIC_CTES, buy_panel, churn_panel
-from .sql import STORE, r, store_sql
+from .sql import STORE, d, r, store_sql
 
 P = STORE
 B = learn.Boosting()
@@ -369,6 +370,52 @@ def register(reg: Registry) -> None:
         store_sql(f"{counts}\nUNION ALL {marts_counts}"),
     )
 
+    def in_steps(spark, sf):
+        """The store built from the log up to its last day, then from that day."""
+        s = from_event_table(spark, sf)
+        last = s.bounds.select(day("hi")).first()[0]
+        store = build_in_steps(s, P, new_folder(spark, "store"), [last] if last else [])
+        names = ("int_client_day", *CLIENT, *DATED, *WHOLE)
+        return sinks.row_counts({n: store.table(n) for n in names})
+
+    steps_counts = "\nUNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {source}"
+        for name, source in (
+            ("int_client_day", "daily"),
+            ("int_client_rollup", "obs"),
+            ("int_purchase_gap", "gaps"),
+            ("int_cart_pair", "(SELECT DISTINCT client_id, sku FROM ev WHERE event_type NOT IN ('page_visit', 'search_query'))"),
+            ("int_category_start", "cats"),
+            ("int_population", "prop"),
+            ("mart_customer_snapshot", "snap"),
+            ("mart_purchase_propensity", "prop"),
+            ("mart_customer_360", "c360"),
+            ("mart_customer_lifecycle", "life"),
+            ("mart_customer_segment", "seg"),
+        )
+    )
+    reg.add("s04_incremental_build", in_steps, store_sql(steps_counts))
+
+    def stepwise_snapshot(spark, sf):
+        """The snapshot panel of a store that was built in two steps."""
+        s = from_event_table(spark, sf)
+        last = s.bounds.select(day("hi")).first()[0]
+        store = build_in_steps(s, P, new_folder(spark, "store"), [last] if last else [])
+        return store.table("mart_customer_snapshot").groupBy("snapshot_date").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum("n_purchase_occasions_so_far").alias("n_occasions"),
+            F.sum(F.col(f"label_purchase_{SHORT}d").cast("bigint")).alias("n_buying"),
+        )
+
+    reg.add(
+        "s04_incremental_snapshot",
+        stepwise_snapshot,
+        store_sql(
+            f"""SELECT {d('s', 'snapshot_date')}, count(*) AS n_rows, CAST(sum(n_occ) AS BIGINT) AS n_occasions,
+                CAST(sum(CAST(label_{SHORT} AS INT)) AS BIGINT) AS n_buying FROM snap GROUP BY s"""
+        ),
+    )
+
     def exported(spark, sf):
         path = new_folder(spark, "csv")
         rows = reports.distribution(marts.customer_segment(from_event_table(spark, sf), P), "segment")
