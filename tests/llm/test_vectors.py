@@ -96,21 +96,40 @@ def test_tables_grow_with_the_data():
         assert (1 - same) ** tables <= vectors.MISS
 
 
-def test_all_members_of_a_crowded_cell_are_compared(spark):
-    """A loose cloud, in which close pairs are far apart in any one projection."""
-    rng = np.random.default_rng(7)
+def loose_cloud(rng, n, pairs):
+    """Vectors at cosine 0.85 of each other, in which close pairs are far apart in any one projection."""
     centre = rng.standard_normal(64)
-    x = centre / np.linalg.norm(centre) * np.sqrt(0.85) + rng.standard_normal((3000, 64)) * np.sqrt(0.15 / 64)
-    x[1::2][:200] = x[::2][:200] + rng.standard_normal((200, 64)) * np.sqrt(0.085 / 64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cell = spark.createDataFrame([(5, 64, n, v.tolist()) for n, v in enumerate(x)], "cell long, length long, node long, unit array<double>")
-    cos = np.triu(x @ x.T, 1)
-    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(cos >= vectors.COSINE))}
-    assert len(want) > 100
-    for large in (vectors.LARGE, 500):
-        edges = vectors._compared(cell, 3000, vectors.COSINE, 0.805, large).collect()
-        assert {(e.a, e.b) for e in edges if e.cos >= vectors.COSINE} == want
-        assert len(edges) < 20 * 3000 * (1 if large > 3000 else 66)
+    x = centre / np.linalg.norm(centre) * np.sqrt(0.85) + rng.standard_normal((n, 64)) * np.sqrt(0.15 / 64)
+    x[1::2][:pairs] = x[::2][:pairs] + rng.standard_normal((pairs, 64)) * np.sqrt(0.085 / 64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_cell_pairs_the_closest_and_parts_do_not_meet(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([around(rng, c, 40, 0.02) for c in rng.standard_normal((5, 32))] + [rng.standard_normal((200, 32))])
+    packed = np.packbits(vectors._signs(x, vectors.SKETCH, 1), axis=1)
+    cell = spark.createDataFrame([(5, n, s.tobytes()) for n, s in enumerate(packed)], "cell long, node long, sketch binary")
+    pairs = vectors._compared(cell, 400, 0.805).collect()
+    top = list(range(400))
+    for p in sorted(pairs):
+        assert p.a < p.b and p.a // 40 == p.b // 40 < 5
+        old, new = top[p.b], top[p.a]
+        top = [new if t == old else t for t in top]
+    assert len(set(top)) == 205  # every dense group is tied together
+    assert len(pairs) <= 200 * (vectors.NEXT + 1)
+    parts = vectors._compared(cell, 400, 0.805, 100).collect()
+    assert 0 < len(parts) and {(p.a, p.b) for p in parts} - {(p.a, p.b) for p in pairs if p.a // 40 != p.b // 40}
+
+
+def test_links_in_a_loose_cloud(spark):
+    rng = np.random.default_rng(7)
+    x = loose_cloud(rng, 1500, 100)
+    rows = [(n, v) for n, v in enumerate(np.concatenate([x, rng.standard_normal((1500, 64))]))]
+    df = spark.createDataFrame([(i, [float(c) for c in v], "x", 1) for i, v in rows], SCHEMA)
+    for large in (vectors.LARGE, 300):  # below, cells are dealt to parts, and links come from the descent
+        out = vectors.linked(df, large=large).collect()
+        assert Counter(tuple(r)[:4] for r in out) == plain(rows)
+        assert out[0].recall == 1.0 and out[0].first_recall >= 0.9
 
 
 def edges_of(spark, rows):
@@ -149,12 +168,23 @@ def test_descent_goes_on_while_lists_change(spark):
     assert {(r.node, r.component) for r in joined.collect()} == {(7, 6)}
 
 
-def test_audit_asks_a_fixed_share_and_measures(spark):
-    for count in (100_000, 10_000_000, 10**9):
-        every, turn = vectors.asked_of(count, 3)
-        assert every <= vectors.AUDIT and count / every >= vectors.ASKED and turn == 3 % every
-    assert {vectors.asked_of(10**7, n)[1] for n in range(50)} == set(range(50))
-    assert vectors.asked_of(vectors.ASKED)[0] == vectors.asked_of(0)[0] == 1
+def test_lists_full_of_links_grow_with_their_component(spark):
+    """A dense group in two parts that one link joins: its lists get more places, others none."""
+    rng = np.random.default_rng(2)
+    dense, other = rng.standard_normal(32), rng.standard_normal(32)
+    x = np.array(around(rng, dense, 40, 0.02) + around(rng, other, 40, 0.02))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ring = [(n, (n + d) % 20, m) for n in range(20) for d in range(1, 6) for m in (0, 20, 40)]
+    edges = edges_of(spark, [(a + m, b + m, x[a + m] @ x[b + m]) for a, b, m in ring])
+    apart = spark.createDataFrame([(n, n // 20 * 20) for n in range(60) if n % 20], "node long, component long")
+    joined = spark.createDataFrame([(n, n // 40 * 40) for n in range(60) if n % 40], "node long, component long")
+    lists = vectors._neighbour_lists(edges, joined)
+    room = {r.a: r.room for r in vectors._enlarged(lists, joined, apart, vectors.COSINE).collect()}
+    assert room == {n: 16 if n < 40 else 8 for n in range(60)}
+
+
+def test_audit_asks_a_fixed_number_and_measures(spark):
+    assert vectors.ASKED == 3000
     angles = [0, 0.1, 0.2, 1.5, 1.6, 3.0]
     nodes = spark.createDataFrame([(n, [float(np.cos(t)), float(np.sin(t))]) for n, t in enumerate(angles)], "node long, unit array<double>")
     # three links are within the one known component, the fourth is missed
@@ -162,4 +192,5 @@ def test_audit_asks_a_fixed_share_and_measures(spark):
     missed, asked, recall = vectors.audit(nodes, joined, vectors.COSINE)
     assert {(r.a, r.b) for r in missed.collect()} == {(3, 4), (4, 3)} and asked == 6 and recall == 6 / 8
     out = vectors.linked(nodes.select(F.col("node").alias("vec_id"), F.col("unit").alias("embedding"))).collect()
+    assert vectors.audit(nodes, joined, vectors.COSINE, most=2)[1] == 2
     assert {(r.asked, r.recall, r.recall_low, r.turns) for r in out} == {(6, 1.0, 1.0, 1)}

@@ -1,24 +1,28 @@
 """Near-duplicate vectors by NN-descent over lists of close neighbours.
 
-1. Vectors equal in every component form a class; one row stands for it.
-2. First lists: random hyperplanes cut the space ``tables`` times, and all members of a cell
-   are compared with each other, a crowded cell part by part, so that being compared is
-   sharing a cell. Planes and tables grow with the data; a pair at the threshold shares no
-   cell about once in ``1 / MISS`` cases. Of what a node meets in a cell its ``NEXT`` closest
-   go on, and a spanning forest of the links.
+1. Vectors equal in every component (by a 128-bit digest) form a class; one row stands for it.
+2. First lists: random hyperplanes cut the space into cells of about ``CELL`` nodes, a few
+   times. Into a cell go numbers of nodes and sketches, ``SKETCH`` signs of further
+   hyperplanes, and no vectors. A node is paired with the ``NEXT`` closest by sketch and with
+   the first that is close, which ties a dense cell together. A cell with more than ``large``
+   nodes is dealt to parts at random, another way in each table. These pairs are measured on
+   the vectors and are where the descent starts from: a pair at the threshold shares no cell
+   in one of ``1 / MISS`` cases.
 3. Rounds: a node has two lists of its closest neighbours up to twice the link's angle,
    beyond which no neighbour of a linked neighbour can lie: one from its own component and
    one from the others, so that a dense group does not hide a link out of it. A node's
    lists are compared with each other and with those whose lists it is on; where these are
    more than ``REVERSE``, they are dealt to parts, anew each round, and every part meets the
-   lists. What betters a list or links two components goes on. The descent ends when at most
-   ``CHANGED`` of the list entries are new and no components join.
-4. Audit: at any size every ``AUDIT``-th node, and no fewer than ``ASKED`` nodes or all, is
-   compared with all nodes, in blocks; other nodes each time. It gives the recall: the share
-   of the asked nodes' links that lie within components. A link that joins two components
-   is added, and the search repeats with new hyperplanes. The search ends with an audit
-   that misses nothing; with so many asked, ``RECALL`` of the nodes then miss no link (95 %
-   confidence), and all of them where all were asked.
+   lists. Only pairs of which one is new around the node are compared. What betters a list
+   or links two components goes on. A list starts with ``NEIGHBOURS`` places; one that is
+   full of links while its component still grows gets twice as many. The descent ends when
+   at most ``CHANGED`` of the list entries are new and no components join.
+4. Audit: ``ASKED`` nodes, or all, are compared with all nodes; other nodes each time. It
+   gives the recall: the share of the asked nodes' links that lie within components. A link
+   that joins two components is added, and the search repeats with new hyperplanes. The
+   search ends with an audit that misses nothing; with so many asked, ``RECALL`` of the nodes
+   then miss no link (95 % confidence, whatever their number), and all of them where all
+   were asked. The asked vectors go through the driver; their number is the bound.
 5. Links: all links of a node are within its component, so they are counted there, exactly
    and in double precision. A component of more than ``LARGE`` nodes is not gathered:
    members within half the link's angle of its mean direction are linked to each other
@@ -31,6 +35,7 @@ vectors of different length. Copies count as links of each other.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -44,11 +49,13 @@ from tidemark.plans.materialize import materialize
 from .components import components
 
 COSINE = 0.95
-#: Chance that a pair at the threshold shares no cell.
-MISS = 1e-6
-#: Members a cell has on average, and how many of the closest in its cell a node keeps.
-CELL, NEXT = 8, 16
-#: Length of a neighbour list.
+#: Chance that a pair at the threshold shares no cell, and the least number of tables.
+MISS, TABLES = 0.1, 4
+#: Members a cell has on average, and how many of the closest in its cell a node is paired with.
+CELL, NEXT = 32, 8
+#: Signs of a sketch. Angles told from it are off by ``SIGMAS`` standard deviations at most.
+SKETCH, SIGMAS = 256, 4
+#: Length of a neighbour list at first.
 NEIGHBOURS = 8
 #: Those whose lists a node is on are compared in parts of about so many.
 REVERSE = 64
@@ -56,8 +63,8 @@ REVERSE = 64
 CHANGED = 0.001
 #: Share of nodes without a missed link that a clean audit vouches for.
 RECALL = 0.999
-#: One node in ``AUDIT`` is asked, and at least so many that none missed proves ``RECALL`` (rule of three).
-AUDIT, ASKED = 50, math.ceil(3 / (1 - RECALL) - 1e-6)
+#: So many nodes are asked: that none missed a link proves ``RECALL`` (rule of three).
+ASKED = math.ceil(3 / (1 - RECALL) - 1e-6)
 #: Nodes of a component, or rows of a block, that are compared in one task.
 LARGE = 4096
 #: Rows that are handed to one call of the comparison of cells, about.
@@ -66,13 +73,12 @@ CALL = 16_384
 
 def plan(nodes: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
     """Hyperplanes per table and number of tables for so many nodes."""
-    bits = min(60, max(1, math.ceil(math.log2(max(2, nodes / CELL)))))
+    bits = min(60, max(0, math.ceil(math.log2(max(1, nodes / CELL)))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - same))
+    return bits, max(TABLES, math.ceil(math.log(miss) / math.log(1 - same))) if bits else 1
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.asarray(rows, np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
     # scaled first, so that squares neither overflow nor vanish
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -82,134 +88,143 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, size)
 
 
+def _by_length(lists: pa.Array):
+    """Each length of the lists, the rows that have it, and these as a matrix."""
+    lengths = lists.value_lengths().to_numpy()
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        yield int(length), rows, _matrix(lists.take(pa.array(rows)), int(length))
+
+
+def _signs(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """On which side of ``bits`` random hyperplanes each row is."""
+    return x @ np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], bits)) > 0
+
+
 def classes(vectors: DataFrame, embedding: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (row_id, id, vector or null), and classes (node, size, least_id, unit)."""
+    """Rows (row_id, id, digest or null), and classes (node, digest, size, least_id, unit)."""
     v = F.col(f"`{embedding}`").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    # minus zero equals zero, but not as a group's key
+    # minus zero equals zero, but not in a digest
     clean = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
-    rows = materialize(
-        vectors.select(
-            F.monotonically_increasing_id().alias("row_id"),
-            F.col(f"`{key}`").alias("id"),
-            F.when(v.isNotNull() & ~bad & some, clean).alias("vector"),
-        )
-    )
-    found = rows.filter(F.col("vector").isNotNull()).groupBy("vector").agg(
-        F.min("row_id").alias("node"), F.count(F.lit(1)).alias("size"), F.min("id").alias("least_id")
-    )
+    kind = vectors.schema[key].dataType.simpleString()
 
     def unit(batches):
         for batch in batches:
-            lists = batch.column("vector")
-            units = [_unit([x])[0] for x in lists.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("node", "size", "least_id")), pa.array(units, pa.list_(pa.float64()))],
-                names=["node", "size", "least_id", "unit"],
-            )
-
-    kind = vectors.schema[key].dataType.simpleString()
-    return rows, materialize(found.mapInArrow(unit, f"node long, size long, least_id {kind}, unit array<double>"))
-
-
-def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of a graph given as a symmetric matrix of booleans."""
-    unseen = near.any(axis=1)
-    out = []
-    for start in np.flatnonzero(unseen):
-        if not unseen[start]:
-            continue
-        unseen[start], front = False, np.array([start])
-        while len(front):
-            reached = near[front] & unseen
-            new = np.flatnonzero(reached.any(axis=0))
-            out.append((front[reached[:, new].argmax(axis=0)], new))
-            unseen[new], front = False, new
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _closest(x: np.ndarray, cosine: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all pairs of rows (i, j, cos) each row's ``NEXT`` closest, and links that span all links."""
-    near, out = np.zeros((len(x), len(x)), bool), []
-    for at in range(0, len(x), 1024):
-        cos = x[at : at + 1024] @ x.T
-        cos[np.arange(len(cos)), at + np.arange(len(cos))] = -2
-        near[at : at + 1024] = cos >= cosine
-        if len(x) > NEXT + 1:
-            j = np.argpartition(-cos, NEXT, axis=1)[:, :NEXT]
-            i = np.repeat(np.arange(len(cos)), NEXT)
+            vector = batch.column("vector")
+            digests, units = [None] * len(vector), [None] * len(vector)
+            there = np.flatnonzero(vector.is_valid().to_numpy(zero_copy_only=False))
+            for _, rows, x in _by_length(vector.take(pa.array(there))):
+                for n, raw, one in zip(there[rows], np.ascontiguousarray(x), _unit(x)):
+                    digests[n], units[n] = hashlib.blake2b(raw.tobytes(), digest_size=16).digest(), one
+            columns = [batch.column("row_id"), batch.column("id"), pa.array(digests, pa.binary()), pa.array(units, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "id", "digest", "unit"])
+
+    source = vectors.select(
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col(f"`{key}`").alias("id"),
+        F.when(v.isNotNull() & ~bad & some, clean).alias("vector"),
+    )
+    rows = materialize(source.mapInArrow(unit, f"row_id long, id {kind}, digest binary, unit array<double>"))
+    found = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
+        F.min("row_id").alias("node"), F.count(F.lit(1)).alias("size"), F.min("id").alias("least_id")
+    )
+    units = rows.filter(F.col("digest").isNotNull()).select(F.col("row_id").alias("node"), "unit")
+    return rows.select("row_id", "id", "digest"), materialize(found.join(units, "node"))
+
+
+def _beyond(cosine: float) -> float:
+    """Share of signs up to which sketches of vectors of that cosine or more may differ."""
+    share = math.acos(cosine) / math.pi
+    return share + SIGMAS * math.sqrt(share * (1 - share) / SKETCH)
+
+
+def _closest(sketches: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows: each with the ``NEXT`` closest by sketch and with the first that is close."""
+    signs, out = np.unpackbits(sketches, axis=1).astype(np.float32) * 2 - 1, []
+    for at in range(0, len(signs), 1024):
+        apart = (1 - signs[at : at + 1024] @ signs.T / SKETCH) / 2
+        own = np.arange(len(apart))
+        apart[own, at + own] = 2
+        near = apart <= most
+        i = np.flatnonzero(near.any(axis=1))
+        out.append((i + at, near[i].argmax(axis=1)))
+        if len(signs) > NEXT + 1:
+            j = np.argpartition(apart[i], NEXT, axis=1)[:, :NEXT]
+            i = np.repeat(i, NEXT)
             j = j.ravel()
+            good = near[i, j]
+            out.append((i[good] + at, j[good]))
         else:
-            i, j = np.nonzero(cos >= floor)
-        good = cos[i, j] >= floor
-        out.append((i[good] + at, j[good], cos[i[good], j[good]]))
-    if len(x) > NEXT + 1:
-        near |= near.T
-        i, j = _forest(near)
-        out.append((i, j, (x[i] * x[j]).sum(axis=1)))
-    i, j, cos = (np.concatenate(c) for c in zip(*out))
-    return i, j, cos
+            i, j = np.nonzero(near)
+            out.append((i + at, j))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _compared(dealt: DataFrame, rows: int, cosine: float, floor: float, large: int = LARGE) -> DataFrame:
-    """Edges (a, b, cos) of all members (cell, length, node, unit) of a cell.
+def _compared(dealt: DataFrame, rows: int, floor: float, large: int = LARGE) -> DataFrame:
+    """Pairs (a, b) of members (cell, node, sketch) of a cell that are close by sketch.
 
-    Cells above ``large`` are cut into parts of half that, and every two parts meet.
+    Cells above ``large`` are dealt at random to parts of about half that, which do not meet.
     """
-    sizes = dealt.groupBy("cell", "length").agg(F.count(F.lit(1)).alias("members"))
-    crowded = sizes.filter(F.col("members") > large).select("cell", "length", F.ceil(F.col("members") * 2 / large).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("node", "cell"), parts).cast("int")
-    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda n: n != F.col("own"))
-    met = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-        F.transform(other, lambda n: F.least(n, F.col("own")) * F.col("parts") + F.greatest(n, F.col("own")))
-    )
-    spread = dealt.join(crowded, ["cell", "length"], "left").withColumn("parts", parts).withColumn("own", own)
-    spread = spread.select("cell", "length", F.explode(met).alias("met"), "node", "unit")
+    sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
+    crowded = sizes.filter(F.col("members") > large).select("cell", F.ceil(F.col("members") * 2 / large).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node", "cell"), F.coalesce("parts", F.lit(1))).cast("int")
     calls = max(1, math.ceil(rows / CALL))
-    spread = spread.withColumn("call", F.pmod(F.xxhash64("cell", "length", "met"), F.lit(calls)))
+    spread = dealt.join(crowded, "cell", "left").select("cell", part.alias("part"), "node", "sketch")
+    spread = spread.withColumn("call", F.pmod(F.xxhash64("cell", "part"), F.lit(calls)))
+    most = _beyond(floor)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "ascending"), ("cell", "ascending"), ("met", "ascending")]).combine_chunks()
-        length, cell, met, node = (table.column(c).to_numpy() for c in ("length", "cell", "met", "node"))
-        cuts = np.flatnonzero((np.diff(length) != 0) | (np.diff(cell) != 0) | (np.diff(met) != 0)) + 1
-        cuts = np.concatenate([[0], cuts, [len(node)]])
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        table = table.sort_by([("cell", "ascending"), ("part", "ascending")]).combine_chunks()
+        cell, part, node = (table.column(c).to_numpy() for c in ("cell", "part", "node"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0)) + 1, [len(node)]])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a > 1:
-                x = _matrix(table.column("unit").slice(a, b - a).combine_chunks(), int(length[a]))
-                i, j, cos = _closest(x, cosine, floor)
-                found.append((np.minimum(node[a + i], node[a + j]), np.maximum(node[a + i], node[a + j]), cos))
-        return pa.table(dict(zip(("a", "b", "cos"), (np.concatenate(c) for c in zip(*found)))))
+                i, j = _closest(sketches[a:b], most)
+                found.append((np.minimum(node[a + i], node[a + j]), np.maximum(node[a + i], node[a + j])))
+        a, b = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"a": a, "b": b})
+
+    return spread.groupBy("call").applyInArrow(run, "a long, b long").distinct()
 
-    return spread.groupBy("call").applyInArrow(run, "a long, b long, cos double")
 
+def measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their cosine in double precision; none of vectors of different length."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            cos = np.empty(len(x))
+            for _, rows, left in _by_length(x):
+                cos[rows] = (left * _matrix(y.take(pa.array(rows)), left.shape[1])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(cos)], names=["a", "b", "cos"])
 
-def first_lists(nodes: DataFrame, count: int, seed: int, cosine: float, floor: float) -> DataFrame:
+    end = lambda c, x: nodes.select(F.col("node").alias(c), F.col("unit").alias(x))
+    both = pairs.select("a", "b").join(end("a", "x"), "a").join(end("b", "y"), "b").filter(F.size("x") == F.size("y"))
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cos double")
+
+
+def first_lists(nodes: DataFrame, count: int, seed: int, cosine: float, floor: float, large: int = LARGE) -> DataFrame:
     """Edges (a, b, cos) of pairs that meet in a cell and are close enough for a list."""
     bits, tables = plan(count, cosine)
 
     def cells(batches):
         for batch in batches:
-            lists = batch.column("unit")
-            lengths = lists.value_lengths().to_numpy()
-            for length in np.unique(lengths):
-                few = np.flatnonzero(lengths == length)
-                part = batch.take(pa.array(few))
-                x = _matrix(part.column("unit"), int(length))
-                rng = np.random.default_rng([seed, int(length)])
+            for length, rows, x in _by_length(batch.column("unit")):
+                node = batch.column("node").take(pa.array(rows))
+                packed = np.packbits(_signs(x, SKETCH, 2 * seed), axis=1)
+                sketch = pa.array([s.tobytes() for s in packed], pa.binary())
+                sides = _signs(x, bits * tables, 2 * seed + 1)
                 for table in range(tables):
-                    sides = x @ rng.standard_normal((int(length), bits))
-                    cell = (sides > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    cell = (cell * 0x9E3779B1 + table * 0x85EBCA77 + int(length) * 0xC2B2AE3D) % (1 << 62)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell), pa.array(np.full(len(few), length, np.int64)), part.column("node"), part.column("unit")],
-                        names=["cell", "length", "node", "unit"],
-                    )
+                    cell = sides[:, table * bits : (table + 1) * bits] @ (1 << np.arange(bits, dtype=np.int64))
+                    cell = (cell * 0x9E3779B1 + table * 0x85EBCA77 + length * 0xC2B2AE3D) % (1 << 62)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), node, sketch], names=["cell", "node", "sketch"])
 
-    dealt = nodes.select("node", "unit").mapInArrow(cells, "cell long, length long, node long, unit array<double>")
-    return _compared(dealt, count * tables, cosine, floor)
+    dealt = nodes.select("node", "unit").mapInArrow(cells, "cell long, node long, sketch binary")
+    return measured(_compared(dealt, count * tables, floor, large), nodes).filter(F.col("cos") >= floor)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -222,78 +237,122 @@ def _once(edges: DataFrame) -> DataFrame:
 
 
 def _neighbour_lists(edges: DataFrame, joined: DataFrame) -> DataFrame:
-    """Both lists of every node: a, b, cos, whether b is of another component, and a's component."""
+    """Both lists of every node: a, b, cos, whether b is of another component, a's component, and the list's places."""
+    return _ranked(_both_ways(edges).withColumn("room", F.lit(NEIGHBOURS)), joined)
+
+
+def _ranked(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """The closest of the entries (a, b, cos, room) of every list, as many as it has places."""
     part = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    both = _both_ways(edges).join(part("a"), "a", "left").join(part("b"), "b", "left")
+    both = entries.join(part("a"), "a", "left").join(part("b"), "b", "left")
     a, b = F.coalesce("a_part", "a"), F.coalesce("b_part", "b")
-    both = both.select("a", "b", "cos", (a != b).alias("out"), a.alias("component"))
+    both = both.select("a", "b", "cos", (a != b).alias("out"), a.alias("component"), F.max("room").over(Window.partitionBy("a")).alias("room"))
     best = Window.partitionBy("a", "out").orderBy(F.col("cos").desc(), "b")
-    return both.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= NEIGHBOURS)
+    return both.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= F.col("room")).drop("turn")
 
 
 def _around(lists: DataFrame, seed: int, reverse: int = REVERSE) -> DataFrame:
-    """Who is compared around each node: (a, part, b), its lists in every part of those whose lists it is on."""
-    back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    """Who is compared around each node: (a, part, b, fresh), its lists in every part of those whose lists it is on."""
+    lists = lists if "fresh" in lists.columns else lists.withColumn("fresh", F.lit(True))
+    back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh")
     parts = back.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / reverse).cast("int").alias("parts"))
     # the node itself is on its lists
-    own = lists.select("a", "b").union(lists.select("a", F.col("a").alias("b")).distinct())
+    own = lists.select("a", "b", "fresh").union(lists.select("a", F.col("a").alias("b"), F.lit(False)).distinct())
     own = own.join(parts, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b")
-    dealt = back.join(parts, "a").select("a", F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.col("parts")).cast("int").alias("part"), "b")
-    return own.union(dealt).distinct()
+    own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b", "fresh")
+    dealt = back.join(parts, "a").select("a", F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.col("parts")).cast("int").alias("part"), "b", "fresh")
+    return own.union(dealt).groupBy("a", "part", "b").agg(F.max("fresh").alias("fresh"))
+
+
+def _bars(lists: DataFrame) -> DataFrame:
+    """Per node (a): its component, and what a pair has to exceed to enter a list, nothing while that is not full."""
+    worst = lambda out: F.when(F.sum((F.col("out") == out).cast("int")) >= F.max("room"), F.min(F.when(F.col("out") == out, F.col("cos"))))
+    return lists.groupBy("a").agg(
+        F.first("component").alias("component"),
+        F.coalesce(worst(False), F.lit(-2.0)).alias("inner"),
+        F.coalesce(worst(True), F.lit(-2.0)).alias("outer"),
+    )
 
 
-def descend(edges: DataFrame, nodes: DataFrame, cosine: float, floor: float, changed: float = CHANGED) -> tuple[DataFrame, DataFrame]:
-    """Rounds over neighbour lists until they settle; the edges and the components."""
+def _enlarged(lists: DataFrame, joined: DataFrame, before: DataFrame, cosine: float) -> DataFrame:
+    """The lists with twice the places for nodes whose list is full of links while their component grows."""
+    was = before.select("node", F.col("component").alias("was"))
+    grown = joined.join(was, "node", "left").filter(~F.col("was").eqNullSafe(F.col("component"))).select("component").distinct()
+    inner = lists.filter("not out").groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("least"), F.max("room").alias("room"))
+    full = inner.filter((F.col("n") >= F.col("room")) & (F.col("least") >= cosine)).join(grown, "component", "left_semi")
+    wider = _fresh(full.select("a", (F.col("room") * 2).alias("wider")))
+    return lists.join(wider, "a", "left").withColumn("room", F.coalesce("wider", "room")).drop("wider")
+
+
+def descend(
+    edges: DataFrame, nodes: DataFrame, cosine: float, floor: float, changed: float = CHANGED, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rounds over neighbour lists until they settle; the edges of the lists and the components.
+
+    ``known`` are components (node, component) of earlier searches. Vectors are compared in
+    single precision; a cosine too close to the threshold to tell is measured in double.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("a", "ascending"), ("part", "ascending")]).combine_chunks()
         of, part, name, component, inner, outer = (
             table.column(c).to_numpy() for c in ("a", "part", "b", "component", "inner", "outer")
         )
+        fresh = table.column("fresh").combine_chunks().to_numpy(zero_copy_only=False)
         cuts = np.concatenate([[0], np.flatnonzero((np.diff(of) != 0) | (np.diff(part) != 0)) + 1, [len(of)]])
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a < 2:
+            if b - a < 2 or not fresh[a:b].any():
                 continue
             size = len(table.column("unit")[int(a)])  # lists hold vectors of one length
             x = _matrix(table.column("unit").slice(a, b - a).combine_chunks(), size)
-            cos = x @ x.T
+            cos, margin = (x @ x.T).astype(np.float64), 1e-7 * (size + 8)
             apart = component[a:b, None] != component[None, a:b]
             worst = np.where(apart, outer[a:b, None], inner[a:b, None])
-            better = (cos > np.minimum(worst, worst.T)) | (apart & (cos >= cosine))
+            better = (cos > np.minimum(worst, worst.T)) | (apart & (cos >= cosine - margin))
+            better &= fresh[a:b, None] | fresh[None, a:b]
             i, j = np.nonzero(np.triu(better & (cos >= floor), 1))
-            found.append((np.minimum(name[a + i], name[a + j]), np.maximum(name[a + i], name[a + j]), cos[i, j]))
-        return pa.table(dict(zip(("a", "b", "cos"), (np.concatenate(c) for c in zip(*found)))))
-
-    joined, turn = components(edges.filter(F.col("cos") >= cosine)), 0
-    lists = materialize(_neighbour_lists(edges, joined))
+            close = np.abs(cos[i, j] - cosine) <= margin
+            found.append((np.minimum(name[a + i], name[a + j]), np.maximum(name[a + i], name[a + j]), cos[i, j], close))
+        return pa.table(dict(zip(("a", "b", "cos", "close"), (np.concatenate(c) for c in zip(*found)))))
+
+    stars = lambda of: of.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = edges.filter(F.col("cos") >= cosine).select("a", "b")
+    joined, turn, bars = components(links if known is None else links.union(stars(known))), 0, None
+    lists = materialize(_neighbour_lists(edges, joined).withColumn("fresh", F.lit(True)))
+    short = nodes.select(F.col("node").alias("b"), F.col("unit").cast("array<float>").alias("unit"))
     while True:
         turn += 1
-        # what a pair has to exceed to enter a list, nothing while that is not full
-        worst = lambda out: F.when(F.sum((F.col("out") == out).cast("int")) >= NEIGHBOURS, F.min(F.when(F.col("out") == out, F.col("cos"))))
-        bar = lists.groupBy("a").agg(
-            F.first("component").alias("component"),
-            F.coalesce(worst(False), F.lit(-2.0)).alias("inner"),
-            F.coalesce(worst(True), F.lit(-2.0)).alias("outer"),
-        )
-        members = materialize(bar.withColumnRenamed("a", "b").join(nodes.select(F.col("node").alias("b"), "unit"), "b"))
-        around = materialize(_around(lists, turn))
+        now = _bars(lists).withColumnRenamed("a", "b")
+        if bars is not None:
+            # what did not better a list of before may better one that has lost entries or got places
+            was = bars.select("b", F.col("inner").alias("was_inner"), F.col("outer").alias("was_outer"))
+            lower = (F.col("inner") < F.col("was_inner")) | (F.col("outer") < F.col("was_outer"))
+            now = now.join(was, "b", "left").withColumn("lower", F.coalesce(lower, F.lit(True))).drop("was_inner", "was_outer")
+        bars = materialize(now if bars is not None else now.withColumn("lower", F.lit(True)))
+        around = _around(lists, turn).join(_fresh(bars), "b").withColumn("fresh", F.col("fresh") | F.col("lower")).drop("lower")
+        around = materialize(around)
+        active = around.groupBy("a", "part").agg(F.max("fresh").alias("any")).filter("any").select("a", "part")
         calls = max(1, math.ceil(around.count() / CALL))
-        met = around.join(members, "b").withColumn("call", F.pmod(F.xxhash64("a", "part"), F.lit(calls)))
-        met = met.select("call", "a", "part", "b", "component", "inner", "outer", "unit")
-        new = _once(met.groupBy("call").applyInArrow(run, "a long, b long, cos double"))
-        new = materialize(new.join(edges.select("a", "b"), ["a", "b"], "left_anti"))
-        links = new.filter(F.col("cos") >= cosine)
+        met = _fresh(around).join(active, ["a", "part"], "left_semi").join(short, "b").withColumn("call", F.pmod(F.xxhash64("a", "part"), F.lit(calls)))
+        met = met.groupBy("call").applyInArrow(run, "a long, b long, cos double, close boolean")
+        met = materialize(met.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("close").alias("close")))
+        new = met.filter("not close").select("a", "b", "cos").union(measured(met.filter("close"), nodes))
+        new = materialize(new.join(_once(lists).select("a", "b"), ["a", "b"], "left_anti"))
+        links = new.filter(F.col("cos") >= cosine).select("a", "b")
         before = joined
         if not links.isEmpty():
             # what is joined is already stars around each component's smallest node
-            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
-        edges = materialize(edges.select("a", "b", "cos").union(new))
-        old, lists = lists, materialize(_neighbour_lists(edges, joined))
-        entered = lists.select("a", "b").join(_fresh(old.select("a", "b")), ["a", "b"], "left_anti").count()
-        if entered <= changed * lists.count() and joined.count() == before.count():
-            return edges, joined
+            joined = components(stars(joined).union(links))
+        kept = _enlarged(lists, joined, before, cosine).select("a", "b", "cos", "room")
+        kept = kept.union(_both_ways(new).select("a", "b", "cos", F.lit(NEIGHBOURS)))
+        now = _ranked(kept, joined)
+        old = _fresh(lists.select("a", "b", "out")).withColumn("old", F.lit(True))
+        now = now.join(old, ["a", "b", "out"], "left").withColumn("fresh", F.col("old").isNull()).drop("old")
+        lists = materialize(now)
+        entered, entries = lists.agg(F.coalesce(F.sum(F.col("fresh").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+        if entered <= changed * entries and joined.count() == before.count():
+            return _once(lists), joined
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -301,52 +360,48 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def asked_of(count: int, turn: int = 0) -> tuple[int, int]:
-    """One node in how many is asked, and which of these classes of nodes it is in this turn."""
-    every = max(1, min(AUDIT, count // ASKED))
-    return every, turn % every
-
-
-def audit(nodes: DataFrame, joined: DataFrame, cosine: float, turn: int = 0) -> tuple[DataFrame, int, float]:
+def audit(nodes: DataFrame, joined: DataFrame, cosine: float, turn: int = 0, most: int = ASKED) -> tuple[DataFrame, int, float]:
     """Links (a, b, cos) from the asked nodes to nodes of other components, how many nodes were asked, and the recall.
 
-    The recall is the share of the asked nodes' links that are within components; null if they have none.
+    ``most`` nodes are asked, those with the smallest hashes in this turn. The recall is the
+    share of the asked nodes' links that are within components; null if they have none.
     """
-    count = nodes.count()
-    every, own_turn = asked_of(count, turn)
-    of = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "unit")
-    blocks = max(1, math.ceil(count / every / LARGE))
-    asked = of.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == own_turn).withColumn("block", F.pmod(F.hash("node"), F.lit(blocks)))
-    number = asked.count()
-    slice_ = F.pmod(F.hash("node", F.lit(1)), F.lit(max(1, math.ceil(count / LARGE))))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = of.withColumn("slice", slice_).withColumn("block", every_block)
-    slices_ = spread.select("slice", "block").distinct()
-    asked = _fresh(asked.join(slices_, "block"))
-
-    def look(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    spark = nodes.sparkSession
+    of = nodes.select("node", "unit").join(_fresh(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = materialize(of)
+    few = of.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(most).toArrow().combine_chunks()
+    asked = {}
+    if len(few):
+        for length, rows, x in _by_length(few.column("unit").combine_chunks()):
+            asked[length] = (x, few.column("node").to_numpy()[rows], few.column("component").to_numpy()[rows])
+    asked = spark.sparkContext.broadcast(asked)
+
+    def look(batches):
         """Missed links, and in a row without nodes how many links are within components."""
-        out, inside = [], 0
-        for size in set(left["unit"].map(len)) & set(right["unit"].map(len)) if len(left) and len(right) else ():
-            l, r = left[left["unit"].map(len) == size], right[right["unit"].map(len) == size]
-            y, of_right, name = np.stack(r["unit"].to_numpy()), r["component"].to_numpy(), r["node"].to_numpy()
-            for n in range(0, len(l), 1024):
-                part = l.iloc[n : n + 1024]
-                cos = np.stack(part["unit"].to_numpy()) @ y.T
-                near = (cos >= cosine) & (part["node"].to_numpy()[:, None] != name[None, :])
-                apart = near & (part["component"].to_numpy()[:, None] != of_right[None, :])
-                inside += int(near.sum()) - int(apart.sum())
-                i, j = np.nonzero(apart)
-                out.append(pd.DataFrame({"a": part["node"].to_numpy()[i], "b": name[j], "cos": cos[i, j], "inside": 0}))
-        out.append(pd.DataFrame({"a": [None], "b": [None], "cos": [None], "inside": [inside]}))
-        return pd.concat([x.astype({"a": "Int64", "b": "Int64", "cos": "float64"}) for x in out])
-
-    found = materialize(
-        asked.groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInPandas(look, "a long, b long, cos double, inside long")
-    )
+        inside, out = 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for batch in batches:
+            node, component = batch.column("node").to_numpy(), batch.column("component").to_numpy()
+            for length, rows, x in _by_length(batch.column("unit")):
+                y, name, part = asked.value.get(length, (np.zeros((0, length)), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                for at in range(0, len(rows), 1024):
+                    here = rows[at : at + 1024]
+                    cos = y @ x[at : at + 1024].T
+                    near = (cos >= cosine) & (name[:, None] != node[here][None, :])
+                    apart = near & (part[:, None] != component[here][None, :])
+                    inside += int(near.sum()) - int(apart.sum())
+                    i, j = np.nonzero(apart)
+                    out.append((name[i], node[here][j], cos[i, j]))
+            a, b, cos = (np.concatenate(c) for c in zip(*out))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "cos": cos, "inside": np.zeros(len(a), np.int64)})
+        yield pa.RecordBatch.from_pydict(
+            {"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64()), "cos": pa.array([None], pa.float64()), "inside": pa.array([inside], pa.int64())}
+        )
+
+    found = materialize(of.mapInArrow(look, "a long, b long, cos double, inside long"))
     missed = found.filter("a is not null").select("a", "b", "cos")
     seen = found.agg(F.coalesce(F.sum("inside"), F.lit(0)), F.count("a")).first()
-    return missed, number, seen[0] / sum(seen) if sum(seen) else None
+    return missed, len(few), seen[0] / sum(seen) if sum(seen) else None
 
 
 def _count_small(members: DataFrame, cosine: float) -> DataFrame:
@@ -417,21 +472,22 @@ def _count_large(members: DataFrame, cosine: float, large: int) -> DataFrame:
 def linked(vectors: DataFrame, embedding: str = "embedding", key: str = "vec_id", cosine: float = COSINE, large: int = LARGE) -> DataFrame:
     """Per row: key, n_links, component_id, kept, and in ``turns`` the searches it took.
 
-    Besides, ``recall`` of the first search as its audit measured it (null if no asked node
-    has links), ``asked`` nodes of the last audit, which missed nothing, and in
-    ``recall_low`` the share of nodes without a missed link that it vouches for.
-    Null keys are no component's id unless no member has a key; their rows are not kept.
+    Besides, ``first_recall`` of the first search and ``recall`` of the last as their audits
+    measured them (null if no asked node has links), ``asked`` nodes of the last audit, which
+    missed nothing, and in ``recall_low`` the share of nodes without a missed link that it
+    vouches for. Null keys are no component's id unless no member has a key; their rows are
+    not kept.
     """
     rows, nodes = classes(vectors, embedding, key)
     floor = math.cos(min(math.pi / 2, 2 * math.acos(cosine)))
-    count, turns, edges = nodes.count(), 0, None
+    count, turns, edges, joined = nodes.count(), 0, None, None
     while True:
-        found = first_lists(nodes, count, turns, cosine, floor)
+        found = first_lists(nodes, count, turns, cosine, floor, large)
         edges = materialize(_once(found if edges is None else found.union(edges)))
-        edges, joined = descend(edges, nodes, cosine, floor)
+        edges, joined = descend(edges, nodes, cosine, floor, known=joined)
+        missed, asked, recall = audit(nodes, joined, cosine, turns)
         turns += 1
-        missed, asked, share = audit(nodes, joined, cosine, turns - 1)
-        recall = share if turns == 1 else recall
+        first = recall if turns == 1 else first
         if missed.isEmpty():
             break
         edges = materialize(_once(edges.union(missed)))
@@ -450,16 +506,17 @@ def linked(vectors: DataFrame, embedding: str = "embedding", key: str = "vec_id"
         F.coalesce("links", F.col("size") - 1).alias("n_links"),
         F.when(F.col("links").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    same = rows.filter(F.col("vector").isNotNull()).select("row_id", "id", "vector")
-    named = same.groupBy("vector").agg(F.min("row_id").alias("node")).join(of, "node").select("vector", "n_links", "component_id")
-    out = rows.join(named, "vector", "left")
-    own = F.when(F.col("vector").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = nodes.select("node", "digest").join(_fresh(of), "node").select("digest", "n_links", "component_id")
+    none = rows.filter(F.col("digest").isNull()).select("id", "digest", F.lit(0).alias("n_links"), F.col("id").alias("component_id"))
+    out = rows.filter(F.col("digest").isNotNull()).join(named, "digest").select("id", "digest", "n_links", "component_id").union(none)
+    own = F.col("component_id")
     return out.select(
         F.col("id").alias(key),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         own.alias("component_id"),
         F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"),
         F.lit(turns).alias("turns"),
+        F.lit(first).cast("double").alias("first_recall"),
         F.lit(recall).cast("double").alias("recall"),
         F.lit(asked).cast("long").alias("asked"),
         F.lit(1.0 if asked == count else max(0.0, 1 - 3 / asked) if asked else 0.0).alias("recall_low"),
