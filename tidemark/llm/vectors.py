@@ -339,7 +339,9 @@ def descend(
         met = materialize(met.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("close").alias("close")))
         new = met.filter("not close").select("a", "b", "cos").union(measured(met.filter("close"), nodes))
         new = materialize(new.join(_once(lists).select("a", "b"), ["a", "b"], "left_anti"))
-        links = new.filter(F.col("cos") >= cosine).select("a", "b")
+        part = lambda c: _fresh(joined).select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))  # noqa: B023, E731
+        links = new.filter(F.col("cos") >= cosine).join(part("a"), "a", "left").join(part("b"), "b", "left")
+        links = links.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
         before = joined
         if not links.isEmpty():
             # what is joined is already stars around each component's smallest node
@@ -351,7 +353,7 @@ def descend(
         now = now.join(old, ["a", "b", "out"], "left").withColumn("fresh", F.col("old").isNull()).drop("old")
         lists = materialize(now)
         entered, entries = lists.agg(F.coalesce(F.sum(F.col("fresh").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
-        if entered <= changed * entries and joined.count() == before.count():
+        if entered <= changed * entries and joined is before:
             return _once(lists), joined
 
 
