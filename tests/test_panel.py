@@ -2,7 +2,7 @@
 
 import random
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import streams_of
@@ -120,6 +120,46 @@ def test_propensity_population_equals_theta_form(spark, streams):
     same(got, want)
 
 
+UNEVEN = tuple(date(2024, 1, k) for k in (22, 9, 10, 13, 21, 2, 30, 9))
+
+
+def test_listed_dates_equal_theta_form(spark, streams):
+    p = replace(P, snapshot_days=UNEVEN)
+    dates = sorted(r.snapshot_date.day for r in snapshot_dates(streams.bounds, p).collect())
+    assert dates == [9, 10, 13, 21, 22]  # the 2nd and the 30th are outside lead and trail
+    plain(spark, streams, p)
+    got = panel.customer_snapshot(streams, p).select(
+        "snapshot_date", "client_id", "last_purchase_ts", "n_purchase_occasions_so_far", "n_purchase_days_so_far",
+        "n_purchases_2d", "n_purchases_4d", "n_purchases_7d", "n_categories_so_far",
+        "n_page_visit_7d", "n_search_query_7d", "n_add_to_cart_7d", "n_remove_from_cart_7d",
+        "label_purchase_3d", "label_purchase_7d",
+    )
+    want = spark.sql(
+        """SELECT s, client_id, last, n, days, w2, w4, w7, coalesce(cats, 0), v, q, a, r, y3, y7
+           FROM past JOIN act USING (s, client_id) JOIN lab USING (s, client_id) LEFT JOIN cats USING (s, client_id)"""
+    )
+    same(got, want)
+    since = panel.customer_snapshot(streams, p, since=date(2024, 1, 13))
+    same(since, panel.customer_snapshot(streams, p).filter("snapshot_date >= DATE '2024-01-13'"))
+
+
+def test_regular_dates_may_be_listed(spark, streams):
+    regular = panel.purchase_propensity(streams, P)
+    dates = tuple(r.snapshot_date for r in snapshot_dates(streams.bounds, P).collect())
+    same(panel.purchase_propensity(streams, replace(P, snapshot_days=dates)), regular)
+
+
+def test_listed_dates_are_not_joined(spark, streams):
+    plan = panel.customer_snapshot(streams, replace(P, snapshot_days=UNEVEN))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_listed_date_fits(spark, streams):
+    p = replace(P, snapshot_days=(date(2023, 5, 1), date(2024, 1, 2), date(2025, 1, 1)))
+    assert snapshot_dates(streams.bounds, p).count() == 0
+    assert panel.customer_snapshot(streams, p).count() == 0
+
+
 @pytest.mark.parametrize("step, lead, window", [(1, 3, 7), (5, 0, 2), (14, 10, 3)])
 def test_other_grids(spark, streams, step, lead, window):
     p = replace(P, grid_step_days=step, grid_lead_days=lead, activity_days=7, purchase_windows=(window, 4, 9))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 
 @dataclass(frozen=True)
@@ -16,6 +17,8 @@ class Params:
     grid_lead_days: int = 28
     grid_trail_days: int = 28
     grid_step_days: int = 14
+    # snapshot dates of one's own, in any distance; those inside lead and trail replace the grid
+    snapshot_days: tuple[date, ...] = ()
     activity_days: int = 28
     purchase_windows: tuple[int, ...] = (7, 14, 28)
     label_days: tuple[int, ...] = (14, 28)

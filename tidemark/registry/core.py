@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -331,6 +333,30 @@ def register(reg: Registry) -> None:
         store(lambda s: panel.customer_snapshot(s, P)),
         store_sql(f"SELECT {snapshot_head}, {labels} FROM snap"),
     )
+    # dates in uneven distances, some next to each other and some outside the log
+    listed = replace(P, snapshot_days=tuple(date(2024, 1, k) for k in (3, 8, 9, 13, 14, 20, 22, 28)))
+    days_sql = ", ".join(f"DATE '{x}'" for x in listed.snapshot_days)
+    listed_sql = {
+        "grid": f"""
+            SELECT s FROM (SELECT unnest([{days_sql}]) AS s), edge
+            WHERE s BETWEEN CAST(lo AS DATE) + INTERVAL {P.grid_lead_days} DAY AND CAST(hi AS DATE) - INTERVAL {P.grid_trail_days} DAY"""
+    }
+    reg.add(
+        "m08_customer_snapshot_listed",
+        store(lambda s: panel.customer_snapshot(s, listed)),
+        store_sql(f"SELECT {snapshot_head}, {labels} FROM snap", listed_sql),
+    )
+    reg.add(
+        "m10_purchase_propensity_listed",
+        store(lambda s: panel.purchase_propensity(s, listed)),
+        store_sql(
+            f"""SELECT {d('s', 'snapshot_date')}, client_id, has_history AS has_purchase_history,
+                {t('last_ts', 'last_purchase_ts')}, since AS days_since_last_purchase,
+                n_occ AS n_purchase_occasions_so_far, {counts}, {r('avg_rate', 'avg_category_repurchase_rate')}, {will}
+                FROM prop""",
+            listed_sql,
+        ),
+    )
     reg.add(
         "m09_churn_target",
         store(lambda s: panel.churn_target(panel.customer_snapshot(s, P), P)),
