@@ -1,6 +1,7 @@
 import math
 import random
 from dataclasses import replace
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,58 @@ def test_balance_with_an_empty_arm(spark):
     assert (r.n_treatment, r.n_control, r.statistic, r.p_value, r.balanced) == (2, 0, None, None, None)
 
 
+def all_arrangements(u, n, m):
+    """Two-sided p by listing which ranks the first arm may hold."""
+    every = [sum(ranks) - n * (n - 1) / 2 for ranks in combinations(range(n + m), n)]
+    extreme = max(u, n * m - u)
+    return min(1.0, 2 * sum(x >= extreme for x in every) / len(every))
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (1, 9), (2, 2), (3, 5), (5, 3), (4, 9), (8, 6), (8, 4)])
+def test_exact_rank_test_against_every_arrangement(n, m):
+    for u in range(0, n * m + 1, 1 + n * m // 12):
+        assert tails.rank_two_sided(u, n, m) == pytest.approx(all_arrangements(u, n, m), rel=1e-12)
+
+
+def test_exact_rank_test_against_published_tables():
+    # largest U that is significant at 5 % on both sides, by sizes of the arms
+    table = {(4, 4): 0, (5, 5): 2, (6, 6): 5, (7, 7): 8, (8, 8): 13, (5, 8): 6, (8, 20): 41, (3, 20): 8}
+    for (n, m), u in table.items():
+        assert tails.rank_two_sided(u, n, m) <= 0.05 < tails.rank_two_sided(u + 1, n, m)
+
+
+def test_exact_rank_test_with_a_huge_arm():
+    # one value among many: its place is uniform
+    assert tails.rank_two_sided(12_345, 1, 10**9 - 1) == pytest.approx(2 * 12_346 / 10**9, rel=1e-12)
+    # eight: U over the arm's size tends to a sum of eight uniform draws
+    limit = sum((-1) ** k * math.comb(8, k) * (2.5 - k) ** 8 for k in range(3)) / math.factorial(8)
+    assert tails.rank_two_sided(2.5e9, 8, 1e9) == pytest.approx(2 * limit, rel=1e-6)
+
+
+def test_balance_of_small_arms_by_stratum(spark):
+    rng = random.Random(4)
+    rows = []
+    for k, (stratum, n, m) in enumerate([("a", 3, 6), ("b", 8, 30), ("c", 9, 9), (None, 2, 5), ("e", 4, 0)]):
+        rows += [(stratum, "Treatment" if j < n else "Control", rng.random() + k, 1.0) for j in range(n + m)]
+    rows += [("tied", g, 1.0 + (j > 2), None) for g in ("Treatment", "Control") for j in range(4)]
+    df = spark.createDataFrame(rows, "part string, group string, x double, y double")
+    got = {(r.part, r.covariate): r for r in experiment.check_balance(df, ["x", "y"], ["part"]).collect()}
+    assert len(got) == 12
+    for part in ("a", "b", None):
+        r = got[part, "x"]
+        t = [x for p, g, x, _ in rows if p == part and g == "Treatment"]
+        c = [x for p, g, x, _ in rows if p == part and g == "Control"]
+        u = sum(a > b for a in t for b in c)
+        assert (r.statistic, r.n_treatment, r.n_control, r.exact) == (u, len(t), len(c), True)
+        assert r.p_value == pytest.approx(tails.rank_two_sided(u, len(t), len(c)))
+        if len(t) < 8:
+            assert r.p_value == pytest.approx(all_arrangements(u, len(t), len(c)))
+    assert not got["c", "x"].exact and not got["tied", "x"].exact and not got["a", "y"].exact
+    assert got["c", "x"].p_value is not None and got["tied", "x"].p_value == pytest.approx(1.0)
+    assert (got["e", "x"].statistic, got["e", "x"].p_value, got["e", "x"].balanced) == (None, None, None)
+    assert (got["tied", "y"].n_treatment, got["tied", "y"].n_control, got["tied", "y"].statistic) == (0, 0, None)
+
+
 def test_sample_ratio(spark):
     rows = [(k, "a", "Treatment" if k < 300 else "Control") for k in range(500)]
     rows += [(k, "b", "Treatment" if k % 2 else "Control") for k in range(500, 700)]

@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import chi2_p, normal_p, student_p
+from ..functions.tails import chi2_p, normal_p, rank_p, student_p
 from ..params import Params
 from ..plans.ranking import prefix_counts
 
@@ -80,21 +80,33 @@ def assign(scored: DataFrame, score: str, p: Params) -> DataFrame:
     )
 
 
-def check_balance(assigned: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """Mann-Whitney U of each covariate between the arms, normal approximation.
+#: Up to this many values in the smaller arm, all different, the test of ranks is exact.
+EXACT_ARM = 8
 
-    Values are counted per arm and ranked as distinct values, so ties cost nothing. The
-    statistic and p-value are NULL when an arm has no value.
+
+def check_balance(assigned: DataFrame, covariates: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Mann-Whitney U of each covariate between the arms, overall or in each stratum ``within``.
+
+    The two-sided p-value is exact (``exact``) if an arm has at most ``EXACT_ARM`` values and
+    no value occurs twice, however large the other arm is; else it is the normal
+    approximation with corrections for ties and continuity. Values are counted per arm and
+    ranked as distinct values, so ties cost nothing. The statistic and p-value are NULL when
+    an arm has no value; a NULL stratum is one of its own.
     """
-    wide = assigned.select("group", *[F.col(c).cast("double").alias(c) for c in covariates])
-    long = wide.unpivot(["group"], list(covariates), "covariate", "value").filter(F.col("value").isNotNull())
-    counts = long.groupBy("covariate", "value").agg(
+    strata = [f"_stratum_{k}" for k in range(len(within))]
+    held = [F.col(c).alias(s) for c, s in zip(within, strata)]
+    # a stratum as one key that is never NULL
+    key = F.to_json(F.struct(*strata), {"ignoreNullFields": "false"}) if strata else F.lit("")
+    wide = assigned.select(*held, "group", *[F.col(c).cast("double").alias(c) for c in covariates])
+    wide = wide.select(key.alias("_key"), "group", *covariates)
+    long = wide.unpivot(["_key", "group"], list(covariates), "covariate", "value").filter(F.col("value").isNotNull())
+    counts = long.groupBy("_key", "covariate", "value").agg(
         F.count_if(F.col("group") == TREATMENT).alias("t"), F.count_if(F.col("group") == CONTROL).alias("c")
     )
     counts = counts.withColumn("n", F.col("t") + F.col("c"))
-    ranked = prefix_counts(counts, ["covariate"], "value", ["n"], descending=False)
+    ranked = prefix_counts(counts, ["_key", "covariate"], "value", ["n"], descending=False)
     n = F.col("n").cast("double")
-    sums = ranked.groupBy("covariate").agg(
+    sums = ranked.groupBy("_key", "covariate").agg(
         F.sum("t").alias("n_treatment"),
         F.sum("c").alias("n_control"),
         F.sum(F.col("t") * F.col("value")).alias("sum_t"),
@@ -105,22 +117,28 @@ def check_balance(assigned: DataFrame, covariates: Sequence[str]) -> DataFrame:
     t, c = F.col("n_treatment").cast("double"), F.col("n_control").cast("double")
     total = t + c
     both = (t > 0) & (c > 0)
+    exact = both & (F.col("ties") == 0) & (F.least(t, c) <= EXACT_ARM)
     u = F.col("ranks_t") - t * (t + 1) / 2
     sd = F.sqrt(t * c / 12 * ((total + 1) - F.col("ties") / (total * (total - 1))))
     larger = F.greatest(u, t * c - u)
     z = (larger - t * c / 2 - 0.5) / F.when(sd > 0, sd)
-    names = assigned.sparkSession.createDataFrame([(x,) for x in covariates], "covariate string")
-    out = names.join(sums, "covariate", "left").select(
+    names = assigned.select(*held).distinct() if strata else assigned.sparkSession.range(1).select()
+    names = names.select(*strata, key.alias("_key"), F.explode(F.array(*[F.lit(x) for x in covariates])).alias("covariate"))
+    out = names.join(sums, ["_key", "covariate"], "left").select(
+        *[F.col(s).alias(c) for c, s in zip(within, strata)],
         "covariate",
         F.coalesce("n_treatment", F.lit(0)).alias("n_treatment"),
         F.coalesce("n_control", F.lit(0)).alias("n_control"),
         F.when(both, F.col("sum_t") / t).alias("mean_treatment"),
         F.when(both, F.col("sum_c") / c).alias("mean_control"),
         F.when(both, u).alias("statistic"),
+        F.coalesce(exact, F.lit(False)).alias("exact"),
         # below the mean only by the continuity correction: no evidence at all
-        F.when(both, F.greatest(z, F.lit(0.0))).alias("_z"),
+        F.when(both & ~exact, F.greatest(z, F.lit(0.0))).alias("_z"),
+        F.when(exact, u).alias("_u"),
     )
-    out = out.withColumn("p_value", normal_p("_z")).drop("_z")
+    sizes = [F.col(c).cast("double") for c in ("n_treatment", "n_control")]
+    out = out.withColumn("p_value", F.coalesce(rank_p("_u", *sizes), normal_p("_z"))).drop("_z", "_u")
     return out.withColumn("balanced", F.col("p_value") >= 0.05)
 
 

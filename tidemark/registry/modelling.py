@@ -140,6 +140,43 @@ def register(reg: Registry) -> None:
         ),
     )
     reg.add("x03_balance_test", store(lambda s: experiment.check_balance(assigned(s), COVARIATES)))
+
+    # two market segments as arms within each nation: few customers each in small data
+    def small_arms(spark, sf):
+        rows = spark.read.parquet(f"{sf}/customer.parquet").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')")
+        arm = F.when(F.col("c_mktsegment") == "BUILDING", experiment.TREATMENT).otherwise(experiment.CONTROL)
+        found = experiment.check_balance(rows.withColumn("group", arm), ["c_acctbal"], ["c_nationkey"])
+        exact_p = F.when(F.col("exact"), F.col("p_value")).alias("exact_p")
+        return found.select("c_nationkey", "n_treatment", "n_control", "statistic", "exact", exact_p)
+
+    reg.add(
+        "x03_balance_exact",
+        small_arms,
+        f"""WITH RECURSIVE v AS (
+                SELECT c_nationkey, c_mktsegment = 'BUILDING' AS t, CAST(c_acctbal AS DOUBLE) AS x FROM customer
+                WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+            ranked AS (
+                SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY x)
+                          + (count(*) OVER (PARTITION BY c_nationkey, x) - 1) / 2 AS rk FROM v),
+            arms AS (
+                SELECT c_nationkey, count(*) FILTER (t) AS n, count(*) FILTER (NOT t) AS m,
+                       count(DISTINCT x) = count(*) AS no_ties, sum(rk) FILTER (t) AS ranks FROM ranked GROUP BY 1),
+            tested AS (
+                SELECT *, CASE WHEN n > 0 AND m > 0 THEN ranks - n * (n + 1) / 2 END AS u,
+                       n > 0 AND m > 0 AND no_ties AND least(n, m) <= {experiment.EXACT_ARM} AS exact FROM arms),
+            -- ways to choose k of the ranks 1 .. total with a given sum
+            ways AS (
+                SELECT 0 AS total, 0 AS k, 0 AS s, CAST(1 AS DOUBLE) AS c
+                UNION ALL
+                SELECT total + 1, k + a, s + a * (total + 1), sum(c) FROM ways, (VALUES (0), (1)) AS step(a)
+                WHERE k + a <= {experiment.EXACT_ARM}
+                  AND total < (SELECT coalesce(max(n + m), 0) FROM tested WHERE exact) GROUP BY 1, 2, 3),
+            tails AS (
+                SELECT c_nationkey, least(1.0, 2 * sum(c) FILTER (s - k * (k + 1) / 2 <= least(u, n * m - u)) / sum(c)) AS p
+                FROM tested JOIN ways ON exact AND total = n + m AND k = least(n, m) GROUP BY 1)
+            SELECT c_nationkey, n AS n_treatment, m AS n_control, {r('u', 'statistic')}, exact, {r('p', 'exact_p')}
+            FROM tested LEFT JOIN tails USING (c_nationkey)""",
+    )
     reg.add(
         "x04_sample_ratio",
         store(
