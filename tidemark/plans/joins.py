@@ -18,10 +18,11 @@ def spread_lookup(
 
     The lookup side is repeated ``ways`` times and the fact side picks a part by a hash of
     ``spread_by``, so that one key holding a third of the facts is still joined by
-    ``ways`` tasks. No broadcast is forced: Spark picks one when its own size estimate
-    allows.
+    ``ways`` tasks. The join is by sorting: Spark's size estimate does not count the
+    repeats, so left to itself it would broadcast a lookup far above its limit, all of it
+    by way of the driver.
     """
     part = "_part"
     left = facts.withColumn(part, F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
-    right = lookup.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    right = lookup.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).hint("merge")
     return left.join(right, [*on, part], how).drop(part)
