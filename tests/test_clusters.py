@@ -2,7 +2,9 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import parse_vector
@@ -67,3 +69,20 @@ def test_purity_ties_go_by_label(spark):
     assert rows[1].top2 == "4:2, 5:2" and rows[1].top1_pct == 40.0 and rows[1].n_distinct_labels == 3
     assert rows[2].top2 == "1:1"
     assert df.select(F.count("*")).first()[0] == 6
+
+
+def test_all_starts_take_their_steps_in_shared_passes(spark, monkeypatch):
+    """Centres and cost are those of Spark's own runs, with no Lloyd step of Spark's."""
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(k % 7, 0.8) for _ in range(3)]) for k in range(600)]
+    points = clusters.vectors(spark.createDataFrame(rows, "id int, v array<float>"), "v").select("_v", "_x").cache()
+    plain = {n: KMeans(featuresCol="_v", k=5, seed=42 + n, maxIter=300, tol=1e-4).fit(points) for n in range(3)}
+    steps, lloyd = [], clusters.KMeans
+    monkeypatch.setattr(clusters, "KMeans", lambda **kw: steps.append(kw["maxIter"]) or lloyd(**kw))
+    starts = {n: clusters._starting_centres(points, 5, 42 + n) for n in range(3)}
+    runs = clusters._lloyd(points, starts, 300)
+    for n, model in plain.items():
+        assert runs[n][1] == pytest.approx(model.summary.trainingCost, rel=1e-9)
+        assert runs[n][0] == pytest.approx(np.array(model.clusterCenters()), abs=1e-9)
+    clusters.cluster(spark.createDataFrame(rows, "id int, v array<float>"), "v", 5).count()
+    assert steps and not any(steps)

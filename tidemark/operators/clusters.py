@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -17,25 +22,105 @@ from ..plans.materialize import materialize
 K_CANDIDATES = (5, 10, 20, 30, 50, 75, 100, 150)
 
 
+#: Vectors whose distances to all centres are worked out at once.
+BLOCK = 4096
+
+
 def vectors(rows: DataFrame, column: str) -> DataFrame:
-    return rows.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
+    """Adds the vectors twice: ``_v`` for Spark's k-means, ``_x`` as an array."""
+    x = F.col(column).cast("array<double>")
+    return rows.withColumn("_v", array_to_vector(x)).withColumn("_x", x)
+
+
+def _starting_centres(points: DataFrame, k: int, seed: int) -> np.ndarray:
+    """Centres that Spark's k-means starts from: its parallel k-means++ without a Lloyd step."""
+    return np.array(KMeans(featuresCol="_v", k=k, seed=seed, maxIter=0).fit(points).clusterCenters())
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre and the squared distance to it."""
+    d = (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
+    own = d.argmin(axis=1)
+    return own, np.maximum(d[np.arange(len(x)), own] + (x * x).sum(axis=1), 0)
+
 
+def _blocks(points: DataFrame) -> RDD:
+    """The vectors as matrices of up to ``BLOCK`` rows, spread over all cores and kept there."""
 
-def _best_kmeans(points: DataFrame, k: int, seed: int, n_starts: int, max_iter: int):
-    """The cheapest of ``n_starts`` runs; Lloyd steps go on until no centre moves by 1e-4."""
-    runs = [
-        KMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed + n, maxIter=max_iter, tol=1e-4).fit(points)
-        for n in range(n_starts)
-    ]
-    return min(runs, key=lambda m: m.summary.trainingCost)
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.column(0).slice(at, BLOCK)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([len(part)], pa.int32())],
+                    names=["x", "n"],
+                )
+
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    dealt = points.select("_x").repartition(cores).mapInArrow(run, "x binary, n int")
+    blocks = dealt.rdd.map(lambda r: np.frombuffer(r.x, np.float64).reshape(r.n, -1))
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _lloyd(points: DataFrame, starts: dict, max_iter: int, tol: float = 1e-4) -> dict:
+    """Per key of ``starts``: centres after Lloyd steps, and the cost before the last of them.
+
+    All keys take their step in one pass over the vectors, and those whose centres all moved
+    by ``tol`` or less leave. Sums are added up by key on the executors, so a step brings
+    one matrix of centres per key to the driver, however many vectors there are.
+    """
+    blocks = _blocks(points)
+    now, costs, live = dict(starts), dict.fromkeys(starts, 0.0), list(starts)
+
+    def step(moving):
+        def sums(parts):
+            found = {}
+            for x in parts:
+                for key, centres in moving.value.items():
+                    own, cost = _nearest(x, centres)
+                    of = np.zeros((len(x), len(centres)))
+                    of[np.arange(len(x)), own] = 1
+                    new = (of.T @ x, of.sum(axis=0), cost.sum())
+                    found[key] = tuple(map(operator.add, found[key], new)) if key in found else new
+            return iter(found.items())
+
+        def centres(entry):
+            key, (total, n, cost) = entry
+            old = moving.value[key]
+            return key, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old), cost
+
+        added = blocks.mapPartitions(sums).reduceByKey(lambda a, b: tuple(map(operator.add, a, b)), len(live))
+        return added.map(centres).collect()  # as many matrices as keys
+
+    try:
+        for _ in range(max_iter):
+            if not live:
+                break
+            moving = blocks.context.broadcast({key: now[key] for key in live})
+            for key, new, cost in step(moving):
+                if (((new - now[key]) ** 2).sum(axis=1) <= tol * tol).all():
+                    live.remove(key)
+                now[key], costs[key] = new, float(cost)
+            moving.unpersist()
+    finally:
+        blocks.unpersist()
+    return {key: (now[key], costs[key]) for key in starts}
+
+
+def _best_kmeans(points: DataFrame, ks: Sequence[int], seed: int, n_starts: int, max_iter: int) -> dict[int, tuple[np.ndarray, float]]:
+    """Per k the centres and cost of the cheapest of ``n_starts`` runs; Lloyd steps go on until no centre moves by 1e-4."""
+    starts = {(k, n): _starting_centres(points, k, seed + n) for k in ks for n in range(n_starts)}
+    runs = _lloyd(points, starts, max_iter)
+    return {k: min((runs[k, n] for n in range(n_starts)), key=lambda run: run[1]) for k in ks}
 
 
 def inertia_by_k(
     rows: DataFrame, column: str, ks: Sequence[int] = K_CANDIDATES, seed: int = 42, n_starts: int = 3, max_iter: int = 300
 ) -> DataFrame:
     """Sum of squared distances per k and its fall from the k before, in %."""
-    points = materialize(vectors(rows, column).select("_v"))
-    costs = [(k, float(_best_kmeans(points, k, seed, n_starts, max_iter).summary.trainingCost)) for k in ks]
+    points = materialize(vectors(rows, column).select("_v", "_x"))
+    runs = _best_kmeans(points, ks, seed, n_starts, max_iter)
+    costs = [(k, runs[k][1]) for k in ks]
     w = Window.partitionBy(F.lit(1)).orderBy("k")
     out = rows.sparkSession.createDataFrame(costs, "k int, inertia double")
     prev = F.lag("inertia").over(w)
@@ -45,8 +130,13 @@ def inertia_by_k(
 def cluster(rows: DataFrame, column: str, k: int = 50, seed: int = 42, n_starts: int = 10, max_iter: int = 300) -> DataFrame:
     """Add the number of the nearest of ``k`` centres."""
     points = materialize(vectors(rows, column))
-    model = _best_kmeans(points.select("_v"), k, seed, n_starts, max_iter)
-    return model.transform(points).drop("_v")
+    centres, _ = _best_kmeans(points, [k], seed, n_starts, max_iter)[k]
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(np.stack(x.to_numpy()), centres)[0].astype(np.int32))
+
+    return points.withColumn("cluster", nearest("_x")).drop("_v", "_x")
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
