@@ -1,4 +1,6 @@
-from tidemark.operators import facts
+from pyspark.sql import functions as F
+
+from tidemark.operators import facts, scores
 from tidemark.plans.joins import spread_lookup
 
 
@@ -21,3 +23,21 @@ def test_category_behavior_broadcasts_no_products(spark, capsys):
     assert found.count() == 16
     found.explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_scores_broadcast_their_statistics_and_not_the_panel(spark, capsys, tmp_path):
+    """A written panel is small on disk, however many rows it has: Spark would broadcast it."""
+    spark.sql(
+        "SELECT id AS client_id, if(id % 2 = 0, 'train', 'test') AS split, id % 7 AS days_since_last_purchase, "
+        "id % 7 > 0 AS has_purchase_history FROM range(1000)"
+    ).write.parquet(str(tmp_path / "panel"))
+    rows = spark.read.parquet(str(tmp_path / "panel"))
+    for found in (
+        scores.scaled(rows, {"unit": F.col("days_since_last_purchase")}),
+        scores.recency_risk(rows),
+        scores.recency_propensity(rows),
+    ):
+        assert found.count() == 1000
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "BuildRight" in plan and "BuildLeft" not in plan

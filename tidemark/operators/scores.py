@@ -36,6 +36,15 @@ def chronological_split(panel: DataFrame, p: Params) -> DataFrame:
     return panel.withColumn("split", tag)
 
 
+def _few(stats: DataFrame) -> DataFrame:
+    """One row of statistics per split, named as the side to broadcast.
+
+    A written panel may be a few compressed megabytes on disk, by which Spark would choose
+    to broadcast the panel, all of its rows by way of the driver.
+    """
+    return F.broadcast(stats)
+
+
 def scaled(df: DataFrame, raws: dict[str, Column], by: Sequence[str] = ("split",)) -> DataFrame:
     """Add min-max scaled columns; a constant column becomes 0.5."""
     by = list(by)
@@ -48,8 +57,7 @@ def scaled(df: DataFrame, raws: dict[str, Column], by: Sequence[str] = ("split",
         x, lo, hi = F.col(f"_raw_{n}"), F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
         return F.when(hi - lo < 1e-9, F.lit(0.5)).otherwise((x - lo) / (hi - lo))
 
-    # one row of statistics per split
-    return rows.join(stats, by).select(*df.columns, *[unit(n).alias(n) for n in raws])
+    return rows.join(_few(stats), by).select(*df.columns, *[unit(n).alias(n) for n in raws])
 
 
 def random_score(seed: int) -> Column:
@@ -79,7 +87,7 @@ def _days_summary(panel: DataFrame) -> DataFrame:
 
 def _with_top_days(panel: DataFrame) -> DataFrame:
     top = panel.groupBy("split").agg(F.max("days_since_last_purchase").alias("_top"))
-    return panel.join(top, "split")
+    return panel.join(_few(top), "split")
 
 
 def _filled_days() -> Column:
@@ -156,7 +164,7 @@ def recency_propensity(panel: DataFrame) -> DataFrame:
 
     The score falls linearly with the days, so the median score is the score of the median.
     """
-    rows = panel.join(_days_summary(panel), "split")
+    rows = panel.join(_few(_days_summary(panel)), "split")
     lo, hi = F.col("min_days"), F.col("max_days")
 
     def score(days):
