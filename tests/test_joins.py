@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import facts, scores
+from tidemark.operators import checks, facts, scores
 from tidemark.plans.joins import spread_lookup
 
 
@@ -41,3 +41,16 @@ def test_scores_broadcast_their_statistics_and_not_the_panel(spark, capsys, tmp_
         found.explain()
         plan = capsys.readouterr().out
         assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_history_rules_broadcast_no_panel(spark, capsys, tmp_path):
+    spark.sql(
+        "SELECT DATE '2024-01-01' AS snapshot_date, id AS client_id, id % 2 = 0 AS has_purchase_history, "
+        "if(id % 2 = 0, 3, NULL) AS days_since_last_purchase, CAST(NULL AS double) AS avg_category_repurchase_rate FROM range(50)"
+    ).write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    churn = spark.sql("SELECT DATE '2024-01-01' AS snapshot_date, id AS client_id FROM range(40, 60)")
+    found = checks.history_rules(wide, churn)
+    assert {r.check_name: (r.n_checked, r.n_violations) for r in found.collect()}["churn_row_not_in_propensity"] == (20, 10)
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out

@@ -244,7 +244,8 @@ def history_rules(propensity: DataFrame, churn: DataFrame) -> DataFrame:
     """History flag against recency and category rate; every churn row is in the wider panel."""
     has, since = F.col("has_purchase_history"), F.col("days_since_last_purchase")
     key = ["snapshot_date", "client_id"]
-    lost = churn.select(*key).join(propensity.select(*key), key, "left_anti")
+    # a written panel is small on disk: by its size alone Spark would broadcast all of its keys
+    lost = churn.select(*key).join(propensity.select(*key).hint("merge"), key, "left_anti")
     missing = lost.agg(F.count(F.lit(1)).alias("n_violations"))
     n = churn.agg(F.count(F.lit(1))).scalar()
     return violations(
