@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing, queries
@@ -111,3 +112,23 @@ def test_added_tokens_get_the_ids_of_the_library_as_it_is(spark, tmp_path):
         for start, length, crc in got[n]:
             assert zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
         assert sum(r[1] for r in got[n]) == len(ids)
+
+
+def test_texts_are_encoded_in_small_slices(spark, monkeypatch):
+    """What a worker holds at a time does not grow with the batch that Spark hands it."""
+    sizes = []
+
+    class Recording:
+        def column(self, texts):
+            sizes.append(sum(len(t) for t in texts.to_pylist()))
+            return np.zeros(len(texts), np.uint32), np.ones(len(texts), np.int64)
+
+    monkeypatch.setattr(packing, "_encoder", lambda path, pattern: Recording())
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = packing.pieces(docs, "", "")
+    texts = ["x" * 2000] * 4000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array(texts)], ["row_id", "id", "text"])
+    out = list(run(iter([batch])))
+    assert sum(sizes) == 8_000_000 and max(sizes) <= (1 << 20) + 2000
+    assert [r for b in out for r in b.column("id").to_pylist()] == list(range(4000))

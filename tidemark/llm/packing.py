@@ -39,6 +39,8 @@ from .bpe import Encoder, slices
 CAPACITY = 2048
 END_ID = 0
 PER_PARTITION = 20_000
+#: Bytes of text encoded at a time: what a worker holds beside the encoder's tables grows with it.
+SLICE = 1 << 20
 #: Sequences of a partition are numbered below this.
 STRIDE = 1 << 24
 PLACE = T.StructType(
@@ -123,7 +125,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
         enc = AddedEncoder(enc, tokens) if tokens else enc
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 flat, counts = enc.column(part.column("text"))
                 raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
                 length = counts + 1
