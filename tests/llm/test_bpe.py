@@ -99,3 +99,14 @@ def test_query_equals_library(spark, sf_dir):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_tables_hold_no_empty_transitions():
+    """A state with several transitions costs what they are, not a row with a column per byte."""
+    t = Transducer(RANKS)
+    rng = random.Random(5)
+    pieces = [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    ids, counts = t.encode_all(pieces)
+    assert b"".join(t.bytes_of[i] for i in ids.tolist()) == b"".join(pieces) and len(counts) == len(pieces)
+    held = sum(v.nbytes for k, v in vars(t).items() if isinstance(v, np.ndarray) and k != "sizes")
+    assert held < 64 * len(t.states)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, queries
+from tidemark.llm import bpe, langid, neardup, packing, queries
 from tidemark.llm.transducer import load_ranks
 
 PATTERN = public_tokenizers.PATTERN
@@ -132,3 +132,32 @@ def test_texts_are_encoded_in_small_slices(spark, monkeypatch):
     out = list(run(iter([batch])))
     assert sum(sizes) == 8_000_000 and max(sizes) <= (1 << 20) + 2000
     assert [r for b in out for r in b.column("id").to_pylist()] == list(range(4000))
+
+
+def test_texts_are_handed_over_in_small_batches(spark, monkeypatch):
+    """Neither side of the pipe holds 10,000 texts at a time, and the session keeps its setting."""
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+    plain = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df: seen.append(spark.conf.get(setting)) or plain(df))
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    packing.pack(docs, queries.TOKENIZER, PATTERN).collect()
+    assert int(seen[0]) == packing.BATCH and set(seen[1:]) == {before} and spark.conf.get(setting) == before
+    spark.conf.set(setting, "7")
+    try:
+        packing.pack(docs, queries.TOKENIZER, PATTERN).collect()
+        assert seen[-1] == spark.conf.get(setting) == "7"
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_tasks_that_encode_nothing_empty_the_encoders_tables(spark, monkeypatch):
+    """Workers outlive their stage: what packing has learned does not stand beside later stages."""
+    docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    tasks = [neardup.sets_of(docs, "text"), neardup.shingled(docs, "text", "doc_id"), langid.identify(docs, langid.Model([], np.zeros((0, langid.DIM)), []))]
+    for run in tasks:
+        first = packing._encoder(queries.TOKENIZER, PATTERN)
+        assert packing._encoder(queries.TOKENIZER, PATTERN) is first
+        list(run(iter([])))
+        assert not any(made.cache_info().currsize for made in bpe._KEPT)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
+from .bpe import forget, slices
 
 UNKNOWN = "und"
 DIM = 4096
@@ -174,6 +174,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
     def count(batches):
+        forget()
         for batch in batches:
             for part in slices(batch, "text", BYTES):
                 for n in range(0, part.num_rows, ROWS):
@@ -210,6 +211,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", pred: str = "lan
     place = kept.index(text)
 
     def run(batches):
+        forget()
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, [str(n) for n in range(batch.num_columns)])
             for part in slices(batch, str(place), BYTES):

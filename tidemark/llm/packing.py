@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.materialize import materialize
+from tidemark.plans.materialize import batches_of, materialize
 
-from .bpe import Encoder, slices
+from .bpe import Encoder, kept, slices
 
 CAPACITY = 2048
 END_ID = 0
 PER_PARTITION = 20_000
 #: Bytes of text encoded at a time: what a worker holds beside the encoder's tables grows with it.
 SLICE = 1 << 20
+#: Texts handed to a worker at a time: either side of the pipe holds a batch, the executor in buffers that double.
+BATCH = 2000
 #: Sequences of a partition are numbered below this.
 STRIDE = 1 << 24
 PLACE = T.StructType(
@@ -103,7 +104,7 @@ class AddedEncoder:
         return flat, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
+@kept
 def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(tokenizer_ranks(path), pattern)
 
@@ -234,7 +235,8 @@ def _used(packed: DataFrame) -> int:
 def pack(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, per_partition: int = PER_PARTITION, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``; columns as in ``pieces``, the key under its name."""
     # the ids themselves take no part in the packing
-    cut = materialize(pieces(docs, path, pattern, text, key, capacity, with_ids=with_ids, added=added))
+    with batches_of(docs.sparkSession, BATCH):
+        cut = materialize(pieces(docs, path, pattern, text, key, capacity, with_ids=with_ids, added=added))
     items = cut.drop("ids")
     counts = np.zeros(capacity + 1, np.int64)
     for r in items.groupBy("length").count().collect():  # at most ``capacity`` rows

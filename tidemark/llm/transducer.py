@@ -10,10 +10,9 @@ the position just read. Following last tokens backwards gives the encoding. Toke
 a border that all open positions go back through are settled and can be emitted: a long
 piece is emitted block by block with a lookahead of a few entries.
 
-States are numbered as they appear. The first transition of a state is kept beside it, and
-only states with more of them have a row in a table with a column per byte value seen, so a
-whole column of pieces advances one byte at a time by table lookups. All is emptied when
-there are ``max_states``.
+States are numbered as they appear. The first transition of a state is kept beside it, the
+others in one sorted list for all states, so a whole column of pieces advances one byte at a
+time by lookups. All is emptied when there are ``max_states``.
 """
 
 from __future__ import annotations
@@ -140,14 +139,12 @@ class Transducer:
     def _reset(self) -> None:
         self.states: list[tuple[bytes, tuple]] = [START]
         self.numbers: dict[tuple[bytes, tuple], int] = {START: 0}
-        self.columns = np.full(256, -1, np.int64)
         self.token = np.full(GROW, -1, np.int32)
-        # first transition of each state, and its row of the others; row 0 has none
+        # first transition of each state; the others by 256 * state + byte, up to a key that none has
         self.byte = np.full(GROW, -1, np.int16)
         self.after = np.full(GROW, -1, np.int32)
-        self.row = np.zeros(GROW, np.int32)
-        self.rows = 1
-        self.more = np.full((GROW // 4, 16), -1, np.int32)
+        self.others = np.array([np.iinfo(np.int64).max])
+        self.targets = np.array([-1], np.int32)
         self._suffixes: dict[bytes, tuple] = {}
 
     def _facts(self, suffix: bytes) -> tuple:
@@ -192,34 +189,27 @@ class Transducer:
                 tokens.append(token)
             after.append(n)
         while len(self.token) < len(states):
-            for name, empty in (("token", -1), ("byte", -1), ("after", -1), ("row", 0)):
+            for name in ("token", "byte", "after"):
                 old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.full(GROW, empty, old.dtype)]))
+                setattr(self, name, np.concatenate([old, np.full(GROW, -1, old.dtype)]))
         self.token[len(states) - len(tokens) : len(states)] = tokens
         state, byte, to = keys >> 8, keys & 255, np.array(after, np.int32)
         first = self.byte[state] < 0
         first[1:] &= state[1:] != state[:-1]
         self.byte[state[first]], self.after[state[first]] = byte[first], to[first]
-        state, byte, to = state[~first], byte[~first], to[~first]
-        new = np.unique(state[self.row[state] == 0])
-        self.row[new] = np.arange(self.rows, self.rows + len(new))
-        self.rows += len(new)
-        if self.rows > len(self.more):
-            grown = np.full((self.rows + GROW // 4 - len(self.more), self.more.shape[1]), -1, np.int32)
-            self.more = np.concatenate([self.more, grown])
-        self.more[self.row[state], self.columns[byte]] = to
+        if not first.all():
+            keys, to = keys[~first], to[~first]
+            at = np.searchsorted(self.others, keys)
+            self.others, self.targets = np.insert(self.others, at, keys), np.insert(self.targets, at, to)
 
     def _next(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The states after a byte each, -1 where not known."""
-        return np.where(self.byte[state] == byte, self.after[state], self.more[self.row[state], self.columns[byte]])
-
-    def _widen(self, text: np.ndarray) -> None:
-        """A column for each byte value that has none yet."""
-        fresh = [b for b in np.flatnonzero(np.bincount(text, minlength=256)) if self.columns[b] < 0]
-        used = int(self.columns.max()) + 1
-        self.columns[fresh] = range(used, used + len(fresh))
-        while used + len(fresh) > self.more.shape[1]:
-            self.more = np.concatenate([self.more, np.full_like(self.more, -1)], axis=1)
+        after = np.where(self.byte[state] == byte, self.after[state], -1)
+        rest = np.flatnonzero(after < 0)
+        keys = state[rest].astype(np.int64) << 8 | byte[rest]
+        at = np.searchsorted(self.others, keys)
+        after[rest] = np.where(self.others[at] == keys, self.targets[at], -1)
+        return after
 
     # -- runs
 
@@ -274,7 +264,6 @@ class Transducer:
 
     def _run(self, text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(-lens, kind="stable")
-        self._widen(text)
         starts, by_len = (np.cumsum(lens) - lens)[order], lens[order]
         state = np.zeros(len(lens), np.int32)
         lasts = np.empty(len(text), np.int32)
