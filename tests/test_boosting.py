@@ -94,6 +94,39 @@ def test_trees_equal_plain_growing(spark, monkeypatch, task):
     assert np.allclose([scored[r[1]] for r in train], 1 / (1 + np.exp(-want)))
 
 
+@pytest.mark.parametrize("task", [60, 250_000])
+def test_one_task_and_passes_give_the_same_model(spark, monkeypatch, task):
+    """Also where a larger child's sums are a difference, and with bins that no row of it has."""
+    rows = [(s, k, x, None if k % 9 == 0 else y, z) for s, k, x, y, z in rows_of(900, 4)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    b = Boosting(rounds=6, leaves=7, depth=4, min_rows=10, patience=30, keep=4)
+    passes = []
+    plain = boosting._passed
+    monkeypatch.setattr(boosting, "_passed", lambda *a: passes.append(1) or plain(*a))
+    alone = boosting.fit(df, "x", 3, ["y", "z"], b)
+    assert not passes
+    monkeypatch.setattr(boosting, "LARGE", 50)
+    less = boosting.fit(df, "x", 3, ["y", "z"], b)
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    monkeypatch.setattr(boosting, "TASK", task)
+    passed = boosting.fit(df, "x", 3, ["y", "z"], b)
+    assert passes
+    for other in (less, passed):
+        # z is told by one split, the gains below it are those of rounding
+        assert other["z"].trees[0].cut[0] == alone["z"].trees[0].cut[0] and other["z"].quality == pytest.approx(alone["z"].quality)
+        own, theirs = alone["y"].trees, other["y"].trees
+        assert [(t.feature, t.cut, t.missing_left) for t in theirs] == [(t.feature, t.cut, t.missing_left) for t in own]
+        assert other["y"].quality == pytest.approx(alone["y"].quality)
+        assert [v for t in theirs for v in t.value] == pytest.approx([v for t in own for v in t.value])
+
+
+def test_area_under_the_curve():
+    y, score = np.array([1, 0, 1, 0, 0, 1]), np.array([0.5, 0.5, 0.9, 0.1, 0.9, 0.2])
+    pairs = [(a > b) + (a == b) / 2 for a in score[y == 1] for b in score[y == 0]]
+    assert boosting.area(y, score) == sum(pairs) / 9
+    assert boosting.area(y[:1], score[:1]) is None and boosting.area(y[:0], score[:0]) is None
+
+
 def auc(df, column):
     return BinaryClassificationEvaluator(rawPredictionCol=column, labelCol="y").evaluate(df)
 

@@ -8,6 +8,9 @@ each leaf from the sums of all tasks; the driver only sees one split per leaf. A
 all leaves that may be needed, and all labels that are fitted, so a tree takes about as many
 passes as it is deep, not one per split.
 
+Where the rows fit in the memory of a task (``ALONE``), one task a label fits the whole model
+from them and no pass is made; the trees are the same. What follows is for more rows.
+
 Rows carry their running margins. These are written anew every ``keep`` rounds, and the few
 trees since then are applied in passing. The margins of those rounds also give the AUC on
 the validation rows, so that fitting ends by patience without fitting anything twice.
@@ -16,9 +19,11 @@ the validation rows, so that fitting ends by patience without fitting anything t
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +38,10 @@ from . import metrics
 BINS = 256
 #: Rows a task sums up, about, and rows of a leaf that one task grows to the end.
 TASK = 250_000
+#: Rows of a leaf from which sums of a child are taken as a difference.
+LARGE = 16_384
+#: Bins of training and validation rows from which one task fits a whole model; it holds about ten bytes for each.
+ALONE = 48_000_000
 
 
 @dataclass(frozen=True)
@@ -264,21 +273,152 @@ def _add(total: np.ndarray, slot: np.ndarray, bins: np.ndarray, g: np.ndarray, h
             total[:, f, :, c] += np.bincount(key, weight, len(total) * BINS).reshape(-1, BINS)
 
 
+def _goes_left(x: np.ndarray, cut: int, missing_left: bool) -> np.ndarray:
+    return x <= cut if missing_left else x - np.uint8(1) < cut  # where a bin of 0 becomes the largest
+
+
+class _Rows:
+    """Which rows are in a node of a growing tree, as far as asked; ``cols`` has a row of bins per feature.
+
+    Of two children with more than ``large`` rows together the larger one's sums are those of
+    their parent less those of the other. Smaller ones are summed up row by row.
+    """
+
+    def __init__(self, cols: np.ndarray, g: np.ndarray, h: np.ndarray, growing: _Growing, large: int):
+        self.cols, self.g, self.h, self.growing, self.large = cols, g, h, growing, large
+        self.known: dict[int, np.ndarray] = {0: np.arange(cols.shape[1], dtype=np.int32)}
+        self.total: dict[int, np.ndarray] = {}
+        self.above: dict[int, int] = {}
+
+    def of(self, node: int) -> np.ndarray:
+        if node not in self.known:
+            self.of(above := self.above[node])
+            at, found = self.known.pop(above), self.growing.split[above]
+            left = _goes_left(self.cols[found["feature"]].take(at), found["cut"], found["missing_left"])
+            self.known[found["left"]], self.known[found["right"]] = at.compress(left), at.compress(~left)
+        return self.known[node]
+
+    def sums(self, node: int) -> np.ndarray:
+        """Sums (feature, bin, gradient/hessian/rows) of a leaf."""
+        if node in self.total:
+            return self.total[node]
+        above = self.total.get(self.above.get(node, -1))
+        if above is not None:
+            split = self.growing.split[self.above[node]]
+            other = split["left"] + split["right"] - node
+            if len(self.of(other)) < len(self.of(node)):
+                total = above - self.sums(other)
+                total[total[:, :, 2] == 0] = 0  # as sums over no rows are
+                return self._kept(node, total)
+        at = self.of(node)
+        g, h, total = self.g.take(at), self.h.take(at), np.empty((len(self.cols), BINS, 3))
+        for f, col in enumerate(self.cols):
+            key = col.take(at).astype(np.intp)
+            for c, weight in enumerate((g, h, None)):
+                total[f, :, c] = np.bincount(key, weight, BINS)
+        return self._kept(node, total)
+
+    def _kept(self, node: int, total: np.ndarray) -> np.ndarray:
+        if len(self.of(node)) > self.large or self.above.get(node) in self.total:
+            self.total[node] = total
+        return total
+
+    def split(self, node: int) -> dict:
+        """Hand the best split of a leaf to the tree. The split, and the places of its children, -1 where there is none."""
+        found = best_split(self.sums(node), self.growing.b)
+        if len(self.of(node)) <= self.large:
+            self.total.pop(node, None)
+        self.growing.put(found | {"node": node})
+        own = self.growing.split[node]
+        if own:
+            self.above[own["left"]] = self.above[own["right"]] = node
+        return found | {"own": node, "own_left": own["left"] if own else -1, "own_right": own["right"] if own else -1}
+
+
 def grown(bins: np.ndarray, g: np.ndarray, h: np.ndarray, b: Boosting) -> list[dict]:
     """All splits below a leaf that may be needed, from its rows: the first ``leaves`` - 1 by gain."""
     growing, out = _Growing(b), []
+    rows = _Rows(np.ascontiguousarray(bins.T), g, h, growing, LARGE)
     while wanted := growing.wanted():
-        slot = np.full(len(growing.tree.value), -1)
-        slot[wanted] = np.arange(len(wanted))
-        slot = slot[growing.tree.leaf_of(bins)]
-        some = np.flatnonzero(slot >= 0)
-        total = np.zeros((len(wanted), bins.shape[1], BINS, 3))
-        _add(total, slot[some], bins[some], g[some], h[some])
-        for place, node in enumerate(wanted):
-            found = best_split(total[place], b)
-            growing.put(found | {"node": node})
-            split = growing.split[node] or {"left": -1, "right": -1}
-            out.append(found | {"own": node, "own_left": split["left"], "own_right": split["right"]})
+        out += [rows.split(node) for node in wanted]
+    return out
+
+
+def _walked(tree: Tree, cols: np.ndarray, margin: np.ndarray) -> None:
+    """Add the tree's values to the margins of all rows."""
+    todo = [(0, np.arange(len(margin), dtype=np.int32))]
+    while todo:
+        node, at = todo.pop()
+        if tree.feature[node] < 0:
+            margin[at] += tree.value[node]
+            continue
+        left = _goes_left(cols[tree.feature[node]].take(at), tree.cut[node], tree.missing_left[node])
+        todo += [(tree.left[node], at.compress(left)), (tree.right[node], at.compress(~left))]
+
+
+def area(y: np.ndarray, score: np.ndarray) -> float | None:
+    """ROC-AUC, ties count half; None when a class is missing."""
+    order = np.argsort(score)
+    ends = np.flatnonzero(np.append(np.diff(score[order]) != 0, True)) if len(order) else np.zeros(0, int)
+    pos = np.diff(np.cumsum(y[order].astype(np.int64))[ends], prepend=0)
+    neg = np.diff(ends + 1, prepend=0) - pos
+    if not (pos.sum() and neg.sum()):
+        return None
+    return float((pos * (np.cumsum(neg) - neg + neg / 2)).sum()) / (int(pos.sum()) * int(neg.sum()))
+
+
+def fitted(train: tuple[np.ndarray, np.ndarray], val: tuple[np.ndarray, np.ndarray], prior: float, b: Boosting) -> tuple[list[Tree], dict[int, float | None]]:
+    """All trees until patience or rounds run out, and the validation AUC of each, from columns of bins and labels."""
+    margins = [np.full(len(y), prior) for _, y in (train, val)]
+    trees: list[Tree] = []
+    quality: dict[int, float | None] = {}
+    while len(trees) < b.rounds:
+        for _ in range(min(b.keep, b.rounds - len(trees))):
+            p = 1 / (1 + np.exp(-margins[0]))
+            g, h = p - train[1], p * (1 - p)
+            del p
+            growing = _Growing(b, len(g))
+            rows = _Rows(train[0], g, h, growing, LARGE)
+            while wanted := growing.wanted():
+                for node in wanted:
+                    rows.split(node)
+            trees.append(growing.finished())
+            del rows
+            for (cols, _), margin in zip((train, val), margins):
+                _walked(trees[-1], cols, margin)
+            quality[len(trees)] = area(val[1], margins[1])
+        if best_round(quality, b.patience)[1]:
+            break
+    return trees, quality
+
+
+def _alone(rows: DataFrame, n: int, active: Sequence[int], prior: Sequence[float], n_labels: int, b: Boosting) -> dict[int, tuple[list[Tree], dict[int, float | None]]]:
+    """Trees and quality of every label, each fitted by one task."""
+
+    def of(k: int) -> DataFrame:
+        def run(batches):
+            parts = {"train": [], "val": []}
+            for batch in batches:
+                bins, y = _bytes(batch.column("bins"), n), _matrix(batch.column("y"), n_labels)[:, k]
+                split = np.array(batch.column("split").to_pylist(), object)
+                for name, into in parts.items():
+                    at = np.flatnonzero((split == name) & ~np.isnan(y))
+                    into.append((np.ascontiguousarray(bins[at].T), y[at].astype(np.uint8)))
+            whole = {}
+            for name in list(parts):
+                into = parts.pop(name)
+                cols, y = ([x[c] for x in into] for c in (0, 1))
+                whole[name] = (np.concatenate(cols, axis=1), np.concatenate(y)) if into else (np.zeros((n, 0), np.uint8), np.zeros(0, np.uint8))
+            trees, quality = fitted(whole["train"], whole["val"], prior[k], b)
+            said = json.dumps([[asdict(t) for t in trees], list(quality.items())], default=lambda x: x.item())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([said])], ["label", "model"])
+
+        return rows.select("split", "bins", "y").coalesce(1).mapInArrow(run, "label int, model string")
+
+    out = {}
+    for r in reduce(DataFrame.unionByName, [of(k) for k in active]).collect():
+        trees, quality = json.loads(r["model"])
+        out[r["label"]] = [Tree(**t) for t in trees], dict(map(tuple, quality))
     return out
 
 
@@ -428,6 +568,10 @@ def fit(frame: DataFrame, features: str, n: int, labels: Sequence[str], b: Boost
     quality: dict[int, dict[int, float | None]] = {k: {} for k in trees}
     active = [k for k, p in enumerate(rates) if p is not None and 0 < p < 1]
     turn = 0
+    if active and rows.count() * n <= ALONE:
+        for k, (found, judged) in _alone(rows, n, active, prior, len(labels), b).items():
+            trees[k], quality[k] = found, judged
+        active = []
     while active and turn < b.rounds:
         fresh: dict[int, list[Tree]] = {k: [] for k in active}
         for _ in range(min(b.keep, b.rounds - turn)):
