@@ -109,6 +109,7 @@ def test_one_task_and_passes_give_the_same_model(spark, monkeypatch, task):
     less = boosting.fit(df, "x", 3, ["y", "z"], b)
     monkeypatch.setattr(boosting, "ALONE", 0)
     monkeypatch.setattr(boosting, "TASK", task)
+    monkeypatch.setattr(boosting, "HELD", task)
     passed = boosting.fit(df, "x", 3, ["y", "z"], b)
     assert passes
     for other in (less, passed):

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import cleaned_up, discard, materialize
 from . import metrics
 
 #: Values a bin number can take; 0 means missing.
 BINS = 256
 #: Rows a task sums up, about, and rows of a leaf that one task grows to the end.
-TASK = 250_000
+TASK, HELD = 250_000, 2_000_000
 #: Rows of a leaf from which sums of a child are taken as a difference.
 LARGE = 16_384
 #: Bins of training and validation rows from which one task fits a whole model; it holds about ten bytes for each.
@@ -60,6 +60,10 @@ class Boosting:
     keep: int = 10
 
 
+def _goes_left(x: np.ndarray, cut: int, missing_left: bool) -> np.ndarray:
+    return x <= cut if missing_left else x - np.uint8(1) < cut  # where a bin of 0 becomes the largest
+
+
 @dataclass
 class Tree:
     """Nodes in lists; a leaf has feature -1. Rows with bin <= cut, and missing ones if so learned, go left."""
@@ -78,17 +82,16 @@ class Tree:
         return len(self.value) - 1
 
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        feature, cut, missing_left, left, right = (
-            np.array(x) for x in (self.feature, self.cut, self.missing_left, self.left, self.right)
-        )
-        node = np.zeros(len(bins), np.int64)
-        going = np.arange(len(bins)) if feature[0] >= 0 else np.zeros(0, np.int64)
-        while len(going):
-            at = node[going]
-            b = bins[going, feature[at]]
-            node[going] = np.where(np.where(b == 0, missing_left[at], b <= cut[at]), left[at], right[at])
-            going = going[feature[node[going]] >= 0]
-        return node
+        """The leaf of every row; a node's rows are parted once, so a row costs as much as it is deep."""
+        out, todo = np.zeros(len(bins), np.int64), [(0, np.arange(len(bins)))]
+        while todo:
+            node, at = todo.pop()
+            if self.feature[node] < 0:
+                out[at] = node
+            elif len(at):
+                left = _goes_left(bins[:, self.feature[node]].take(at), self.cut[node], self.missing_left[node])
+                todo += [(self.left[node], at.compress(left)), (self.right[node], at.compress(~left))]
+        return out
 
     def margin(self, bins: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.leaf_of(bins)]
@@ -273,10 +276,6 @@ def _add(total: np.ndarray, slot: np.ndarray, bins: np.ndarray, g: np.ndarray, h
             total[:, f, :, c] += np.bincount(key, weight, len(total) * BINS).reshape(-1, BINS)
 
 
-def _goes_left(x: np.ndarray, cut: int, missing_left: bool) -> np.ndarray:
-    return x <= cut if missing_left else x - np.uint8(1) < cut  # where a bin of 0 becomes the largest
-
-
 class _Rows:
     """Which rows are in a node of a growing tree, as far as asked; ``cols`` has a row of bins per feature.
 
@@ -344,18 +343,6 @@ def grown(bins: np.ndarray, g: np.ndarray, h: np.ndarray, b: Boosting) -> list[d
     return out
 
 
-def _walked(tree: Tree, cols: np.ndarray, margin: np.ndarray) -> None:
-    """Add the tree's values to the margins of all rows."""
-    todo = [(0, np.arange(len(margin), dtype=np.int32))]
-    while todo:
-        node, at = todo.pop()
-        if tree.feature[node] < 0:
-            margin[at] += tree.value[node]
-            continue
-        left = _goes_left(cols[tree.feature[node]].take(at), tree.cut[node], tree.missing_left[node])
-        todo += [(tree.left[node], at.compress(left)), (tree.right[node], at.compress(~left))]
-
-
 def area(y: np.ndarray, score: np.ndarray) -> float | None:
     """ROC-AUC, ties count half; None when a class is missing."""
     order = np.argsort(score)
@@ -385,7 +372,7 @@ def fitted(train: tuple[np.ndarray, np.ndarray], val: tuple[np.ndarray, np.ndarr
             trees.append(growing.finished())
             del rows
             for (cols, _), margin in zip((train, val), margins):
-                _walked(trees[-1], cols, margin)
+                margin += trees[-1].margin(cols.T)
             quality[len(trees)] = area(val[1], margins[1])
         if best_round(quality, b.patience)[1]:
             break
@@ -425,7 +412,7 @@ def _alone(rows: DataFrame, n: int, active: Sequence[int], prior: Sequence[float
 def _passed(rows: DataFrame, growing: dict[int, _Growing], fresh: dict[int, list[Tree]], n: int, n_labels: int, b: Boosting) -> None:
     """One pass: the best split of every wanted leaf, and of all below those that are small."""
     wanted = [(k, node) for k, g in growing.items() for node in g.wanted()]
-    small = {(k, node) for k, node in wanted if growing[k].size[node] <= TASK}
+    small = {(k, node) for k, node in wanted if growing[k].size[node] <= HELD}
     trees = {k: g.tree for k, g in growing.items()}
     depth = {(k, node): growing[k].depth[node] for k, node in small}
     large = [x for x in wanted if x not in small]
@@ -562,7 +549,8 @@ def fit(frame: DataFrame, features: str, n: int, labels: Sequence[str], b: Boost
         F.array(*[F.lit(x) for x in prior]).alias("m"),
     )
     schema = "split string, bins binary, y array<double>, m array<double>"
-    rows = materialize(raw.mapInArrow(cut, schema)).coalesce(tasks)
+    written = materialize(raw.mapInArrow(cut, schema))
+    rows = written.coalesce(tasks)
 
     trees: dict[int, list[Tree]] = {k: [] for k in range(len(labels))}
     quality: dict[int, dict[int, float | None]] = {k: {} for k in trees}
@@ -577,7 +565,8 @@ def fit(frame: DataFrame, features: str, n: int, labels: Sequence[str], b: Boost
         for _ in range(min(b.keep, b.rounds - turn)):
             growing = {k: _Growing(b, known[k]) for k in active}
             while any(g.wanted() for g in growing.values()):
-                _passed(rows, growing, fresh, n, len(labels), b)
+                with cleaned_up(frame.sparkSession):
+                    _passed(rows, growing, fresh, n, len(labels), b)
             for k, g in growing.items():
                 fresh[k].append(g.finished())
         for k, found in _judged(rows, fresh, n, len(labels), turn).items():
@@ -594,7 +583,10 @@ def fit(frame: DataFrame, features: str, n: int, labels: Sequence[str], b: Boost
                     columns = [batch.column(c) for c in ("split", "bins", "y")]
                     yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(m.ravel()))], ["split", "bins", "y", "m"])
 
-            rows = materialize(rows.mapInArrow(add, schema)).coalesce(tasks)
+            old, written = written, materialize(rows.mapInArrow(add, schema))
+            discard(old)
+            rows = written.coalesce(tasks)
+    discard(written)
     out = {}
     for k, c in enumerate(labels):
         kept = trees[k][: best_round(quality[k], b.patience)[0]] if trees[k] else []

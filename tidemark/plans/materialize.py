@@ -47,6 +47,20 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(BATCH_ROWS, str(before))
 
 
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile the shuffle files of a query go when it ends; one that is run twice shuffles twice."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to Parquet in the shared folder and read back.
 
@@ -56,15 +70,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, "table")
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with cleaned_up(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
